@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .chat_format import OP6_SQL, op6_chat_format
+from .mixing import op1_mixing
 from .url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op3_url_filter": op3_url_filter,
     "op6_chat_format": op6_chat_format,
 }
