@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .chat_format import OP6_SQL, op6_chat_format
 from .mixing import op1_mixing
+from .piece_codec import op4_pieces
+from .secrets import op7_secrets
 from .url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_url_filter": op3_url_filter,
+    "op4_pieces": op4_pieces,
     "op6_chat_format": op6_chat_format,
+    "op7_secrets": op7_secrets,
 }
 ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
