@@ -1,0 +1,8 @@
+"""Topological analytics and data preparation on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need not have the package installed: its functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
