@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import OP6_SQL, op6_chat_format
+from .language_id import op9_language_id
 from .mixing import op1_mixing
 from .piece_codec import op4_pieces
 from .secrets import op7_secrets
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_pieces": op4_pieces,
     "op6_chat_format": op6_chat_format,
     "op7_secrets": op7_secrets,
+    "op9_language_id": op9_language_id,
 }
 ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
