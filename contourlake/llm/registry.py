@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from .ann import op8_ann
 from .chat_format import OP6_SQL, op6_chat_format
 from .language_id import op9_language_id
 from .mixing import op1_mixing
 from .piece_codec import op4_pieces
 from .secrets import op7_secrets
 from .url_filter import OP3_SQL, op3_url_filter
+from .vector_dedup import op5_vector_dedup
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_url_filter": op3_url_filter,
     "op4_pieces": op4_pieces,
+    "op5_vector_dedup": op5_vector_dedup,
     "op6_chat_format": op6_chat_format,
     "op7_secrets": op7_secrets,
+    "op8_ann": op8_ann,
     "op9_language_id": op9_language_id,
 }
 ORACLE_SQL = {
