@@ -6,6 +6,7 @@ from .ann import op8_ann
 from .chat_format import OP6_SQL, op6_chat_format
 from .language_id import op9_language_id
 from .mixing import op1_mixing
+from .ngram_join import op2_ngram_join
 from .piece_codec import op4_pieces
 from .secrets import op7_secrets
 from .url_filter import OP3_SQL, op3_url_filter
@@ -13,6 +14,7 @@ from .vector_dedup import op5_vector_dedup
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_ngram_join": op2_ngram_join,
     "op3_url_filter": op3_url_filter,
     "op4_pieces": op4_pieces,
     "op5_vector_dedup": op5_vector_dedup,
