@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op8_ann
 from .chat_format import OP6_SQL, op6_chat_format
 from .language_id import op9_language_id
+from .lm_score import op10_lm_score
 from .mixing import op1_mixing
 from .ngram_join import op2_ngram_join
 from .piece_codec import op4_pieces
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_secrets": op7_secrets,
     "op8_ann": op8_ann,
     "op9_language_id": op9_language_id,
+    "op10_lm_score": op10_lm_score,
 }
 ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
