@@ -157,6 +157,24 @@ def predict_language(docs: DataFrame, model: dict, key: str = "doc_id", flag: Co
     return rows.mapInArrow(partial(_predict, model=model), "row long, held_out boolean, lang_pred string, score double").withColumnRenamed("row", key)
 
 
+def _keep(batches, model: dict, text: str, least: float):
+    scores = WordScores(model) if model["langs"] else None
+    for whole in batches:
+        for batch in slices([whole], whole.schema.get_field_index(text)):
+            texts = batch.column(text).to_pylist()
+            lettered = [i for i, t in enumerate(texts) if scores and t and any(map(str.isalpha, t))]
+            kept = [False] * len(texts)
+            for i, logs in zip(lettered, scores.score([texts[i] for i in lettered]) if lettered else [], strict=True):
+                logs = logs + model["prior"]
+                kept[i] = 1 / np.exp(logs - logs.max()).sum() >= least
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+
+def keep_languages(docs: DataFrame, model: dict, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows whose language is known with a score of at least ``least``, as they are; null texts and texts without a letter go."""
+    return docs.mapInArrow(partial(_keep, model=model, text=text, least=least), docs.schema)
+
+
 def held_out(key: Column, modulus: int) -> Column:
     """crc32 of the id as text, mod ``modulus``, is 2; false for a null id."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == 2, F.lit(False))

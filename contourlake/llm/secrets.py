@@ -103,14 +103,33 @@ def findings_of(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     return addressed.join(dirty, "blob", "left").select("doc_id", F.coalesce("findings", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("findings"))
 
 
-def redact(text: str, findings: list[tuple[str, int, int]], mark: str = "[SECRET]") -> str:
+def redacted(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
     """The text with every run of overlapping findings replaced by the mark."""
-    parts, at = [], 0
-    for _, start, end in findings:
-        if start >= at:
-            parts += [text[at:start], mark]
-        at = max(at, end)
-    return "".join([*parts, text[at:]])
+    span = "array<struct<start:int,end:int>>"
+    runs = F.aggregate(
+        findings,
+        F.array().cast(span),
+        lambda runs, f: F.when(
+            (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["end"] > f["start"]),
+            F.concat(
+                F.slice(runs, F.lit(1), F.size(runs) - 1),
+                F.array(F.struct(F.try_element_at(runs, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(runs, F.lit(-1))["end"], f["end"]).alias("end"))),
+            ),
+        ).otherwise(F.concat(runs, F.array(F.struct(f["start"].alias("start"), f["end"].alias("end"))))).cast(span),
+    )
+    # What stands before each run, and after the last: the gaps between ends and starts.
+    ends = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"]))
+    starts = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.length(text)))
+    gaps = F.zip_with(ends, starts, lambda a, b: text.substr(a + 1, b - a))
+    return F.when(F.size(findings) > 0, F.array_join(gaps, mark)).otherwise(text)
+
+
+def redact_secrets(docs: DataFrame, ledger: DataFrame) -> DataFrame:
+    """docs with a column ``text`` -> the same columns, findings replaced in the text."""
+    dirty = maybe_broadcast(ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found")), 50_000)
+    joined = docs.join(dirty, blob_of(F.col("text")) == F.col("_blob"), "left")
+    text = F.when(F.col("_found").isNotNull(), redacted(F.col("text"), F.col("_found"))).otherwise(F.col("text"))
+    return joined.withColumn("text", text).select(*docs.columns)
 
 
 def span_text(findings: Column) -> Column:
