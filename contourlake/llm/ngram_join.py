@@ -6,10 +6,10 @@ set, so under any order of all shingles they share one among the first ``n - tha
 
 1. Frequencies: in how many distinct sets of a chunk, summed over chunks, each shingle occurs. Every order puts rare shingles first.
 2. A set of which too few shingles occur anywhere else has no partner and stops here. Equal sets are one class.
-3. Candidates share a prefix shingle under the first order; the filters of the further orders are intersected with that, then sizes, then the
-   whole sets are compared. Components only need links between different components: a first round compares each class with a few
-   leaders and the next class of each group of a shingle, the second all pairs that share a shingle and are still in different components.
-   So a group of thousands of near copies costs a few comparisons for each member.
+3. Candidates share a prefix shingle under the first order: classes that are connected by such shingles are a cluster, which is cut into blocks of bounded
+   size, and each pair of blocks is a task of its own. A task intersects the filters of all orders with that of sizes and counts the common shingles of what
+   is left, as products of 0/1 matrices over slices of the shingles that both sides have. It returns a spanning forest, never its pairs, so
+   a group of thousands of near copies makes no more rows than it has members.
 
 All counts cover the whole input; nothing is capped or sampled.
 
@@ -24,10 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import load, materialize
-from .graph import connected_components
+from .common import load, materialize, maybe_broadcast
+from .graph import connected_components, least_reachable
 from .token_chunks import Chunk, mix, shards_for, token_chunks
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -140,14 +139,63 @@ def _prefixes(table: pa.Table, n: int, percent: int, shards: int) -> pa.Table:
     return pa.table([d if isinstance(d, pa.Array) else pa.array(d, t) for d, t in zip(data, SET_SCHEMA.types, strict=True)], schema=SET_SCHEMA)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) -> those that link, by every order's prefixes and then the whole sets."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("whole").alias(f"w{x}"), F.col("further").alias(f"f{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    for i in range(len(ORDERS)):
-        both = both.filter(F.arrays_overlap(F.get("fa", F.lit(i)), F.get("fb", F.lit(i))))
-    common = F.size(F.array_intersect("wa", "wb"))
-    return both.filter(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("a", "b")
+#: Bounds of a block: classes, and shingles in all.
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 400_000
+#: Columns of a product's slice.
+SLICE = 4096
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of every element of a list column."""
+    column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks)
+    sizes = np.diff(column.offsets.to_numpy())
+    return np.repeat(np.arange(len(column)), sizes), column.flatten().to_numpy()
+
+
+def _common(rows: np.ndarray, values: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """How many values each row of ``left`` has in common with each of ``right``."""
+    place = [np.full(n, -1), np.full(n, -1)]
+    place[0][left], place[1][right] = np.arange(len(left)), np.arange(len(right))
+    sides = [(p[rows[p[rows] >= 0]], values[p[rows] >= 0]) for p in place]
+    shared = np.intersect1d(*(v for _, v in sides))
+    total = np.zeros((len(left), len(right)), np.float32)
+    kept = []
+    for row, value in sides:
+        at = np.searchsorted(shared, value)
+        inside = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == value) if len(shared) else np.zeros(len(value), bool)
+        order = np.argsort(at[inside], kind="stable")
+        kept.append((row[inside][order], at[inside][order]))
+    for start in range(0, len(shared), SLICE):
+        parts = []
+        for (row, at), size in zip(kept, total.shape, strict=True):
+            lo, hi = np.searchsorted(at, (start, start + SLICE))
+            part = np.zeros((size, min(SLICE, len(shared) - start)), np.float32)
+            part[row[lo:hi], at[lo:hi] - start] = 1
+            parts.append(part)
+        total += parts[0] @ parts[1].T
+    return total
+
+
+def _link(key, table: pa.Table, percent: int) -> pa.Table:
+    """The spanning forest of the links between two blocks of a cluster."""
+    _, one, two = (k.as_py() for k in key)
+    table = table.sort_by("id")
+    ids, sizes, block = (table.column(c).to_numpy() for c in ("id", "n", "block"))
+    n, left, right = len(ids), np.flatnonzero(block == one), np.flatnonzero(block == two)
+    near = 100 * np.minimum(sizes[left][:, None], sizes[right]) >= percent * np.maximum(sizes[left][:, None], sizes[right])
+    near &= left[:, None] < right if one == two else ids[left][:, None] != ids[right]
+    for order in ("first", *(f"further{i}" for i in range(len(ORDERS))), "whole"):
+        i, j = near.any(axis=1), near.any(axis=0)
+        left, right, near = left[i], right[j], near[np.ix_(i, j)]
+        common = _common(*_lists(table.column(order)), left, right, n)
+        near &= common > 0
+    both = sizes[left][:, None] + sizes[right]
+    a, b = np.nonzero(near & (100 * common >= percent * (both - common)))
+    low = least_reachable(left[a], right[b], n)
+    hung = np.flatnonzero(low != np.arange(n))
+    return pa.table({"a": pa.array(ids[low[hung]], pa.int64()), "b": pa.array(ids[hung], pa.int64())})
 
 
 def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -160,32 +208,19 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     found = materialize(told.groupBy("chunk").applyInArrow(lambda key, t: _prefixes(t, n, percent, shards), SET_COLUMNS), "sets")
     docs = found.select("doc_id", "digest", "n")
     classes = docs.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id")).filter("id IS NOT NULL")
-    sets = found.filter("whole IS NOT NULL").select("digest", "n", "whole", "first", "further").dropDuplicates(["digest"])
-    sets = materialize(sets.join(classes, "digest").drop("digest"), "candidates")
-    prefixes = materialize(sets.select(F.explode("first").alias("token"), "id", "n"), "prefixes")
-    # Round 1: leaders by three orders, and the next class by size, in each group of a shingle.
-    group = Window.partitionBy("token")
-    near = prefixes.select(
-        "id",
-        F.array(
-            F.min("id").over(group),
-            F.min(F.struct(F.xxhash64("id"), F.col("id"))).over(group)["id"],
-            F.min(F.struct(F.xxhash64("id", F.lit(1)), F.col("id"))).over(group)["id"],
-            F.lead("id").over(group.orderBy("n", "id")),
-        ).alias("others"),
-    )
-    near = near.select("id", F.explode("others").alias("other")).filter("id <> other")
-    pairs = near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    links = materialize(_verified(pairs, sets, percent), "links")
-    labels = materialize(connected_components(links), "labels")
-    # Round 2: what shares a prefix shingle and is still apart.
-    labelled = prefixes.join(labels, F.col("id") == F.col("node"), "left").select("token", "id", "n", F.coalesce("component", "id").alias("c"))
-    apart = labelled.groupBy("token").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo < _hi").select("token")
-    labelled = materialize(labelled.join(apart, "token"), "apart")
-    x, y = labelled.alias("x"), labelled.alias("y")
-    sized = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & sized).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    links = links.unionByName(materialize(_verified(rest, sets, percent), "links"))
+    sets = found.filter("whole IS NOT NULL").select("digest", "n", "whole", "first", *(F.get("further", F.lit(i)).alias(f"further{i}") for i in range(len(ORDERS))))
+    sets = materialize(sets.dropDuplicates(["digest"]).join(classes, "digest").drop("digest"), "candidates")
+    # Clusters: the classes of a shingle's group hang on the least of them.
+    prefixes = sets.select(F.explode("first").alias("token"), "id")
+    least = prefixes.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("token", "least")
+    hung = prefixes.join(least, "token").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    clusters = materialize(connected_components(hung), "clusters")
+    members = sets.join(clusters, F.col("id") == F.col("node")).drop("node").withColumnRenamed("component", "cluster")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = members.join(maybe_broadcast(blocks), "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = members.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("blocks", "other")
+    links = materialize(tasks.groupBy("cluster", "one", "two").applyInArrow(lambda key, t: _link(key, t, percent), "a long, b long"), "links")
     labels = connected_components(links)
     known = classes.join(labels, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = docs.join(known, "digest", "left")

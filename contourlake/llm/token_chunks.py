@@ -1,7 +1,7 @@
 """A corpus as chunks of word ids: the table that corpus-wide n-gram operators work on.
 
 A row holds some whole documents: their ids, a flag for each, their word counts, all words as numbers local to the chunk (frequent words
-small, byte planes apart, so they compress), and a 64-bit hash of each distinct word. Words are the runs outside space and \\t-\\r of the text
+small, byte planes apart, compressed), and a 64-bit hash of each distinct word. Words are the runs outside space and \\t-\\r of the text
 with A-Z lower-cased. Chunks end after ``CHUNK_WORDS`` words, so rows have bounded size however large the input or a partition is.
 
 Questions about a chunk's distinct items travel as packed columns, one row for each chunk and shard, and the answers come back in the order of the
@@ -14,13 +14,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import record_batch, slices
 from .common import materialize
 
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 1_000_000
 COLUMNS = "chunk long, words long, docs binary, nulls binary, flags binary, lengths binary, tokens binary, vocab binary"
 
 
@@ -61,7 +62,7 @@ def _chunks(batches, words_a_chunk: int):
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
         vocab = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))[order]
-        packed = [planes(np.array(docs, np.int64)), np.array(nulls, np.uint8).tobytes(), np.array(flags, np.uint8).tobytes(), planes(np.array(lengths, np.uint32)), planes(place[ids]), vocab.tobytes()]
+        packed = [planes(np.array(docs, np.int64)), np.array(nulls, np.uint8).tobytes(), np.array(flags, np.uint8).tobytes(), planes(np.array(lengths, np.uint32)), zstandard.compress(planes(place[ids]), 1), vocab.tobytes()]
         return record_batch([[(part << 32) + made], [len(ids)], *[[p] for p in packed]], schema)
 
     for batch in slices(batches, 2):
@@ -91,7 +92,7 @@ class Chunk:
         self.chunk = row["chunk"]
         self.docs, self.nulls = unplanes(row["docs"], np.int64), np.frombuffer(row["nulls"], np.uint8).astype(bool)
         self.flags, self.lengths = np.frombuffer(row["flags"], np.uint8).astype(bool), unplanes(row["lengths"], np.uint32).astype(np.int64)
-        self.tokens, self.vocab = unplanes(row["tokens"], np.uint32), np.frombuffer(row["vocab"], np.uint64)
+        self.tokens, self.vocab = unplanes(zstandard.decompress(row["tokens"]), np.uint32), np.frombuffer(row["vocab"], np.uint64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
 
     def doc_ids(self) -> pa.Array:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .arrow import record_batch
 from .common import load, materialize
-from .graph import connected_components
+from .graph import connected_components, least_reachable
 from .vectors import bounded_sample, matrix, valid_vectors
 
 #: Classes that k-means is fitted on, at most.
@@ -58,18 +58,6 @@ def _assign(batches, centres: np.ndarray, probes: int):
         yield record_batch([batch.column(0), batch.column(1), batch.column(2), cells], schema)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
-    """The smallest index reachable from each of ``nodes`` nodes."""
-    low = np.arange(nodes)
-    while True:
-        before = low.copy()
-        np.minimum.at(low, a, low[b])
-        np.minimum.at(low, b, low[a])
-        low = low[low]
-        if (low == before).all():
-            return low
-
-
 def _compare(key, table: pa.Table, threshold: float) -> pa.Table:
     """One pair of blocks: (a, b, links): link counts (b null) and edges of a spanning forest (links null)."""
     cell, one, two = (k.as_py() for k in key)
@@ -93,7 +81,7 @@ def _compare(key, table: pa.Table, threshold: float) -> pa.Table:
     if one != two:
         counts[right] += linked.T @ n[left]
     i, j = np.nonzero(linked)
-    low = _forest(left[i], right[j], len(ids))
+    low = least_reachable(left[i], right[j], len(ids))
     hung = np.flatnonzero(low != np.arange(len(ids)))
     told = np.flatnonzero(counts)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
