@@ -20,6 +20,11 @@ def unit(f: Column, low: Column, high: Column) -> Column:
     return (f - low) / F.when(high == low, F.lit(1.0)).otherwise(high - low)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rgb(r: Column, g: Column, b: Column) -> Column:
     return F.struct(r.alias("r"), g.alias("g"), b.alias("b"))
 
@@ -69,6 +74,10 @@ def diverging(s: Column, low=BLUE, high=RED) -> Column:
     White of magnitude 88 or more is put in the middle if both ends are saturated and their hues are more than 0.33 pi apart. The ends are constants, so
     only the interpolation and the way back to RGB are columns.
     """
+    return let(s, lambda s: _diverging(s, low, high))
+
+
+def _diverging(s: Column, low, high) -> Column:
     a, b = lab_to_msh(rgb_to_lab(low)), lab_to_msh(rgb_to_lab(high))
     if a[1] > 0.05 and b[1] > 0.05 and angle_between(a[2], b[2]) > 0.33 * math.pi:
         middle = max(a[0], b[0], 88.0)
@@ -83,18 +92,27 @@ def diverging(s: Column, low=BLUE, high=RED) -> Column:
             q = (q[0], q[1], adjusted_hue(p, q[0]))
         ways.append([x + (y - x) * t for x, y in zip(p, q, strict=True)])
     m, sat, hue = ways[0] if len(ways) == 1 else [F.when(s < 0.5, x).otherwise(y) for x, y in zip(*ways, strict=True)]
-    light, red_green, yellow_blue = m * F.cos(sat), m * F.sin(sat) * F.cos(hue), m * F.sin(sat) * F.sin(hue)
-    fy = (light + 16) / 116
+    return let(F.struct(m.alias("m"), sat.alias("s"), hue.alias("h")), _msh_to_rgb)
+
+
+def _msh_to_rgb(msh: Column) -> Column:
+    m, sat, hue = msh["m"], msh["s"], msh["h"]
+    fy = (m * F.cos(sat) + 16) / 116
+    roots = F.struct((m * F.sin(sat) * F.cos(hue) / 500 + fy).alias("x"), fy.alias("y"), (fy - m * F.sin(sat) * F.sin(hue) / 200).alias("z"))
     cube = lambda t: F.when(t * t * t > 0.008856, t * t * t).otherwise((t - 16 / 116) / 7.787)
-    xyz = [cube(f) * w for f, w in zip((red_green / 500 + fy, fy, fy - yellow_blue / 200), WHITE, strict=True)]
-    linear = [sum((c * v for c, v in zip(row, xyz, strict=True)), F.lit(0.0)) for row in XYZ_TO_RGB]
-    return rgb(*(clamp(F.when(c > 0.0031308, 1.055 * F.pow(F.greatest(c, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055).otherwise(12.92 * c)) for c in linear))
+
+    def linear(xyz):
+        return F.struct(*(sum((c * xyz[k] for c, k in zip(row, "xyz", strict=True)), F.lit(0.0)).alias(name) for row, name in zip(XYZ_TO_RGB, "rgb", strict=True)))
+
+    gamma = lambda c: clamp(F.when(c > 0.0031308, 1.055 * F.pow(F.greatest(c, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055).otherwise(12.92 * c))
+    white = lambda t: F.struct(*((cube(t[k]) * w).alias(k) for k, w in zip("xyz", WHITE, strict=True)))
+    return let(roots, lambda t: let(white(t), lambda xyz: let(linear(xyz), lambda c: rgb(gamma(c["r"]), gamma(c["g"]), gamma(c["b"])))))
 
 
 def region_color(count: Column, low: Column, high: Column, docked: Column | None = None) -> Column:
     """By a count in a region: dark grey and faint for 0, yellow for a docked component, else diverging over the range of counts; with alpha."""
     shade = diverging(unit(count, low, high))
-    with_alpha = lambda c, a: F.struct(c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"), F.lit(a).alias("a"))
+    with_alpha = lambda c, a: let(c, lambda c: F.struct(c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"), F.lit(a).alias("a")))
     grey, yellow = rgb(F.lit(0.25), F.lit(0.25), F.lit(0.25)), rgb(F.lit(1.0), F.lit(1.0), F.lit(0.0))
     out = F.when(count == 0, with_alpha(grey, 0.2)).otherwise(with_alpha(shade, 1.0))
     return out if docked is None else F.when(docked, with_alpha(yellow, 1.0)).otherwise(out)

@@ -115,8 +115,8 @@ def nearest_between(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
 def backbone_steps(backbone: DataFrame) -> DataFrame:
     """conf_id, res_idx, d, mean_d, drawn: distance to the next atom, the structure's mean of it, and whether the bond is shorter than three times that."""
     order = Window.partitionBy("conf_id").orderBy("res_idx")
-    after = lambda c: F.lead(c).over(order)
-    step = F.sqrt(sum(((after(c) - F.col(c)).cast("double") * (after(c) - F.col(c)).cast("double") for c in ("y", "z")), (after("x") - F.col("x")).cast("double") * (after("x") - F.col("x")).cast("double")))
+    gap = lambda c: F.lead(F.col(c).cast("double")).over(order) - F.col(c).cast("double")
+    step = F.sqrt(gap("x") * gap("x") + gap("y") * gap("y") + gap("z") * gap("z"))
     steps = backbone.withColumn("d", step).filter("d IS NOT NULL").withColumn("mean_d", F.avg("d").over(Window.partitionBy("conf_id")))
     return steps.select("conf_id", "res_idx", "d", "mean_d", (F.col("d") < 3 * F.col("mean_d")).alias("drawn"))
 
