@@ -35,7 +35,7 @@ def component_statistics(rows: DataFrame, by: str) -> DataFrame:
     """rows(by, f, g) -> by, n, mean_g, stdev_g (population), corr_fg (1 where either does not vary)."""
     flat = (F.min("f") == F.max("f")) | (F.min("g") == F.max("g"))
     return rows.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("g").alias("mean_g"), F.stddev_pop("g").alias("stdev_g"), F.when(flat, F.lit(1.0)).otherwise(F.corr("f", "g")).alias("corr_fg")
+        F.count(F.lit(1)).alias("n"), F.avg("g").alias("mean_g"), F.stddev_pop("g").alias("stdev_g"), F.when(flat, F.lit(1.0)).otherwise(F.try_divide(F.covar_pop("f", "g"), F.stddev_pop("f") * F.stddev_pop("g"))).alias("corr_fg")
     )
 
 
