@@ -34,6 +34,8 @@ TABLE_ROWS = 300_000
 SMOOTHING = 0.1
 #: Log-probability of a character that is not a piece of the vocabulary.
 UNKNOWN = float(np.log(1e-7))
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+FLAG_BITS = 22
 
 
 def spans(word: str) -> list[str]:
@@ -92,31 +94,56 @@ class WordScores:
     def __init__(self, model: dict):
         sp = processor(model["path"])
         usable = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-        self.pieces = {sp.id_to_piece(i): i for i in usable}
-        self.longest = max(map(len, self.pieces), default=1)
+        pieces = [sp.id_to_piece(i) for i in usable]
+        self.longest = max(map(len, pieces), default=1)
+        # Pieces by a rolling hash of their characters; the flags tell most other strings apart without a search.
+        hashes = np.array([self.hash_of(piece) for piece in pieces], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.ids = hashes[order], np.array(usable)[order]
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("two pieces have one hash")
+        self.flags = np.zeros(1 << FLAG_BITS, bool)
+        self.flags[(self.hashes * FACTOR) >> np.uint64(64 - FLAG_BITS)] = True
         self.p = np.exp(np.vstack([model["pieces"].astype(np.float64), np.full((1, len(model["langs"])), UNKNOWN)]))
         self.at: dict[str, int] = {}
         self.logs = np.zeros((0, len(model["langs"])))
 
+    @staticmethod
+    def hash_of(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(FACTOR) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, ids) of the hashes that are those of pieces."""
+        maybe = np.flatnonzero(self.flags[(hashes * FACTOR) >> np.uint64(64 - FLAG_BITS)])
+        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
+        hit = self.hashes[at] == hashes[maybe]
+        return maybe[hit], self.ids[at[hit]]
+
     def forward(self, strings: list[str]) -> np.ndarray:
-        """Log-probabilities of strings of at most SPAN characters: one table of pieces by (start, end) for all strings of a length."""
+        """Log-probabilities of strings of at most SPAN characters, all of one length at a time: alpha[i] sums the segmentations of the first i characters."""
         out = np.zeros((len(strings), self.p.shape[1]))
         by_length: dict[int, list[int]] = {}
         for i, s in enumerate(strings):
             by_length.setdefault(len(s), []).append(i)
-        get, unknown = self.pieces.get, len(self.p) - 1
+        unknown = self.p[-1]
         for n, members in by_length.items():
-            own = [strings[i] for i in members]
-            alpha = [np.ones((len(own), self.p.shape[1]))]
-            for end in range(1, n + 1):
-                total = np.zeros_like(alpha[0])
-                for start in range(max(0, end - self.longest), end):
-                    ids = np.array([get(s[start:end], -1) for s in own])
-                    if start == end - 1:
-                        total += alpha[start] * self.p[np.where(ids < 0, unknown, ids)]
-                    elif (hit := np.flatnonzero(ids >= 0)).size:
-                        total[hit] += alpha[start][hit] * self.p[ids[hit]]
-                alpha.append(total)
+            codes = np.array([strings[i] for i in members], f"U{n}").view(np.uint32).reshape(len(members), n).T.astype(np.uint64) + np.uint64(1)
+            alpha = np.zeros((n + 1, len(members), self.p.shape[1]))
+            alpha[0] = 1
+            for start in range(n):
+                h = np.zeros(len(members), np.uint64)
+                for end in range(start + 1, min(n, start + self.longest) + 1):
+                    h = h * FACTOR + codes[end - 1]
+                    hit, ids = self.find(h)
+                    if end == start + 1:
+                        step = np.broadcast_to(unknown, alpha[0].shape).copy()
+                        step[hit] = self.p[ids]
+                        alpha[end] += alpha[start] * step
+                    else:
+                        alpha[end, hit] += alpha[start, hit] * self.p[ids]
             out[members] = np.log(np.maximum(alpha[n], 1e-300))
         return out
 
