@@ -137,3 +137,15 @@ def grouped_names(names: DataFrame, size: int = 30) -> DataFrame:
     own = names.withColumn("parent", cut_at)
     chunk = F.floor((F.row_number().over(Window.partitionBy("parent").orderBy("path")) - 1) / size).cast("int")
     return own.withColumn("chunk", chunk).groupBy("parent", "chunk").agg(F.count(F.lit(1)).alias("members"))
+
+
+def in_ranges(rows: DataFrame, ranges: DataFrame, key: str, step: str) -> DataFrame:
+    """rows(key, step) whose step lies in a range of their key: ranges(key, lo, hi), ends included. An equi-join on the key, each row once."""
+    own = ranges.groupBy(key).agg(F.collect_set(F.struct("lo", "hi")).alias("_ranges"))
+    inside = F.exists("_ranges", lambda r: (F.col(step) >= r["lo"]) & (F.col(step) <= r["hi"]))
+    return rows.join(small(own), key).filter(inside).drop("_ranges")
+
+
+def strata(rows: DataFrame, z: str, low: float, high: float) -> DataFrame:
+    """Rows of a half-open stratum."""
+    return rows.filter((F.col(z) >= low) & (F.col(z) < high))

@@ -183,3 +183,13 @@ def terrain_graph(triangles: DataFrame) -> DataFrame:
     sides = at.select("key", F.explode(sides).alias("s")).filter("s.p.p <> s.q.p")
     length = F.sqrt(F.pow(F.col("s.p.x") - F.col("s.q.x"), 2) + F.pow(F.col("s.p.y") - F.col("s.q.y"), 2) + F.pow(F.col("s.p.z") - F.col("s.q.z"), 2))
     return sides.groupBy("key", F.least("s.p.p", "s.q.p").alias("a"), F.greatest("s.p.p", "s.q.p").alias("b")).agg(F.min(length).alias("w"))
+
+
+def tree_layout(plan: DataFrame, partition: DataFrame, vertices: DataFrame) -> DataFrame:
+    """key, edge_id, x, y, z in [0, 1]: the inner vertex of each edge, over the centroid of its polygon, at the height of its value."""
+    from ..functions.columns import polygon_centroid
+    from .statistics import normalised
+
+    f = vertices.select("key", F.col("v").alias("inner_v"), F.col("f").cast("double").alias("y"))
+    own = plan.filter(F.size("polygon") > 2).select("key", "edge_id", polygon_centroid(F.col("polygon"), "x").alias("x"), polygon_centroid(F.col("polygon"), "y").alias("z"))
+    return normalised(own.join(partition.select("key", "edge_id", "inner_v"), ["key", "edge_id"]).join(f, ["key", "inner_v"]).select("key", "edge_id", "x", "y", "z"), ["x", "y", "z"])

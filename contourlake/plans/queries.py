@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import colors, columns
 from ..operators import linalg, neighbours, paths, statistics, topology
 from ..operators.common import cut, shared_dir
-from ..sources import logs, structures
+from ..sources import codec, logs, structures
 from ..streaming import refresh
 from . import session
 
@@ -638,6 +638,40 @@ def event_windows(spark, d):
     return counts.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
 
 
+@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber BETWEEN s_nationkey % 5 AND s_nationkey % 5 + 1 OR l_linenumber = 7 AND s_nationkey = 3")
+def region_steps(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") % 5).alias("lo"), (F.col("s_nationkey") % 5 + 1).alias("hi"), "s_nationkey")
+    ranges = s.drop("s_nationkey").unionByName(s.filter("s_nationkey = 3").select("l_suppkey", F.lit(7).alias("lo"), F.lit(7).alias("hi")))
+    return statistics.in_ranges(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), ranges, "l_suppkey", "l_linenumber").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT count(*) AS n, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part WHERE p_retailprice >= 1000 AND p_retailprice < 1200")
+def stratum(spark, d):
+    inside = statistics.strata(table(spark, d, "part"), "p_retailprice", 1000.0, 1200.0)
+    return inside.agg(F.count(F.lit(1)).alias("n"), F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def row_codec(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return codec.decode_rows(codec.encode_rows(rows, "chat"), "chat", rows.schema)
+
+
+@query("SELECT p_partkey, round(p_size + (50 - p_size) * CASE WHEN p_size = 50 THEN 0 ELSE (25.0::DOUBLE - p_size) / (50 - p_size) END, 9) AS value, round(CASE WHEN p_size = 50 THEN 0 ELSE (25.0::DOUBLE - p_size) / (50 - p_size) END, 9) AS share FROM part")
+def edge_interpolation(spark, d):
+    size, top = F.col("p_size").cast("double"), F.lit(50.0)
+    share = columns.level_share(F.lit(25.0), size, top)
+    return table(spark, d, "part").select("p_partkey", F.round(columns.interpolate(size, top, share), 9).alias("value"), F.round(share, 9).alias("share"))
+
+
+@query()
+def tree_layout(spark, d):
+    vertices, own = domain(spark, d)
+    areas, own = _areas(spark, d), cut(own, "edges")
+    plan, parts = topology.floorplan(vertices, own, areas, TAU), topology.space_partition(vertices, own, areas, TAU)
+    return topology.tree_layout(plan, parts, vertices)
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: exact neighbours, their graph, and each component's statistics of f."""
     own = cut(edges(spark, d), "edges")

@@ -11,7 +11,7 @@ from contourlake.functions import colors, columns
 from contourlake.kernels import geometry, linalg
 from contourlake.operators import neighbours, paths, statistics, topology
 from contourlake.operators import linalg as shapes
-from contourlake.plans import session
+from contourlake.plans import cli, session
 from contourlake.sources import files, logs, structures
 
 ATOMS = [
@@ -282,3 +282,27 @@ def test_nearest_between(spark):
     a = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0), (1, 2, 5.0, 0.0, 0.0)], "g int, id int, x double, y double, z double")
     b = spark.createDataFrame([(1, 9, 4.0, 0.0, 0.0), (1, 8, 6.0, 0.0, 0.0)], "g int, id int, x double, y double, z double")
     assert collect(statistics.nearest_between(a, b, "g")) == [(1, 2, 8, 1.0)]
+
+
+def test_command_line(spark, tmp_path):
+    d = tmp_path / "beta"
+    (d / "scalar_functions").mkdir(parents=True)
+    rng = np.random.default_rng(1)
+    names = []
+    for i in range(12):
+        lines = [f"ATOM  {j + 1:5d}  CA  ALA A{j + 1:4d}    {rng.normal():8.3f}{rng.normal():8.3f}{rng.normal() + j:8.3f}" for j in range(5 if i else 4)]
+        names.append(f"s{i}.pdb")
+        (d / names[-1]).write_text("\n".join(lines) + "\n")
+    (d / structures.FILE_LIST).write_text("\n".join(names) + "\n")
+    (d / "scalar_functions" / "f.txt").write_text("\n".join(map(str, range(12))) + "\n")
+    black = tmp_path / "black.txt"
+    black.write_text("s3.pdb\ns4.pdb\n")
+    cli.main(["points", str(d), "--components", "3"], spark)
+    points = files.read_points(spark, str(d / files.POINTS))
+    assert points.count() == 11 and len(points.first()["v"]) == 3
+    for wrong in (["domain", "1", str(d), "p"], ["domain", "3", str(d / "no"), "p"], ["domain", "-w", "a", "-b", "b", "3", str(d), "p"], []):
+        with pytest.raises(SystemExit):
+            cli.main(wrong, spark)
+    cli.main(["domain", "-b", str(black), "9", str(d), "p"], spark)
+    edges, sample = files.read_domain(spark, str(d / files.PROJECTS / "p"))
+    assert not {3, 4} & {r["conf_id"] for r in sample.collect()} and edges.count() > 0
