@@ -109,10 +109,11 @@ def sample_map(paths: DataFrame, names: DataFrame | None = None, keep: bool = Tr
 
 
 def build_domain(points: DataFrame, k: int, paths: DataFrame | None = None, names: DataFrame | None = None, keep: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(edges(src, dst) over s_id, sample_map); raises if the graph is not connected."""
+    """(edges(src, dst) over s_id, sample_map) of the listed structures that have a point; raises if the graph is not connected."""
     if k < 2:
         raise ValueError("k must be at least 2")
-    sample = cut(sample_map(points.select("conf_id") if paths is None else paths, names, keep), "sample_map")
+    listed = points.select("conf_id") if paths is None else paths.join(points.select("conf_id"), "conf_id", "left_semi")
+    sample = cut(sample_map(listed, names, keep), "sample_map")
     own = points.join(sample, "conf_id").select("s_id", "v")
     edges = cut(undirected(nearest(own, k, "s_id")).select(F.col("src").cast("int"), F.col("dst").cast("int")), "edges")
     parts = components(sample.select(F.col("s_id").alias("v")), edges).select("component").distinct().count()
