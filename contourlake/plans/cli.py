@@ -21,12 +21,12 @@ def distance_vectors(spark: SparkSession, dataset: str) -> DataFrame:
 
 
 def make_points(spark: SparkSession, dataset: str, components: int = 500, sample: int = 3000) -> DataFrame:
-    """The point cloud, written to the dataset; structures of another length than most are left out, as they have no place among the components."""
+    """The point cloud, written to the dataset. Rows of its file are told apart by their place, so structures of different lengths raise."""
     vectors = cut(distance_vectors(spark, dataset), "vectors")
-    usual = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if usual is None or not usual["n"]:
-        raise ValueError(f"{dataset} has no backbones of two atoms or more")
-    points = cut(linalg.point_cloud(vectors.filter(F.size("v") == usual["n"]), components, sample), "points")
+    lengths = vectors.groupBy(F.size("v").alias("n")).count().orderBy("n").limit(2).collect()
+    if len(lengths) != 1 or not lengths[0]["n"]:
+        raise ValueError(f"{dataset} has backbones of {len(lengths)} lengths; all need one, of two atoms or more")
+    points = cut(linalg.point_cloud(vectors, components, sample), "points")
     files.write_points(points, f"{dataset}/{files.POINTS}")
     return points
 

@@ -290,19 +290,24 @@ def test_command_line(spark, tmp_path):
     rng = np.random.default_rng(1)
     names = []
     for i in range(12):
-        lines = [f"ATOM  {j + 1:5d}  CA  ALA A{j + 1:4d}    {rng.normal():8.3f}{rng.normal():8.3f}{rng.normal() + j:8.3f}" for j in range(5 if i else 4)]
+        lines = [f"ATOM  {j + 1:5d}  CA  ALA A{j + 1:4d}    {rng.normal():8.3f}{rng.normal():8.3f}{rng.normal() + j:8.3f}" for j in range(5)]
         names.append(f"s{i}.pdb")
         (d / names[-1]).write_text("\n".join(lines) + "\n")
     (d / structures.FILE_LIST).write_text("\n".join(names) + "\n")
     (d / "scalar_functions" / "f.txt").write_text("\n".join(map(str, range(12))) + "\n")
     black = tmp_path / "black.txt"
     black.write_text("s3.pdb\ns4.pdb\n")
+    (d / "s0.pdb").rename(d / "whole")
+    (d / "s0.pdb").write_text("\n".join((d / "whole").read_text().split("\n")[:4]) + "\n")
+    with pytest.raises(ValueError, match="2 lengths"):
+        cli.main(["points", str(d), "--components", "3"], spark)
+    (d / "whole").rename(d / "s0.pdb")
     cli.main(["points", str(d), "--components", "3"], spark)
     points = files.read_points(spark, str(d / files.POINTS))
-    assert points.count() == 11 and len(points.first()["v"]) == 3
+    assert points.count() == 12 and len(points.first()["v"]) == 3
     for wrong in (["domain", "1", str(d), "p"], ["domain", "3", str(d / "no"), "p"], ["domain", "-w", "a", "-b", "b", "3", str(d), "p"], []):
         with pytest.raises(SystemExit):
             cli.main(wrong, spark)
     cli.main(["domain", "-b", str(black), "6", str(d), "p"], spark)
     edges, sample = files.read_domain(spark, str(d / files.PROJECTS / "p"))
-    assert {r["conf_id"] for r in sample.collect()} == set(range(1, 12)) - {3, 4} and edges.count() > 0
+    assert {r["conf_id"] for r in sample.collect()} == set(range(12)) - {3, 4} and edges.count() > 0
