@@ -7,7 +7,7 @@ import pyarrow as pa
 #: Bytes of variable-length output after which a batch is handed on.
 FLUSH_BYTES = 8 << 20
 #: Bytes of text worked on at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 def slices(batches, column: int):

@@ -7,11 +7,11 @@ from .chat_format import OP6_SQL, op6_chat_format
 from .language_id import op9_language_id
 from .lm_score import op10_lm_score
 from .mixing import op1_mixing
-from .ngram_join import op2_ngram_join
+from .ngram_join import OP2_SQL, op2_ngram_join
 from .piece_codec import op4_pieces
 from .secrets import op7_secrets
 from .url_filter import OP3_SQL, op3_url_filter
-from .vector_dedup import op5_vector_dedup
+from .vector_dedup import OP5_SQL, op5_vector_dedup
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -26,6 +26,8 @@ QUERIES = {
     "op10_lm_score": op10_lm_score,
 }
 ORACLE_SQL = {
+    "op2_ngram_join": OP2_SQL,
     "op3_url_filter": OP3_SQL,
+    "op5_vector_dedup": OP5_SQL,
     "op6_chat_format": OP6_SQL,
 }
