@@ -554,10 +554,10 @@ def push_targets(spark, d):
     return session.push_targets(rows, users, ["project"]).select("event_id", "user")
 
 
-@query("SELECT r_name AS dataset, list(n_name ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+@query("SELECT r_name AS dataset, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def catalog(spark, d):
     n, r = table(spark, d, "nation"), table(spark, d, "region")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).groupBy(F.col("r_name").alias("dataset")).agg(F.sort_array(F.collect_list("n_name")).alias("names"))  # region is a fixed list
+    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).groupBy(F.col("r_name").alias("dataset")).agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("names"))  # region is a fixed list
 
 
 @query("SELECT p_partkey, regexp_replace(p_name || CASE WHEN p_partkey % 2 = 0 THEN '.TXT' ELSE '.txt' END, '\\.txt$', '', 'i') AS name FROM part")
