@@ -1,6 +1,6 @@
 """Language identification by segmentation-marginalised unigrams over a fixed public vocabulary.
 
-Training: every training text's words are cut into pieces of the public vocabulary, counted for each language, and smoothed to piece
+Training: the words of a bounded sample of the training texts are cut into pieces of the public vocabulary, counted for each language, and smoothed to piece
 probabilities. Scoring: a word's probability in a language is the sum over all its segmentations into pieces of the product
 of their probabilities (forward algorithm; a character that is no piece costs a fixed floor), a text's the product over its words, and the score
 is the posterior of the best language under the training shares as prior. Ties go to the smaller language code.
@@ -30,6 +30,8 @@ from .piece_codec import MARK, model_path, processor
 SPAN = 24
 #: Distinct words that a worker holds before it starts anew.
 TABLE_ROWS = 300_000
+#: Labelled rows that a model is learned from, about.
+SAMPLE = 65_536
 #: Added to the count of every piece.
 SMOOTHING = 0.1
 #: Log-probability of a character that is not a piece of the vocabulary.
@@ -74,9 +76,16 @@ def _count_pieces(batches, path: str):
         yield record_batch([[lang] * len(used), np.where(used == size, -1, used).astype(np.int32), counts[used]], schema)
 
 
-def fit_language_model(docs: DataFrame, path: str | None = None) -> dict:
-    """docs(lang, text) -> the model: languages, log-probabilities of pieces by language, log prior. Rows of null lang or text are left out."""
-    rows = docs.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")
+def fit_language_model(docs: DataFrame, path: str | None = None, sample: int = SAMPLE) -> dict:
+    """docs(lang, text) -> the model: languages, log-probabilities of pieces by language, log prior. Rows of null lang or text are left out.
+
+    Of more than ``sample`` labelled rows about so many are learned from, whole texts chosen by a hash of the text.
+    """
+    rows = docs.select("lang", "text").filter("lang IS NOT NULL")
+    share = min(1.0, sample / max(rows.count(), 1))
+    if share < 1:
+        rows = rows.filter(F.shiftrightunsigned(F.xxhash64(F.lit(9), "text"), 11) <= F.lit(share * (1 << 53)))
+    rows = rows.filter("text IS NOT NULL")
     path = path or model_path()
     # At most (vocabulary + 1) rows for each language come to the driver.
     found = rows.mapInArrow(partial(_count_pieces, path=path), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
@@ -148,9 +157,9 @@ class WordScores:
         return out
 
     def learn(self, words: set[str]) -> None:
-        new = sorted(w for w in words if w not in self.at)
+        new = [w for w in words if w not in self.at]
         if len(self.at) + len(new) > TABLE_ROWS:
-            self.at, self.logs, new = {}, self.logs[:0], sorted(words)
+            self.at, self.logs, new = {}, self.logs[:0], list(words)
         parts = [spans(w) for w in new]
         logs = self.forward([s for p in parts for s in p])
         first = np.cumsum([0, *map(len, parts)])[:-1]
