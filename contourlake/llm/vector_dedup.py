@@ -26,9 +26,11 @@ from .graph import connected_components, least_reachable
 from .vectors import bounded_sample, matrix, valid_vectors
 
 #: Classes that k-means is fitted on, at most.
-SAMPLE = 20_000
-MAX_CELLS = 4096
-BLOCK = 1024
+SAMPLE = 65_536
+#: Cells, at most: centres go to every task, and a cell needs a few rows of the sample.
+MAX_CELLS = 16_384
+#: Classes of a block; a task holds two.
+BLOCK = 2048
 PROBES = 4
 
 
@@ -124,3 +126,18 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", column: str = "embedding
 
 def op5_vector_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+ok AS (
+  SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS norm FROM v
+  WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.9),
+r(v, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.v WHERE r.root < l.b),
+m AS (SELECT v, min(root) AS root FROM r GROUP BY 1),
+c AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT v.vec_id, coalesce(c.n, 0) AS n_links, m.root AS component_id, v.vec_id = m.root AS kept FROM v JOIN m ON m.v = v.vec_id LEFT JOIN c ON c.a = v.vec_id
+"""

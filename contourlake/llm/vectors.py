@@ -37,4 +37,4 @@ def bounded_sample(df: DataFrame, n: int, most: int, key: str = "id") -> np.ndar
     """Vectors of about ``most`` of ``n`` rows, never more, chosen by a hash of the id; the driver gets these only."""
     share = min(1.0, most / max(n, 1))
     picked = df.filter(F.shiftrightunsigned(F.xxhash64(F.lit(77), key), 11) <= F.lit(share * (1 << 53))).orderBy(key, "vec").limit(most)
-    return matrix(r["vec"] for r in picked.select("vec").collect())
+    return matrix(picked.select("vec").toArrow().column("vec").to_pylist())
