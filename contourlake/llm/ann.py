@@ -8,6 +8,9 @@ on every curve; chunks of ranks of bounded size are compared exactly, and the ne
 The window is a share of the table, alike at every size. Vectors without any structure need a large one for a recall of 0.9 (see the README's
 figures); for vectors with structure a smaller one does.
 
+Of equal vectors only the k + 1 smallest ids are candidates: no other can be among the k nearest of any query. So a vector that a third of all rows share
+takes no more ranks than others do. All rows are indexed and any may ask.
+
 Nearness is Euclidean distance in double precision, ties to the smaller id. Vectors that are null, zero, or hold null or non-finite components, rows with a
 null id, and vectors of another length than most take no part. Rows that repeat an id are one candidate, at the nearest of its distances. An
 empty table or one without queries gives no rows; a query without candidates gives none. Other columns are ignored.
@@ -66,21 +69,21 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _keys(batches, turns: np.ndarray, scales: np.ndarray, shifts: np.ndarray):
-    """(curve, key, id, query, vec) of every vector on every curve."""
-    schema = pa.schema([("curve", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("query", pa.bool_()), ("vec", pa.binary())])
+    """(curve, key, id, query, offered, vec) of every vector on every curve."""
+    schema = pa.schema([("curve", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("query", pa.bool_()), ("offered", pa.bool_()), ("vec", pa.binary())])
     shares = np.linspace(0, 1, scales.shape[-1])
     for batch in batches:
-        keep = [i for i, v in enumerate(batch.column(2).to_pylist()) if len(v) == 8 * turns.shape[1]]
+        keep = [i for i, v in enumerate(batch.column(3).to_pylist()) if len(v) == 8 * turns.shape[1]]
         if not keep:
             continue
         batch = batch.take(pa.array(keep))
-        x = matrix(batch.column(2).to_pylist())
+        x = matrix(batch.column(3).to_pylist())
         for c in range(len(turns)):
             y = x @ turns[c]
             u = np.stack([np.interp(y[:, j], scales[c, j], shares) for j in range(y.shape[1])], axis=1)
             cells = np.minimum(((u + shifts[c]) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
             key = hilbert_index(cells, BITS)
-            yield record_batch([np.full(len(key), c, np.int32), key, batch.column(0), batch.column(1), batch.column(2)], schema)
+            yield record_batch([np.full(len(key), c, np.int32), key, *(batch.column(i) for i in range(4))], schema)
 
 
 def _nearest(table: pa.Table, k: int, reach: int) -> pa.Table:
@@ -110,7 +113,12 @@ def nearest_neighbours(
     df: DataFrame, queries: Column, key: str = "vec_id", column: str = "embedding", k: int = 10, curves: int = CURVES, window: float = WINDOW, seed: int = 5
 ) -> DataFrame:
     """df(key bigint, column array); ``queries``: a condition on ``id`` -> query_id, rank (from 1), vec_id, score."""
-    vectors = materialize(valid_vectors(df, key, column).select("id", F.coalesce(queries, F.lit(False)).alias("query"), "vec"), "vectors")
+    vectors = valid_vectors(df, key, column).distinct().withColumn("h", F.md5("vec")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    # The smallest ids of a vector, first of each salt, then of these.
+    place = F.dense_rank().over(Window.partitionBy("h", "salt").orderBy("id"))
+    vectors = vectors.withColumn("first", place <= k + 1)
+    place = F.dense_rank().over(Window.partitionBy("h", F.when(F.col("first"), F.lit(-1)).otherwise(F.col("salt"))).orderBy("id"))
+    vectors = materialize(vectors.select("id", F.coalesce(queries, F.lit(False)).alias("query"), (F.col("first") & (place <= k + 1)).alias("offered"), "vec").filter("query OR offered"), "vectors")
     sizes = vectors.groupBy(F.octet_length("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     spark = df.sparkSession
     if sizes is None:
@@ -122,7 +130,7 @@ def nearest_neighbours(
     shifts = rng.random((curves, m))
     scales = np.stack([np.quantile(sample @ t, np.linspace(0, 1, 513), axis=0).T for t in turns])
     scales += np.arange(513) * 1e-12  # ascending where the sample repeats itself
-    keyed = vectors.mapInArrow(partial(_keys, turns=turns, scales=scales, shifts=shifts), "curve int, key long, id long, query boolean, vec binary")
+    keyed = vectors.mapInArrow(partial(_keys, turns=turns, scales=scales, shifts=shifts), "curve int, key long, id long, query boolean, offered boolean, vec binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = keyed.repartitionByRange(parts, "curve", "key", "id").sortWithinPartitions("curve", "key", "id").withColumn("at", F.monotonically_increasing_id())
     ordered = materialize(ordered, "curves")
@@ -134,7 +142,7 @@ def nearest_neighbours(
     ranked = ordered.withColumn("part", part).join(maybe_broadcast(runs), ["curve", "part"]).withColumn("rank", F.col("at") + F.col("base"))
     reach = max(int(np.ceil(window * n)), 4 * k)
     groups = max(1, int(np.ceil((2 * reach + CHUNK) * max(vectors.filter("query").count(), 1) / n / QUERIES_A_TASK)))
-    rows = ranked.select("curve", F.floor(F.col("rank") / CHUNK).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("share"), "rank", "id", "vec")
+    rows = ranked.filter("offered").select("curve", F.floor(F.col("rank") / CHUNK).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("share"), "rank", "id", "vec")
     asked = ranked.filter("query").withColumn("share", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
     low, high = F.greatest(F.col("rank") - reach, F.lit(0)), F.least(F.col("rank") + reach, F.lit(n - 1).cast("long"))
     asked = asked.withColumn("chunk", F.explode(F.sequence(F.floor(low / CHUNK), F.floor(high / CHUNK)))).select("curve", "chunk", "share", "rank", "id", "vec")

@@ -173,6 +173,20 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert ann.nearest_neighbours(df, F.lit(False)).count() == 0
 
 
+def test_nearest_among_copies(spark):
+    """A vector that most rows share: the smallest ids are found, whatever the window."""
+    x = np.random.default_rng(4).normal(size=(30, 8))
+    rows = [(i, x[0].tolist()) for i in range(100, 700)] + [(i, x[i].tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann.nearest_neighbours(df, F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    copies = [0, *range(100, 111)]
+    assert set(got) == {0, *range(100, 700, 50)}
+    for q, found in got.items():
+        assert found == [(i, 0.0) for i in copies if i != q][:10]
+
+
 def test_recall(spark):
     sf = "/root/testdata/sf0.1"
     df = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
