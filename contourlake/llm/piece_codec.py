@@ -13,7 +13,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from .common import load
 MARK = "▁"
 CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 #: Distinct chunks that a worker's table holds before it starts anew.
-TABLE_ROWS = 200_000
+TABLE_ROWS = 300_000
 #: Chunks longer than this are segmented where they stand, not kept.
 KEPT_CHARS = 64
 
@@ -60,9 +62,14 @@ class ChunkTable:
 
     def segment(self, chunks: list[str]) -> list[tuple[bytes, str]]:
         ids = self.sp.encode(chunks, num_threads=1)
-        ids = [x if c else [self.mark] for c, x in zip(chunks, ids, strict=True)]
-        texts = [self.sp.decode(x) if c else "" for c, x in zip(chunks, ids, strict=True)]
-        return [(b"".join(i.to_bytes(4, "little") for i in x), t) for x, t in zip(ids, texts, strict=True)]
+        for i, c in enumerate(chunks):
+            if not c:
+                ids[i] = [self.mark]
+        texts = self.sp.decode(ids, num_threads=1)
+        ends = list(accumulate(4 * len(x) for x in ids))
+        packed = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
+        # The marker alone decodes to nothing, like the one in front of a text.
+        return [(packed[a:b], t if c else "") for c, a, b, t in zip(chunks, [0, *ends[:-1]], ends, texts, strict=True)]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """ids with begin and end, and the decoded text, of each text."""
