@@ -15,7 +15,7 @@ context. Questions are the distinct bigrams of each chunk of the corpus (see tok
 built from the same rows that ask it. A context with more than its share of all tokens is spread over shards by follower; its T(u) is the
 sum of theirs.
 
-Words are compared by 64-bit hashes, followers of a context by 40 further bits.
+Words are compared by 64-bit hashes, followers of a context by 32 bits of them.
 
 Nulls: a null text is the empty text, whose only token is the end. Null ids are kept and count as training. Repeated rows count as often as they
 occur. Without training texts the only known probability is that of the unknown, 1. Empty tables give no rows; other columns are ignored.
@@ -40,7 +40,7 @@ START, END = np.uint64(1), np.uint64(2)
 DISCOUNT = 0.75
 #: log10 of the smallest probability that 16 bits tell from 0, and the steps down to it.
 FLOOR, STEPS = -14.0, 65534
-PRINT_BITS = np.uint64(40)
+PRINT_BITS = np.uint64(32)
 
 
 class NgramTrie:
@@ -51,12 +51,13 @@ class NgramTrie:
 
     @classmethod
     def build(cls, contexts: np.ndarray, prints: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> NgramTrie:
-        """Rows (context hash, follower fingerprint, training count, c(context)), in any order; equal pairs add up."""
+        """Rows (context hash, follower fingerprint, training count, c(context) or 0 if it is the sum of the rows), in any order; equal pairs add up."""
         names, place = np.unique(contexts, return_inverse=True)
         pairs, at = np.unique((place.astype(np.uint64) << PRINT_BITS) | prints, return_inverse=True)
         count = np.bincount(at, counts, len(pairs))
         total = np.zeros(len(names))
-        total[place] = totals
+        np.maximum.at(total, place, totals)
+        total = np.where(total > 0, total, np.bincount(place, counts, len(names)))
         pairs, count = pairs[count > 0], count[count > 0]
         owner = (pairs >> PRINT_BITS).astype(np.int64)
         log = np.log10((count - DISCOUNT) / total[owner])
@@ -107,16 +108,6 @@ def mapped(trie: NgramTrie) -> NgramTrie:
         os.unlink(path)
 
 
-def read_prints(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(5, -1).T
-    return out.view(np.uint64).reshape(-1)
-
-
-def write_prints(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :5]).T.tobytes() if len(x) else b""
-
-
 def _word_order(chunk: Chunk, shards: int):
     shard = (chunk.vocab % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
@@ -203,8 +194,8 @@ class Pairs:
         key, self.place = np.unique(context * (n + 2) + words, return_inverse=True)
         self.context, self.word = key // (n + 2), key % (n + 2)
         self.trained = np.bincount(self.place[np.repeat(~chunk.flags, size)], minlength=len(key)).astype(np.uint32)
-        hot = self.count[self.context] * 4 * corpus.pair_shards > corpus.tokens
-        spread = hashes[self.context] + np.where(hot, mix(hashes[self.word]), np.uint64(0))
+        self.hot = self.count * 4 * corpus.pair_shards > corpus.tokens
+        spread = hashes[self.context] + np.where(self.hot[self.context], mix(hashes[self.word]), np.uint64(0))
         shard = (spread % np.uint64(corpus.pair_shards)).astype(np.int64)
         self.order = np.argsort(shard, kind="stable")
         self.cuts = np.searchsorted(shard[self.order], np.arange(corpus.pair_shards + 1))
@@ -227,14 +218,16 @@ def _ask_pairs(table: pa.Table, corpus: Corpus) -> pa.Table:
     out = []
     for s in range(corpus.pair_shards):
         own, contexts, runs = pairs.shard(s)
-        prints = pairs.hashes[pairs.word[own]] >> np.uint64(24)
-        out.append((s, pairs.chunk.chunk, pairs.hashes[contexts].tobytes(), planes(runs.astype(np.uint32)), planes(pairs.count[contexts]), write_prints(prints), planes(pairs.trained[own])))
+        prints = (pairs.hashes[pairs.word[own]] >> np.uint64(32)).astype(np.uint32)
+        # A context that is not spread adds up to its count in its shard.
+        totals = np.where(pairs.hot[contexts], pairs.count[contexts], 0)
+        out.append((s, pairs.chunk.chunk, pairs.hashes[contexts].tobytes(), planes(runs.astype(np.uint32)), planes(totals), planes(prints), planes(pairs.trained[own])))
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ASK_SCHEMA.types, strict=True)], schema=ASK_SCHEMA)
 
 
 def _answer_pairs(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
-    asked = [(np.frombuffer(r["contexts"], np.uint64), unplanes(r["runs"], np.uint32), unplanes(r["totals"], np.int64), read_prints(r["prints"]), unplanes(r["trained"], np.uint32)) for r in rows]
+    asked = [(np.frombuffer(r["contexts"], np.uint64), unplanes(r["runs"], np.uint32), unplanes(r["totals"], np.int64), unplanes(r["prints"], np.uint32).astype(np.uint64), unplanes(r["trained"], np.uint32)) for r in rows]
     contexts = np.concatenate([np.repeat(c, n) for c, n, *_ in asked])
     totals = np.concatenate([np.repeat(t, n) for _, n, t, *_ in asked])
     prints, trained = np.concatenate([a[3] for a in asked]), np.concatenate([a[4] for a in asked]).astype(np.float64)
