@@ -12,8 +12,8 @@ The trie is sharded by context. A shard holds its contexts (Elias-Fano over thei
 (context's place, fingerprint) so that one ascending Elias-Fano sequence serves all contexts, and the discounted probabilities in 16 bits,
 rounded down so that no context sums to more than 1. It is written to a file, memory-mapped, and asked by successor search relative to the place of the
 context. Questions are the distinct bigrams of each chunk of the corpus (see token_chunks), which also carry the training counts: a shard is
-built from the same rows that ask it. A context with more than its share of all tokens is spread over shards by follower; its T(u) is the
-sum of theirs.
+built from the same rows that ask it. A context with more than its share of all tokens is spread over shards by follower; each shard tells how many
+followers it holds, and T(u) is the sum over all shards, whichever of them a chunk asks. There are at most four such contexts a shard and the start.
 
 Words are compared by 64-bit hashes, followers of a context by 32 bits of them.
 
@@ -225,7 +225,11 @@ def _ask_pairs(table: pa.Table, corpus: Corpus) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ASK_SCHEMA.types, strict=True)], schema=ASK_SCHEMA)
 
 
+ANSWERS = "chunk long, shard int, codes binary, types binary, spread array<struct<context:bigint,types:bigint>>"
+
+
 def _answer_pairs(table: pa.Table) -> pa.Table:
+    """A row for each chunk; in one without a chunk, the shard's number of followers of each context that is spread."""
     rows = table.to_pylist()
     asked = [(np.frombuffer(r["contexts"], np.uint64), unplanes(r["runs"], np.uint32), unplanes(r["totals"], np.int64), unplanes(r["prints"], np.uint32).astype(np.uint64), unplanes(r["trained"], np.uint32)) for r in rows]
     contexts = np.concatenate([np.repeat(c, n) for c, n, *_ in asked])
@@ -235,15 +239,21 @@ def _answer_pairs(table: pa.Table) -> pa.Table:
     out = []
     for r, (c, n, _, p, _) in zip(rows, asked, strict=True):
         codes, types = trie.ask(c, n, p)
-        out.append((r["chunk"], r["shard"], planes(codes), planes(types.astype(np.uint64))))
-    schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("codes", pa.binary()), ("types", pa.binary())])
+        out.append((r["chunk"], r["shard"], planes(codes), planes(types.astype(np.uint64)), None))
+    spread = np.unique(contexts[totals > 0])
+    types = trie.ask(spread, np.zeros(len(spread), np.int64), np.zeros(0, np.uint64))[1]
+    told = [{"context": c, "types": t} for c, t in zip(spread.view(np.int64).tolist(), types.tolist(), strict=True)]
+    out.append((None, rows[0]["shard"], None, None, told))
+    pair = pa.list_(pa.struct([("context", pa.int64()), ("types", pa.int64())]))
+    schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("codes", pa.binary()), ("types", pa.binary()), ("spread", pair)])
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(table: pa.Table, corpus: Corpus) -> pa.Table:
+def _score(table: pa.Table, corpus: Corpus, spread: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """spread: hashes of the contexts that are spread over shards, ascending, and their followers in all shards."""
     rows = table.to_pylist()
     pairs = Pairs(rows, corpus)
     chunk, count = pairs.chunk, pairs.count
@@ -252,7 +262,9 @@ def _score(table: pa.Table, corpus: Corpus) -> pa.Table:
         if r["codes"] is not None:
             own, contexts, _ = pairs.shard(r["shard"])
             codes[own] = unplanes(r["codes"], np.uint16)
-            types[contexts] += unplanes(r["types"], np.uint64).astype(np.int64)
+            types[contexts] = unplanes(r["types"], np.uint64).astype(np.int64)
+    over = np.unique(pairs.context[pairs.hot[pairs.context]])
+    types[over] = spread[1][np.searchsorted(spread[0], pairs.hashes[over])]
     base = np.log10((count + 1) / (corpus.tokens + corpus.types + 1))
     lower = corpus.word_probability(count)[pairs.word]
     seen = count[pairs.context]
@@ -278,8 +290,14 @@ def score_texts(documents: DataFrame, flag: Column) -> DataFrame:
     counts = counts.filter("chunk IS NOT NULL").select("chunk", "shard", "counts")
     both = chunks.withColumn("shard", F.lit(None).cast("int")).unionByName(counts, allowMissingColumns=True)
     pairs = both.groupBy("chunk").applyInArrow(lambda key, t: _ask_pairs(t, corpus), ASK)
-    answers = materialize(pairs.groupBy("shard").applyInArrow(lambda key, t: _answer_pairs(t), "chunk long, shard int, codes binary, types binary"), "answers")
-    return both.unionByName(answers, allowMissingColumns=True).groupBy("chunk").applyInArrow(lambda key, t: _score(t, corpus), SCORES)
+    answers = materialize(pairs.groupBy("shard").applyInArrow(lambda key, t: _answer_pairs(t), ANSWERS), "answers")
+    # At most 4 * pair_shards + 1 contexts come to the driver.
+    told = answers.filter("chunk IS NULL").select(F.explode("spread").alias("s")).groupBy("s.context").agg(F.sum("s.types").alias("types")).toArrow()
+    hashes = told.column("context").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    spread = hashes[order], told.column("types").to_numpy()[order]
+    answers = answers.filter("chunk IS NOT NULL").drop("spread")
+    return both.unionByName(answers, allowMissingColumns=True).groupBy("chunk").applyInArrow(lambda key, t: _score(t, corpus, spread), SCORES)
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -410,6 +410,22 @@ def test_model_scores(spark, documents, monkeypatch, shards, words):
         assert g[5] == pytest.approx(w[5]) and g[6] == pytest.approx(w[6], abs=1e-3 * w[2])
 
 
+def test_model_of_a_spread_context(spark, monkeypatch):
+    """The followers of a frequent context count in all shards, also where a chunk asks only some of them."""
+    monkeypatch.setattr(lm_score, "shards_for", lambda items: 8)
+    make = token_chunks.token_chunks
+    monkeypatch.setattr(lm_score, "token_chunks", lambda d, flag: make(d, flag, 4))
+    rows = [(i, f"hub a{i % 40}") for i in range(60)] + [(i, f"hub b{i}") for i in range(60, 70)]
+    held = set(range(60, 70))
+    chunks = make(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False), 4)
+    assert chunks.agg(F.max("words")).first()[0] < 8  # no chunk has followers in all shards
+    got = by_id(lm_score.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id").isin(*held)), *(c.split()[0] for c in lm_score.SCORES.split(", ")))
+    want = brute_scores(rows, held)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[6] == pytest.approx(w[6], abs=1e-3 * w[2])
+
+
 def test_model_without_training(documents, no_documents):
     got = lm_score.score_texts(documents, F.lit(True)).collect()
     assert {r["train_tokens"] for r in got} == {0} and {r["score"] for r in got} == {0.0}
