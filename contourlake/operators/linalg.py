@@ -18,6 +18,12 @@ def component_basis(points: DataFrame, components: int = 500, sample: int = 3000
     return {"mean": mean, "components": rows, "variances": variances}
 
 
+def total_variance(points: DataFrame, vector: str = "v") -> DataFrame:
+    """total: the sum of the sample variances of all coordinates, over all rows; null for fewer than two."""
+    coordinates = points.select(F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "x"))
+    return coordinates.groupBy("pos").agg(F.var_samp("x").alias("s")).agg(F.sum("s").alias("total"))
+
+
 def project(points: DataFrame, basis: dict, key: str = "conf_id", vector: str = "v") -> DataFrame:
     """key, v: float32 coordinates along the components."""
     mean, rows = basis["mean"], basis["components"]

@@ -401,8 +401,7 @@ def pca_projection(spark, d):
 
 @query("SELECT round(sum(s), 4) AS total FROM (SELECT var_samp(embedding[k]::DOUBLE) AS s FROM embeddings, range(1, 65) r(k) GROUP BY k)")
 def pca_variance(spark, d):
-    basis = linalg.component_basis(points(spark, d), components=500)
-    return spark.createDataFrame([(round(float(basis["variances"].sum()), 4),)], "total double")
+    return linalg.total_variance(points(spark, d)).select(F.round("total", 4).alias("total"))
 
 
 @query()

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from contourlake.plans.queries import QUERIES, SQL, entry
 
@@ -43,6 +44,15 @@ def test_query(spark, tables, name):
         assert len(got)
 
 
+def test_variance_of_all_rows(spark, tmp_path):
+    """More rows than a basis is fitted on, and one far off."""
+    rows = spark.range(3500).select(F.col("id").alias("vec_id"), F.array(*(F.sin(F.col("id") * k) for k in range(1, 65))).cast("array<float>").alias("embedding"))
+    rows = rows.withColumn("embedding", F.when(F.col("vec_id") % 7 == 3, F.transform("embedding", lambda x: x * 9)).otherwise(F.col("embedding")))
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    sql = SQL["pca_variance"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet' AS embeddings")
+    assert QUERIES["pca_variance"](spark, str(tmp_path)).first()[0] == duckdb.sql(sql).fetchall()[0][0]
+
+
 def test_entry(spark):
     out = entry(spark, DATA).toPandas()
     assert out["n"].sum() == 500 and len(out) == 1
