@@ -2,7 +2,8 @@
 
 For each of ``curves`` orderings, vectors are projected on a few random orthonormal directions, each coordinate is mapped to its share
 of a bounded sample below it, shifted, and put on a grid; the Hilbert index of the grid cell is the key. Rows are range-partitioned by (curve, key),
-so their rank on a curve is a partition's offset plus the place in it. A query meets the rows within ``window`` of all ranks around its own
+so their rank on a curve is a partition's offset plus the place in it. Vectors of each length have orderings and ranks of their own; where all of a length
+are within reach of each other, one ordering does. A query meets the rows within ``window`` of all ranks around its own
 on every curve; chunks of ranks of bounded size are compared exactly, and the nearest of all curves are merged.
 
 The window is a share of the table, alike at every size. Vectors without any structure need a large one for a recall of 0.9 (see the README's
@@ -12,7 +13,7 @@ Of equal vectors only the k + 1 smallest ids are candidates: no other can be amo
 takes no more ranks than others do. All rows are indexed and any may ask.
 
 Nearness is Euclidean distance in double precision, ties to the smaller id. Vectors that are null, zero, or hold null or non-finite components, rows with a
-null id, and vectors of another length than most take no part. Rows that repeat an id are one candidate, at the nearest of its distances. An
+null id take no part, and vectors of different lengths are no neighbours. Rows that repeat an id are one candidate, at the nearest of its distances. An
 empty table or one without queries gives no rows; a query without candidates gives none. Other columns are ignored.
 """
 
@@ -68,26 +69,41 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def _keys(batches, turns: np.ndarray, scales: np.ndarray, shifts: np.ndarray):
-    """(curve, key, id, query, offered, vec) of every vector on every curve."""
-    schema = pa.schema([("curve", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("query", pa.bool_()), ("offered", pa.bool_()), ("vec", pa.binary())])
-    shares = np.linspace(0, 1, scales.shape[-1])
+def fit_curves(sample: np.ndarray, curves: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(turns, scales, shifts) of the orderings of vectors like those of the sample."""
+    d = sample.shape[1]
+    rng, m = np.random.default_rng(seed), min(DIRECTIONS, d)
+    turns = np.stack([np.linalg.qr(rng.normal(size=(d, d)))[0][:, :m] for _ in range(curves)])
+    shifts = rng.random((curves, m))
+    scales = np.stack([np.quantile(sample @ t, np.linspace(0, 1, 513), axis=0).T for t in turns])
+    return turns, scales + np.arange(513) * 1e-12, shifts  # ascending where the sample repeats itself
+
+
+def _keys(batches, fits: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    """(d, curve, key, id, query, offered, vec) of every vector on every curve of its length; those of a length without a fit are on one."""
+    schema = pa.schema([("d", pa.int32()), ("curve", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("query", pa.bool_()), ("offered", pa.bool_()), ("vec", pa.binary())])
     for batch in batches:
-        keep = [i for i, v in enumerate(batch.column(3).to_pylist()) if len(v) == 8 * turns.shape[1]]
-        if not keep:
-            continue
-        batch = batch.take(pa.array(keep))
-        x = matrix(batch.column(3).to_pylist())
-        for c in range(len(turns)):
-            y = x @ turns[c]
-            u = np.stack([np.interp(y[:, j], scales[c, j], shares) for j in range(y.shape[1])], axis=1)
-            cells = np.minimum(((u + shifts[c]) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
-            key = hilbert_index(cells, BITS)
-            yield record_batch([np.full(len(key), c, np.int32), key, *(batch.column(i) for i in range(4))], schema)
-
-
-def _nearest(table: pa.Table, k: int, reach: int) -> pa.Table:
-    """The k nearest of a chunk's rows within reach, for each of the queries that meet it."""
+        lengths: dict[int, list[int]] = {}
+        for i, v in enumerate(batch.column(3).to_pylist()):
+            lengths.setdefault(len(v) // 8, []).append(i)
+        for d, members in lengths.items():
+            part = batch.take(pa.array(members))
+            name = np.full(len(members), d, np.int32)
+            if d not in fits:
+                yield record_batch([name, np.zeros(len(members), np.int32), np.zeros(len(members), np.int64), *(part.column(i) for i in range(4))], schema)
+                continue
+            turns, scales, shifts = fits[d]
+            shares = np.linspace(0, 1, scales.shape[-1])
+            x = matrix(part.column(3).to_pylist())
+            for c in range(len(turns)):
+                y = x @ turns[c]
+                u = np.stack([np.interp(y[:, j], scales[c, j], shares) for j in range(y.shape[1])], axis=1)
+                cells = np.minimum(((u + shifts[c]) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
+                yield record_batch([name, np.full(len(members), c, np.int32), hilbert_index(cells, BITS), *(part.column(i) for i in range(4))], schema)
+
+
+def _nearest(table: pa.Table, k: int) -> pa.Table:
+    """The k nearest of a chunk's rows within a query's reach, for each of the queries that meet it."""
     asks = table.column("asks")
     rows, queries = table.filter(pc.invert(asks)), table.filter(asks)
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -98,7 +114,7 @@ def _nearest(table: pa.Table, k: int, reach: int) -> pa.Table:
     about = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T
     slack = 1e-9 * (np.abs(about).max() + 1)
     out = []
-    for i, (own, rank) in enumerate(zip(queries.column("id").to_pylist(), queries.column("rank").to_pylist(), strict=True)):
+    for i, (own, rank, reach) in enumerate(zip(*(queries.column(c).to_pylist() for c in ("id", "rank", "reach")), strict=True)):
         near = np.flatnonzero((ids != own) & (np.abs(ranks - rank) <= reach))
         if len(near) > k:
             d = about[i, near]
@@ -119,36 +135,32 @@ def nearest_neighbours(
     vectors = vectors.withColumn("first", place <= k + 1)
     place = F.dense_rank().over(Window.partitionBy("h", F.when(F.col("first"), F.lit(-1)).otherwise(F.col("salt"))).orderBy("id"))
     vectors = materialize(vectors.select("id", F.coalesce(queries, F.lit(False)).alias("query"), (F.col("first") & (place <= k + 1)).alias("offered"), "vec").filter("query OR offered"), "vectors")
-    sizes = vectors.groupBy(F.octet_length("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    spark = df.sparkSession
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, n = sizes["d"] // 8, sizes["count"]
-    sample = bounded_sample(vectors.filter(F.octet_length("vec") == 8 * d), n, SAMPLE)
-    rng, m = np.random.default_rng(seed), min(DIRECTIONS, d)
-    turns = np.stack([np.linalg.qr(rng.normal(size=(d, d)))[0][:, :m] for _ in range(curves)])
-    shifts = rng.random((curves, m))
-    scales = np.stack([np.quantile(sample @ t, np.linspace(0, 1, 513), axis=0).T for t in turns])
-    scales += np.arange(513) * 1e-12  # ascending where the sample repeats itself
-    keyed = vectors.mapInArrow(partial(_keys, turns=turns, scales=scales, shifts=shifts), "curve int, key long, id long, query boolean, offered boolean, vec binary")
+    # Of each length: rows, queries, ranks on either side that a query meets, parts that its queries are dealt to.
+    sizes = vectors.groupBy((F.octet_length("vec") / 8).cast("int").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if("query").alias("queries"))
+    sizes = sizes.withColumn("reach", F.greatest(F.ceil(F.col("n") * window), F.lit(4 * k).cast("long")))
+    share = (2 * F.col("reach") + CHUNK) * F.greatest("queries", F.lit(1)) / F.col("n") / QUERIES_A_TASK
+    sizes = materialize(sizes.withColumn("groups", F.greatest(F.ceil(share), F.lit(1)).cast("int")), "sizes")
+    spark, fits = df.sparkSession, {}
+    for d, n in sizes.filter("queries > 0 AND reach < n").select("d", "n").orderBy("d").collect():
+        fits[d] = fit_curves(bounded_sample(vectors.filter(F.octet_length("vec") == 8 * d), n, SAMPLE), curves, seed)
+    keyed = vectors.mapInArrow(partial(_keys, fits=fits), "d int, curve int, key long, id long, query boolean, offered boolean, vec binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = keyed.repartitionByRange(parts, "curve", "key", "id").sortWithinPartitions("curve", "key", "id").withColumn("at", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(parts, "d", "curve", "key", "id").sortWithinPartitions("d", "curve", "key", "id").withColumn("at", F.monotonically_increasing_id())
     ordered = materialize(ordered, "curves")
     part = F.shiftright("at", 33).alias("part")
     # A row for each partition and curve: where a curve's run in a partition starts.
-    runs = ordered.groupBy("curve", part).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("curve", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))
-    ranked = ordered.withColumn("part", part).join(maybe_broadcast(runs), ["curve", "part"]).withColumn("rank", F.col("at") + F.col("base"))
-    reach = max(int(np.ceil(window * n)), 4 * k)
-    groups = max(1, int(np.ceil((2 * reach + CHUNK) * max(vectors.filter("query").count(), 1) / n / QUERIES_A_TASK)))
-    rows = ranked.filter("offered").select("curve", F.floor(F.col("rank") / CHUNK).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("share"), "rank", "id", "vec")
-    asked = ranked.filter("query").withColumn("share", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-    low, high = F.greatest(F.col("rank") - reach, F.lit(0)), F.least(F.col("rank") + reach, F.lit(n - 1).cast("long"))
-    asked = asked.withColumn("chunk", F.explode(F.sequence(F.floor(low / CHUNK), F.floor(high / CHUNK)))).select("curve", "chunk", "share", "rank", "id", "vec")
-    on = ["curve", "chunk", "share"]
+    runs = ordered.groupBy("d", "curve", part).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("d", "curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("d", "curve", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))
+    runs = runs.join(maybe_broadcast(sizes.filter("queries > 0")), "d")
+    ranked = ordered.withColumn("part", part).join(maybe_broadcast(runs), ["d", "curve", "part"]).withColumn("rank", F.col("at") + F.col("base"))
+    rows = ranked.filter("offered").select("d", "curve", F.floor(F.col("rank") / CHUNK).alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("share"), "rank", F.lit(None).cast("long").alias("reach"), "id", "vec")
+    asked = ranked.filter("query").withColumn("share", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int"))
+    low, high = F.greatest(F.col("rank") - F.col("reach"), F.lit(0)), F.least(F.col("rank") + F.col("reach"), F.col("n") - 1)
+    asked = asked.withColumn("chunk", F.explode(F.sequence(F.floor(low / CHUNK), F.floor(high / CHUNK)))).select("d", "curve", "chunk", "share", "rank", "reach", "id", "vec")
+    on = ["d", "curve", "chunk", "share"]
     met = rows.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
-    found = met.groupBy(*on).applyInArrow(lambda key, table: _nearest(table, k, reach), "query_id long, vec_id long, score double")
+    found = met.groupBy(*on).applyInArrow(lambda key, table: _nearest(table, k), "query_id long, vec_id long, score double")
     merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return merged.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,14 +1,14 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products inside cells, one representative for each group.
 
-Equal vectors are one class from the start. k-means is fitted on a bounded sample (``SAMPLE`` classes chosen by hash) with about the square root
-of the number of classes as cells, so work grows as the power 1.5. Every class is put into its ``probes`` nearest cells, which is what finds pairs that a
+Equal vectors are one class from the start. Vectors of each length have cells of their own. k-means is fitted for each length on a bounded sample
+(``SAMPLE`` classes chosen by hash) with about the square root of the number of classes as cells; classes of a length that fit one block are one cell, so work grows as the power 1.5. Every class is put into its ``probes`` nearest cells, which is what finds pairs that a
 boundary parts; a pair counts in the first cell it shares. A cell is cut into blocks of bounded size, and each pair of blocks
 is a task of its own, so a cell with a third of all rows is spread over many tasks and no task holds more than two blocks. A task
 returns link counts and a spanning forest, never its pairs.
 
 A link is a cosine of at least the threshold, computed in double precision. Vectors that are null, zero, or hold null or non-finite components, and rows with a
 null id, link with nothing and are their own component. Rows with equal vectors all link with each other; repeated rows each keep a
-row. Vectors of another length than most of the sample's link with their equals only. An empty table gives no rows; other columns are ignored.
+row. Vectors of different lengths never link. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import record_batch
-from .common import load, materialize
+from .common import load, materialize, maybe_broadcast
 from .graph import connected_components, least_reachable
 from .vectors import bounded_sample, matrix, valid_vectors
 
@@ -46,14 +46,16 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> n
     return centres
 
 
-def _assign(batches, centres: np.ndarray, probes: int):
+def _assign(batches, centres: dict[int, np.ndarray], probes: int):
+    """centres: by bytes of a vector; vectors of any other length are in cell 0."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("vec", pa.binary()), ("cells", pa.list_(pa.int32()))])
     for batch in batches:
-        cells, vecs = [[]] * batch.num_rows, batch.column(2).to_pylist()
-        fit = [i for i, v in enumerate(vecs) if len(v) == 8 * centres.shape[1]]
-        if fit:
+        cells, vecs, lengths = [[0]] * batch.num_rows, batch.column(2).to_pylist(), {}
+        for i, v in enumerate(vecs):
+            lengths.setdefault(len(v), []).append(i)
+        for fit in (lengths[d] for d in lengths if d in centres):
             x = matrix(vecs[i] for i in fit)
-            near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ centres.T
+            near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ centres[len(vecs[fit[0]])].T
             top = np.argsort(-near, axis=1, kind="stable")[:, :probes]
             for i, c in zip(fit, np.sort(top, axis=1).tolist(), strict=True):
                 cells[i] = c
@@ -62,7 +64,7 @@ def _assign(batches, centres: np.ndarray, probes: int):
 
 def _compare(key, table: pa.Table, threshold: float) -> pa.Table:
     """One pair of blocks: (a, b, links): link counts (b null) and edges of a spanning forest (links null)."""
-    cell, one, two = (k.as_py() for k in key)
+    _, cell, one, two = (k.as_py() for k in key)
     table = table.sort_by("id")
     ids, n, block = (table.column(c).to_numpy() for c in ("id", "n", "block"))
     x = matrix(table.column("vec").to_pylist())
@@ -94,21 +96,19 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", column: str = "embedding
     """df(key bigint, column array) -> key, n_links, component_id, kept; one row for each input row."""
     vectors = valid_vectors(df, key, column).withColumn("h", F.md5("vec"))
     classes = materialize(vectors.groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec")), "classes")
-    n = classes.count()
-    sample = bounded_sample(classes.filter(F.octet_length("vec") == (classes.groupBy(F.octet_length("vec").alias("d")).count().orderBy(F.desc("count"), "d").first() or [0])[0]), n, SAMPLE)
-    if len(sample):
-        sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    else:
-        sample = np.ones((1, 1))
-    centres = spherical_kmeans(sample, int(min(MAX_CELLS, np.ceil(np.sqrt(max(n, 1))))))
+    length = F.octet_length("vec")
+    centres = {}
+    for d, n in classes.groupBy(length.alias("d")).count().filter(F.col("count") > BLOCK).orderBy("d").collect():
+        sample = bounded_sample(classes.filter(length == d), n, SAMPLE)
+        centres[d] = spherical_kmeans(sample / np.linalg.norm(sample, axis=1, keepdims=True), int(min(MAX_CELLS, np.ceil(np.sqrt(n)))))
     placed = materialize(classes.select("id", "n", "vec").mapInArrow(partial(_assign, centres=centres, probes=probes), "id long, n long, vec binary, cells array<int>"), "cells")
-    members = placed.withColumn("cell", F.explode("cells"))
-    blocks = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = members.join(F.broadcast(blocks), "cell")  # at most MAX_CELLS rows
+    members = placed.withColumn("d", length).withColumn("cell", F.explode("cells"))
+    blocks = members.groupBy("d", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    members = members.join(maybe_broadcast(blocks), ["d", "cell"])
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = members.select("cell", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "n", "vec", "cells", "block")
-    found = materialize(tasks.groupBy("cell", "one", "two").applyInArrow(lambda key, rows: _compare(key, rows, threshold), "a long, b long, links long"), "links")
+    tasks = members.select("d", "cell", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "n", "vec", "cells", "block")
+    found = materialize(tasks.groupBy("d", "cell", "one", "two").applyInArrow(lambda key, rows: _compare(key, rows, threshold), "a long, b long, links long"), "links")
     links = found.filter("links IS NOT NULL").groupBy("a").agg(F.sum("links").alias("links"))
     components = connected_components(found.filter("b IS NOT NULL").select("a", "b"))
     known = (

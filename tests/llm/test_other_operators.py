@@ -144,6 +144,39 @@ def test_near_duplicates(spark, monkeypatch):
     assert {r["n_links"] for r in vector_dedup.near_duplicates(df.filter("embedding IS NULL")).collect()} == {0}
 
 
+def two_lengths():
+    """Vectors of two models, a third of them of another length, near pairs among both."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for d, n in ((16, 100), (12, 50)):
+        base = rng.normal(size=(n // 2, d))
+        rows += [v.tolist() for v in base] + [(v + rng.normal(size=d) * 0.05).tolist() for v in base]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("block", [8, 64, 2048])
+def test_near_duplicates_of_each_length(spark, monkeypatch, block):
+    monkeypatch.setattr(vector_dedup, "BLOCK", block)
+    data = two_lengths()
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    rows = [(i, np.array(v) / np.linalg.norm(v)) for i, v in data]
+    want = {i: sum(len(x) == len(y) and x @ y >= 0.9 for j, y in rows if j != i) for i, x in rows}
+    assert got == want and all(want.values())
+
+
+@pytest.mark.parametrize("window", [1.0, 0.5])
+def test_neighbours_of_each_length(spark, monkeypatch, window):
+    monkeypatch.setattr(ann, "CHUNK", 16)
+    data = two_lengths() + [(900, [1.0, 0.0]), (901, [0.5, 0.5])]
+    got = defaultdict(list)
+    for r in ann.nearest_neighbours(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("id") % 10 == 0, k=3, window=window).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    rows = {i: np.array(v) for i, v in data}
+    for q, x in rows.items():
+        if q % 10 == 0:
+            assert got[q] == [i for _, i in sorted((((x - y) ** 2).sum(), i) for i, y in rows.items() if i != q and len(x) == len(y))[:3]]
+
+
 def test_hilbert_neighbours_are_adjacent():
     for bits, m in ((3, 2), (2, 3), (1, 5)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * m, indexing="ij"), axis=-1).reshape(-1, m)
