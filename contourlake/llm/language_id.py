@@ -1,9 +1,9 @@
 """Language identification by segmentation-marginalised unigrams over a fixed public vocabulary.
 
-Training: the words of a bounded sample of the training texts are cut into pieces of the public vocabulary, counted for each language, and smoothed to piece
+Training: the words of a bounded sample of the training texts, with a share of it for each language, are cut into pieces of the public vocabulary, counted for each language, and smoothed to piece
 probabilities. Scoring: a word's probability in a language is the sum over all its segmentations into pieces of the product
 of their probabilities (forward algorithm; a character that is no piece costs a fixed floor), a text's the product over its words, and the score
-is the posterior of the best language under the training shares as prior. Ties go to the smaller language code.
+is the posterior of the best language under its share of all training texts as prior. Ties go to the smaller language code.
 
 Words are runs outside white space, marked in front; a word of more than ``SPAN`` characters counts as spans of that length, so any text is
 scored whole in bounded memory. Each distinct word of a task is scored once while a bounded table holds it.
@@ -46,7 +46,7 @@ def spans(word: str) -> list[str]:
 
 
 def _count_pieces(batches, path: str):
-    """(lang, piece, n): piece counts of a task; piece -1 counts documents."""
+    """(lang, piece, n): piece counts of a task."""
     schema = pa.schema([("lang", pa.string()), ("piece", pa.int32()), ("n", pa.int64())])
     sp = processor(path)
     size, words, totals = sp.get_piece_size(), {}, {}
@@ -54,12 +54,12 @@ def _count_pieces(batches, path: str):
     def settle():
         for lang, counter in words.items():
             known = list(counter)
-            into = totals.setdefault(lang, np.zeros(size + 1, np.int64))
+            into = totals.setdefault(lang, np.zeros(size, np.int64))
             for at in range(0, len(known), 8192):
                 part = known[at : at + 8192]
                 ids = sp.encode(part, num_threads=1)
                 weight = np.repeat([counter[w] for w in part], [len(x) for x in ids])
-                into[:-1] += np.bincount(np.fromiter((i for x in ids for i in x), np.int64, len(weight)), weight, size).astype(np.int64)
+                into += np.bincount(np.fromiter((i for x in ids for i in x), np.int64, len(weight)), weight, size).astype(np.int64)
         words.clear()
 
     for batch in slices(batches, 1):
@@ -67,34 +67,47 @@ def _count_pieces(batches, path: str):
             if lang not in words:
                 words[lang] = Counter()
             words[lang].update(text.split())
-            totals.setdefault(lang, np.zeros(size + 1, np.int64))[-1] += 1
         if sum(map(len, words.values())) > TABLE_ROWS:
             settle()
     settle()
     for lang, counts in totals.items():
         used = np.flatnonzero(counts)
-        yield record_batch([[lang] * len(used), np.where(used == size, -1, used).astype(np.int32), counts[used]], schema)
+        yield record_batch([[lang] * len(used), used.astype(np.int32), counts[used]], schema)
+
+
+def shares_of(texts: dict[str, int], sample: int) -> dict[str, float]:
+    """Numbers of texts by language -> the share of each to learn from: languages with few give all, the others alike what is left."""
+    left, out = sample, {}
+    for i, (lang, n) in enumerate(sorted(texts.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, left / (len(texts) - i))
+        out[lang], left = take / n, left - take
+    return out
 
 
 def fit_language_model(docs: DataFrame, path: str | None = None, sample: int = SAMPLE) -> dict:
     """docs(lang, text) -> the model: languages, log-probabilities of pieces by language, log prior. Rows of null lang or text are left out.
 
-    Of more than ``sample`` labelled rows about so many are learned from, whole texts chosen by a hash of the text.
+    Of more than ``sample`` distinct labelled texts about so many are learned from, whole texts chosen by a hash of the text, with a share for each
+    language. Equal texts of a language count once for the pieces; the prior counts all rows.
     """
-    rows = docs.select("lang", "text").filter("lang IS NOT NULL")
-    share = min(1.0, sample / max(rows.count(), 1))
-    if share < 1:
-        rows = rows.filter(F.shiftrightunsigned(F.xxhash64(F.lit(9), "text"), 11) <= F.lit(share * (1 << 53)))
-    rows = rows.filter("text IS NOT NULL")
+    rows = docs.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")
+    # A row for each language.
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts")).collect()
+    langs = sorted(r["lang"] for r in sizes)
+    docs_of = np.array([n for _, n in sorted((r["lang"], r["n"]) for r in sizes)], np.float64)
+    shares = shares_of({r["lang"]: max(1, min(r["n"], r["texts"])) for r in sizes}, sample)
+    if any(s < 1 for s in shares.values()):
+        share = F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col("lang"))
+        rows = rows.filter(F.shiftrightunsigned(F.xxhash64(F.lit(9), "text"), 11) <= share * F.lit(float(1 << 53)))
+    rows = rows.dropDuplicates(["lang", "text"])
     path = path or model_path()
-    # At most (vocabulary + 1) rows for each language come to the driver.
+    # At most a vocabulary of rows for each language come to the driver.
     found = rows.mapInArrow(partial(_count_pieces, path=path), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(found["lang"].unique().tolist())
     size = processor(path).get_piece_size()
-    counts = np.zeros((size + 1, len(langs)))
+    counts = np.zeros((size, len(langs)))
     counts[found["piece"].to_numpy(np.int64), [langs.index(x) for x in found["lang"]]] = found["n"].to_numpy(np.float64)
-    pieces, docs_of = counts[:-1] + SMOOTHING, counts[-1]
-    return {"langs": langs, "pieces": np.log(pieces / pieces.sum(0)).astype(np.float32), "prior": np.log(np.maximum(docs_of, 1) / max(docs_of.sum(), 1)), "path": path}
+    pieces = counts + SMOOTHING
+    return {"langs": langs, "pieces": np.log(pieces / pieces.sum(0)).astype(np.float32), "prior": np.log(docs_of / max(docs_of.sum(), 1)), "path": path}
 
 
 class WordScores:

@@ -335,6 +335,19 @@ def test_language_awkward_documents(documents, no_documents):
     assert language_id.predict_language(no_documents, model).count() == 0
 
 
+def test_language_sample(spark):
+    """A rare language and one text that a third of all rows share: the rare one is learned whole, the copies count once, the prior counts all."""
+    rows = [("en", f"the common word {i} of w{i}") for i in range(2000)] + [("en", "kopie")] * 1000 + [("is", f"sjaldgæft orð {i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    model = language_id.fit_language_model(docs, sample=100)
+    assert model["langs"] == ["en", "is"]
+    assert np.exp(model["prior"]) == pytest.approx([3000 / 3005, 5 / 3005])
+    rare = docs.filter("lang = 'is'")
+    assert (model["pieces"][:, 1] == language_id.fit_language_model(rare)["pieces"][:, 0]).all()
+    whole, once = (language_id.fit_language_model(d)["pieces"] for d in (docs, docs.distinct()))
+    assert (whole == once).all()
+
+
 def test_language_ignores_table_bounds(documents, monkeypatch):
     model = language_id.fit_language_model(documents)
     texts = [r["text"] for r in documents.collect() if r["text"]]
