@@ -5,8 +5,8 @@ finds spans, and appends them to the ledger; findings then join back to all rows
 same rules reads no text of a known blob.
 
 Rules (leftmost, not overlapping, for each kind; offsets are code points, ends exclusive): ``assign`` a named credential with a value of 6 or
-more characters, ``access`` an access-key id of 20 or more, ``hex`` a run of 24 or more lower-case hex digits, ``pem`` the header line
-of a private key.
+more characters, ``access`` an access-key id of 20 or more, ``hex`` a run of 24 or more lower-case hex digits, ``pem`` a private key from
+its header to the matching END line, or without one over the following base64 lines.
 
 A null text is the empty text, without findings. Rows with equal texts get equal findings, each its own row; null ids are kept. An empty
 table gives no rows and leaves the ledger as it is. Other columns are ignored. Texts are scanned whole.
@@ -25,13 +25,17 @@ from pyspark.sql import functions as F
 from .arrow import record_batch, slices
 from .common import load, maybe_broadcast, shared_dir
 
-RULE_VERSION = "1"
+RULE_VERSION = "2"
 KINDS = ("assign", "access", "hex", "pem")
 BASE = KINDS[:3]
 ASSIGN = re.compile(r"""(?a:(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+PEM = re.compile(
+    r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----"
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----"
+    r"|(?:[ \t]*\r?\n(?:[A-Za-z-]+: [^\n]*(?:\n[ \t]*\r?(?=\n))?|[ \t]*[A-Za-z0-9+/=]+[ \t]*(?=\r?(?:\n|\Z))))*)"
+)
 
 LEDGER = "blob binary, rules string, findings array<struct<kind:string,start:int,end:int>>"
 FINDINGS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -335,6 +335,19 @@ def test_language_awkward_documents(documents, no_documents):
     assert language_id.predict_language(no_documents, model).count() == 0
 
 
+def test_private_keys_to_their_end():
+    body = "\n".join(["MIIEpAIBAAKCAQEA7bq+/" * 3] * 3)
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\nQw==\n-----END RSA PRIVATE KEY-----"
+    open_ = f"-----BEGIN PRIVATE KEY-----\r\n{body}\nQw=="
+    headed = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}"
+    alone = "-----BEGIN EC PRIVATE KEY-----"
+    for whole in (key, open_, headed, alone, key.replace("\n", " ")):
+        text = f"before {whole}\nand some words after"
+        assert [text[a:b] for kind, a, b in secrets.find_secrets(text) if kind == "pem"] == [whole]
+    text = f"{alone} and more, then {key} end"
+    assert [text[a:b] for kind, a, b in secrets.find_secrets(text) if kind == "pem"] == [alone, key]
+
+
 def test_language_sample(spark):
     """A rare language and one text that a third of all rows share: the rare one is learned whole, the copies count once, the prior counts all."""
     rows = [("en", f"the common word {i} of w{i}") for i in range(2000)] + [("en", "kopie")] * 1000 + [("is", f"sjaldgæft orð {i}") for i in range(5)]
