@@ -3,6 +3,8 @@
 import glob
 import hashlib
 import os
+import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -50,7 +52,7 @@ CHATS = [
 
 def test_chats_read_back(spark):
     df = spark.createDataFrame([(*c, "clash", 1) for c in CHATS], "conv_id long, turn long, role string, text string, formatted string, t int")
-    out = {r["conv_id"]: r for r in chat_format.format_chats(df).withColumn("turns", chat_format.read_back(F.col("formatted"))).collect()}
+    out = {r["conv_id"]: r for r in chat_format.format_chats(df).withColumn("turns", chat_format.read_back(F.col("formatted"))).withColumn("cut", chat_format.spans_text(F.col("formatted"), F.col("loss_spans"))).collect()}
     own = defaultdict(list)
     for conv, turn, role, text in CHATS:
         own[conv].append(((turn is not None, turn or 0), role or "", text or ""))
@@ -59,18 +61,26 @@ def test_chats_read_back(spark):
         turns = [(role, text) for _, role, text in sorted(turns)]
         r = out[conv]
         assert [tuple(t) for t in r["turns"]] == turns
-        assert r["formatted"] == "".join(s["text"] for s in r["segments"])
-        masked = [s["text"] for s in r["segments"] if s["loss"]]
-        assert len(masked) == sum(role == "assistant" for role, _ in turns)
+        masked = [r["formatted"][a:b] for a, b in r["loss_spans"]]
+        assert masked == r["cut"] and [re.sub(r"(?s)\\(.)", r"\1", x) for x in masked] == [text for role, text in turns if role == "assistant"]
         blocks = sum(i == 0 or turns[i - 1][0] != role for i, (role, _) in enumerate(turns))
         assert len(r["blocks"]) == blocks == r["formatted"].count("</s>")
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
 def test_long_conversation(spark):
-    df = spark.range(20_000).select(F.lit(1).alias("conv_id"), (-F.col("id")).alias("turn"), F.when(F.col("id") % 3 == 0, "assistant").otherwise("user").alias("role"), F.col("id").cast("string").alias("text"))
-    r = chat_format.format_chats(df).select(F.size(chat_format.read_back(F.col("formatted"))).alias("n"), F.get(chat_format.read_back(F.col("formatted")), F.lit(0)).alias("first")).first()
-    assert r["n"] == 20_000 and tuple(r["first"]) == ("user", "19999")
+    """Work does not grow with the square of the number of turns."""
+    df = spark.range(20_000).select(F.lit(1).alias("conv_id"), (-F.col("id")).alias("turn"), F.when(F.col("id") % 3 == 0, "assistant").otherwise("user").alias("role"), F.concat(F.col("id").cast("string"), F.lit("</s>")).alias("text"))
+    out = chat_format.format_chats(df)
+    cut = chat_format.spans_text(F.col("formatted"), F.col("loss_spans"))
+    back = chat_format.read_back(F.col("formatted"))
+    began = time.time()
+    r = out.select("formatted", "loss_spans", F.size(back).alias("n"), F.get(back, F.lit(0)).alias("first"), cut.alias("cut")).first()
+    took = time.time() - began
+    assert r["n"] == 20_000 and tuple(r["first"]) == ("user", "19999</s>")
+    assert r["cut"] == [f"{i}<\\/s>" for i in range(19_999, -1, -1) if i % 3 == 0]
+    assert r["cut"] == [r["formatted"][a:b] for a, b in r["loss_spans"]]
+    assert took < 5, took
 
 
 # Components
