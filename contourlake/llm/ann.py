@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .arrow import record_batch
+from .arrow import map_batches, record_batch
 from .common import load, materialize, maybe_broadcast
 from .vectors import bounded_sample, matrix, valid_vectors
 
@@ -143,7 +143,7 @@ def nearest_neighbours(
     spark, fits = df.sparkSession, {}
     for d, n in sizes.filter("queries > 0 AND reach < n").select("d", "n").orderBy("d").collect():
         fits[d] = fit_curves(bounded_sample(vectors.filter(F.octet_length("vec") == 8 * d), n, SAMPLE), curves, seed)
-    keyed = vectors.mapInArrow(partial(_keys, fits=fits), "d int, curve int, key long, id long, query boolean, offered boolean, vec binary")
+    keyed = map_batches(vectors, partial(_keys, fits=fits), "d int, curve int, key long, id long, query boolean, offered boolean, vec binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = keyed.repartitionByRange(parts, "d", "curve", "key", "id").sortWithinPartitions("d", "curve", "key", "id").withColumn("at", F.monotonically_increasing_id())
     ordered = materialize(ordered, "curves")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows up to which a table of small fixed-width rows is broadcast (at most about 20 MB).
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a table is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,9 +22,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the session names none (tests)."""
+    """The folder that driver and executors share; a local one is set only where the session names none and runs in one process (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="contourlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,10 +49,18 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if a count of its rows proves it small; otherwise leave the join to shuffle."""
-    small = len(df.limit(max_rows + 1).select(F.lit(1)).groupBy().count().filter(F.col("count") <= max_rows).take(1)) > 0
-    return F.broadcast(df) if small else df
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row; a nested value counts by its text."""
+    kinds = {"string": F.octet_length, "binary": F.octet_length}
+    fixed = lambda c: F.lit(8)
+    nested = lambda c: F.octet_length(F.to_json(F.struct(c)))
+    parts = [F.coalesce(kinds.get(t, nested if t.startswith(("array", "struct", "map")) else fixed)(F.col(c)), F.lit(0)) for c, t in df.dtypes]
+    return reduce(lambda a, b: a + b, parts, F.lit(16)).cast("long")
+
+
+def maybe_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if its rows, measured, are small; otherwise leave the join to shuffle."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df)).alias("bytes")).first()["bytes"] or 0) <= max_bytes else df
 
 
 def ascii_lower(c: Column) -> Column:

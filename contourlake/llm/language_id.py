@@ -5,8 +5,8 @@ probabilities. Scoring: a word's probability in a language is the sum over all i
 of their probabilities (forward algorithm; a character that is no piece costs a fixed floor), a text's the product over its words, and the score
 is the posterior of the best language under its share of all training texts as prior. Ties go to the smaller language code.
 
-Words are runs outside white space, marked in front; a word of more than ``SPAN`` characters counts as spans of that length, so any text is
-scored whole in bounded memory. Each distinct word of a task is scored once while a bounded table holds it.
+Words are runs outside white space, marked in front. The forward algorithm needs the sums of the last few prefixes only, as many as the
+longest piece has characters, and rescales them as it goes, so a word of any length is scored whole. Each distinct word of a task is scored once while a bounded table holds it.
 
 A null text, or one without a letter (Unicode category L), is ``und`` with score 0; so is every text if there is nothing to learn from. Rows
 without a label are not learned from. Null ids, repeated rows and ties need no rule. Other columns are never read. The labels are a
@@ -23,13 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import record_batch, slices
+from .arrow import map_batches, record_batch, slices
 from .common import load
 from .piece_codec import MARK, model_path, processor
 
-SPAN = 24
-#: Distinct words that a worker holds before it starts anew.
-TABLE_ROWS = 300_000
+#: Words up to this length are scored together, those of one length at a time; longer ones by a window over their characters. Both sum all segmentations.
+BLOCK_CHARS = 24
+#: Starts of a long word that pieces are looked up for at a time.
+LONG_STEP = 4096
+#: Distinct words that a worker holds, and their characters, before it starts anew.
+TABLE_ROWS, TABLE_CHARS = 200_000, 8_000_000
 #: Labelled rows that a model is learned from, about.
 SAMPLE = 65_536
 #: Added to the count of every piece.
@@ -40,11 +43,6 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 FLAG_BITS = 22
 
 
-def spans(word: str) -> list[str]:
-    word = MARK + word
-    return [word[i : i + SPAN] for i in range(0, len(word), SPAN)] if len(word) > SPAN else [word]
-
-
 def _count_pieces(batches, path: str):
     """(lang, piece, n): piece counts of a task."""
     schema = pa.schema([("lang", pa.string()), ("piece", pa.int32()), ("n", pa.int64())])
@@ -102,7 +100,7 @@ def fit_language_model(docs: DataFrame, path: str | None = None, sample: int = S
     rows = rows.dropDuplicates(["lang", "text"])
     path = path or model_path()
     # At most a vocabulary of rows for each language come to the driver.
-    found = rows.mapInArrow(partial(_count_pieces, path=path), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+    found = map_batches(rows, partial(_count_pieces, path=path), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
     size = processor(path).get_piece_size()
     counts = np.zeros((size, len(langs)))
     counts[found["piece"].to_numpy(np.int64), [langs.index(x) for x in found["lang"]]] = found["n"].to_numpy(np.float64)
@@ -128,6 +126,7 @@ class WordScores:
         self.flags[(self.hashes * FACTOR) >> np.uint64(64 - FLAG_BITS)] = True
         self.p = np.exp(np.vstack([model["pieces"].astype(np.float64), np.full((1, len(model["langs"])), UNKNOWN)]))
         self.at: dict[str, int] = {}
+        self.held = 0
         self.logs = np.zeros((0, len(model["langs"])))
 
     @staticmethod
@@ -145,11 +144,14 @@ class WordScores:
         return maybe[hit], self.ids[at[hit]]
 
     def forward(self, strings: list[str]) -> np.ndarray:
-        """Log-probabilities of strings of at most SPAN characters, all of one length at a time: alpha[i] sums the segmentations of the first i characters."""
+        """Log-probabilities of strings: alpha[i] sums the segmentations of the first i characters."""
         out = np.zeros((len(strings), self.p.shape[1]))
         by_length: dict[int, list[int]] = {}
         for i, s in enumerate(strings):
-            by_length.setdefault(len(s), []).append(i)
+            if len(s) > BLOCK_CHARS:
+                out[i] = self.forward_long(s)
+            else:
+                by_length.setdefault(len(s), []).append(i)
         unknown = self.p[-1]
         for n, members in by_length.items():
             codes = np.array([strings[i] for i in members], f"U{n}").view(np.uint32).reshape(len(members), n).T.astype(np.uint64) + np.uint64(1)
@@ -169,15 +171,51 @@ class WordScores:
             out[members] = np.log(np.maximum(alpha[n], 1e-300))
         return out
 
+    def forward_long(self, string: str) -> np.ndarray:
+        """The same for one string of any length, LONG_STEP starts at a time: sums of the last prefixes, times e to the power -scale."""
+        n, unknown = len(string), self.p[-1]
+        codes = np.frombuffer(string.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        # sums[j]: the sum for the prefix that ends j characters after the next start.
+        sums, scale = np.zeros((self.longest + 1, len(unknown))), np.zeros(len(unknown))
+        sums[0] = 1
+        for first in range(0, n, LONG_STEP):
+            last = min(n, first + LONG_STEP)
+            starts, lengths, ids = [], [], []
+            h = np.zeros(last - first, np.uint64)
+            for length in range(1, min(self.longest, n - first) + 1):
+                h = h[: min(last, n - length + 1) - first]
+                h = h * FACTOR + codes[first + length - 1 : first + length - 1 + len(h)]
+                hit, found = self.find(h)
+                starts.append(hit), ids.append(found), lengths.append(np.full(len(hit), length))
+            known = np.zeros(last - first, bool)
+            known[starts[0]] = True
+            start, length, piece = map(np.concatenate, (starts, lengths, ids))
+            order = np.argsort(start, kind="stable")
+            length, p = length[order], self.p[piece[order]]
+            cuts = np.searchsorted(start[order], np.arange(last - first + 1))
+            for at in range(last - first):
+                own = sums[0].copy()
+                if own.min() < 1e-100:
+                    # Every language has a scale of its own; no sum is 0, as any character may stand alone.
+                    scale += np.log(own)
+                    sums /= own
+                    own = sums[0].copy()
+                a, b = cuts[at], cuts[at + 1]
+                sums[length[a:b]] += own * p[a:b]
+                if not known[at]:
+                    sums[1] += own * unknown
+                sums[:-1] = sums[1:]
+                sums[-1] = 0
+        return np.log(np.maximum(sums[0], 1e-300)) + scale
+
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.at]
-        if len(self.at) + len(new) > TABLE_ROWS:
-            self.at, self.logs, new = {}, self.logs[:0], list(words)
-        parts = [spans(w) for w in new]
-        logs = self.forward([s for p in parts for s in p])
-        first = np.cumsum([0, *map(len, parts)])[:-1]
+        if len(self.at) + len(new) > TABLE_ROWS or self.held + sum(map(len, new)) > TABLE_CHARS:
+            self.at, self.logs, self.held, new = {}, self.logs[:0], 0, list(words)
+        self.held += sum(map(len, new))
+        logs = self.forward([MARK + w for w in new])
         self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-        self.logs = np.vstack([self.logs, np.add.reduceat(logs, first, axis=0)]) if new else self.logs
+        self.logs = np.vstack([self.logs, logs]) if new else self.logs
 
     def score(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
@@ -203,7 +241,7 @@ def _predict(batches, model: dict):
 def predict_language(docs: DataFrame, model: dict, key: str = "doc_id", flag: Column | None = None) -> DataFrame:
     """docs(key bigint, text) -> key, held_out (the flag as given), lang_pred, score."""
     rows = docs.select(F.col(key).cast("long").alias("row"), (F.lit(False) if flag is None else flag).alias("held_out"), "text")
-    return rows.mapInArrow(partial(_predict, model=model), "row long, held_out boolean, lang_pred string, score double").withColumnRenamed("row", key)
+    return map_batches(rows, partial(_predict, model=model), "row long, held_out boolean, lang_pred string, score double").withColumnRenamed("row", key)
 
 
 def _keep(batches, model: dict, text: str, least: float):
@@ -221,7 +259,7 @@ def _keep(batches, model: dict, text: str, least: float):
 
 def keep_languages(docs: DataFrame, model: dict, least: float = 0.5, text: str = "text") -> DataFrame:
     """The rows whose language is known with a score of at least ``least``, as they are; null texts and texts without a letter go."""
-    return docs.mapInArrow(partial(_keep, model=model, text=text, least=least), docs.schema)
+    return map_batches(docs, partial(_keep, model=model, text=text, least=least), docs.schema)
 
 
 def held_out(key: Column, modulus: int) -> Column:

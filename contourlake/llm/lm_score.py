@@ -25,12 +25,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import map_batches
 from .common import load, materialize
 from .elias_fano import EliasFano
 from .language_id import held_out
@@ -283,7 +285,7 @@ def score_texts(documents: DataFrame, flag: Column) -> DataFrame:
     chunks = token_chunks(documents, flag)
     size = chunks.agg(F.sum("words").alias("words"), F.sum(F.octet_length("vocab") / 8).alias("vocab")).first()
     shards, pair_shards = shards_for(size["vocab"] or 1), shards_for(size["words"] or 1)
-    asked = chunks.mapInArrow(lambda batches: _ask_words(batches, shards), "shard int, chunk long, hashes binary, counts binary, texts long")
+    asked = map_batches(chunks, partial(_ask_words, shards=shards), "shard int, chunk long, hashes binary, counts binary, texts long")
     counts = materialize(asked.groupBy("shard").applyInArrow(lambda key, t: _count_words(t), COUNTS), "counts")
     stats = ("tokens_seen", "types_seen", "once", "twice", "texts")
     corpus = Corpus(counts.filter("chunk IS NULL").agg(*(F.sum(c).alias(c) for c in stats)).first(), shards, pair_shards)

@@ -20,11 +20,14 @@ are ignored.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import map_batches
 from .common import load, materialize, maybe_broadcast
 from .graph import connected_components, least_reachable
 from .token_chunks import Chunk, mix, shards_for, token_chunks
@@ -202,7 +205,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     """documents(doc_id bigint, text) -> doc_id, n_shingles, component_id."""
     chunks = token_chunks(documents)
     shards = shards_for(chunks.agg(F.sum("words")).first()[0] or 1)
-    asked = chunks.mapInArrow(lambda batches: _ask(batches, n, shards), "shard int, chunk long, prints binary, counts binary")
+    asked = map_batches(chunks, partial(_ask, n=n, shards=shards), "shard int, chunk long, prints binary, counts binary")
     codes = materialize(asked.groupBy("shard").applyInArrow(lambda key, t: _frequencies(t), "chunk long, shard int, codes binary"), "codes")
     told = chunks.withColumn("shard", F.lit(None).cast("int")).withColumn("codes", F.lit(None).cast("binary")).unionByName(codes, allowMissingColumns=True)
     found = materialize(told.groupBy("chunk").applyInArrow(lambda key, t: _prefixes(t, n, percent, shards), SET_COLUMNS), "sets")

@@ -1,8 +1,12 @@
 """SentencePiece encoding and decoding through a table of distinct marked words.
 
 No piece of the model has a whitespace marker behind another character, so merges never cross the start of a marker run: a text is cut there, each
-distinct chunk is segmented once for each task (and each time its bounded table starts anew), and the ids are joined
-back by position. The result equals the library's own on the whole text; a model with crossing pieces is refused.
+distinct chunk of the whole corpus is segmented once, and the ids are joined back by position. The result equals the library's own on the whole text; a
+model with crossing pieces is refused.
+
+1. Documents are numbered: a row holds some whole documents as numbers of their words, with the distinct words (bounded in number) in a list.
+2. The distinct-chunk table: the lists' words are dealt by word and sorted, so that all places of a word meet, and it is segmented once however many there are.
+3. Ids and decoded words go back to the rows that asked, and from there to the documents by position.
 
 A text of any length is encoded whole. A null text is the empty text, with begin and end ids only. Rows are independent, so
 null keys, ties, repeated rows and empty tables need no rule; other columns are ignored.
@@ -10,25 +14,27 @@ null keys, ties, repeated rows and empty tables need no rule; other columns are
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
 from functools import partial
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import FLUSH_BYTES, record_batch, slices
-from .common import load
+from .arrow import map_batches, record_batch, slices
+from .common import load, materialize
+from .token_chunks import Numbers, planes, unplanes
 
 MARK = "▁"
 CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
-#: Distinct chunks that a worker's table holds before it starts anew.
-TABLE_ROWS = 300_000
-#: Chunks longer than this are segmented where they stand, not kept.
-KEPT_CHARS = 64
+#: Words and distinct words after which a row of numbered documents ends.
+ROW_WORDS, ROW_DISTINCT = 2_000_000, 200_000
+#: Distinct words that the library gets at a time.
+STEP = 4096
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -48,71 +54,113 @@ def processor(path: str):
 
 def chunks_of(text: str) -> list[str]:
     """The text's chunks, each without its first marker (the one that encode() puts before a text)."""
+    if not text:
+        return []
     if MARK not in text and "  " not in text and not text.startswith(" ") and not text.endswith(" "):
         return text.split(" ")
     return [c[1:] for c in CHUNK.findall(" " + text)]
 
 
-class ChunkTable:
-    """chunk -> (ids as little-endian uint32, decoded text)."""
-
-    def __init__(self, path: str):
-        self.sp, self.rows = processor(path), {}
-        self.mark = self.sp.piece_to_id(MARK)
-
-    def segment(self, chunks: list[str]) -> list[tuple[bytes, str]]:
-        ids = self.sp.encode(chunks, num_threads=1)
-        for i, c in enumerate(chunks):
-            if not c:
-                ids[i] = [self.mark]
-        texts = self.sp.decode(ids, num_threads=1)
-        ends = list(accumulate(4 * len(x) for x in ids))
-        packed = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
-        # The marker alone decodes to nothing, like the one in front of a text.
-        return [(packed[a:b], t if c else "") for c, a, b, t in zip(chunks, [0, *ends[:-1]], ends, texts, strict=True)]
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """ids with begin and end, and the decoded text, of each text."""
-        begin, end = self.sp.bos_id().to_bytes(4, "little"), self.sp.eos_id().to_bytes(4, "little")
-        cut = [chunks_of(t) if t else [] for t in texts]
-        new = [c for c in set().union(*cut) if c not in self.rows]
-        if len(self.rows) + len(new) > TABLE_ROWS:
-            self.rows.clear()
-            new = list(set().union(*cut))
-        rows = self.rows
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            rows.update(zip(part, self.segment(part), strict=True))
-        for chunks in cut:
-            found = [rows[c] for c in chunks]
-            yield begin + b"".join([x[0] for x in found]) + end, " ".join([x[1] for x in found])
-        if len(rows) > TABLE_ROWS or any(len(c) > KEPT_CHARS for c in new):
-            for c in new:
-                if len(c) > KEPT_CHARS:
-                    rows.pop(c, None)
-
-
-
-
-def _encode(batches, path: str):
-    schema = pa.schema([("row", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
-    table = ChunkTable(path)
+NUMBERED = "row long, docs binary, nulls binary, lengths binary, tokens binary, words array<string>"
+
+
+def _number(batches):
+    """Documents as numbers of their words, frequent words small."""
+    from pyspark import TaskContext
+
+    schema = pa.schema([("row", pa.int64())] + [(c, pa.binary()) for c in ("docs", "nulls", "lengths", "tokens")] + [("words", pa.list_(pa.string()))])
+    part, made = TaskContext.get().partitionId(), 0
+    docs, nulls, tokens, numbers, held = [], [], [], Numbers(), 0
+
+    def packed():
+        ids = np.concatenate([np.zeros(0, np.uint32), *tokens])
+        order = np.argsort(-np.bincount(ids, minlength=len(numbers)), kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        words = pa.array(list(numbers), pa.string()).take(pa.array(order))
+        lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        lengths = np.fromiter(map(len, tokens), np.uint32, len(tokens))
+        return record_batch([[(part << 32) + made], [planes(np.array(docs, np.int64))], [np.array(nulls, np.uint8).tobytes()], [planes(lengths)], [zstandard.compress(planes(place[ids]), 3)], lists], schema)
+
     for batch in slices(batches, 1):
-        keys, ids, decoded, held = [], [], [], 0
-        for key, (x, text) in zip(batch.column(0).to_pylist(), table.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-            keys.append(key), ids.append(x), decoded.append(text)
-            held += len(x) + len(text)
-            if held > FLUSH_BYTES:
-                yield record_batch([keys, ids, decoded], schema)
-                keys, ids, decoded, held = [], [], [], 0
-        if keys:
-            yield record_batch([keys, ids, decoded], schema)
-
-
-def encode_texts(docs: DataFrame, key: str = "doc_id", path: str | None = None) -> DataFrame:
-    """docs(key bigint, text) -> key, ids (little-endian uint32, begin and end included), decoded."""
+        for doc, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+            words = chunks_of(text)
+            docs.append(doc or 0), nulls.append(doc is None)
+            tokens.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+            held += len(words) + 1
+            if held >= ROW_WORDS or len(numbers) >= ROW_DISTINCT:
+                yield packed()
+                docs, nulls, tokens, numbers, held, made = [], [], [], Numbers(), 0, made + 1
+    if docs:
+        yield packed()
+
+
+PIECES = "row long, place int, ids binary, decoded string"
+
+
+def segment(sp, words: list[str]) -> tuple[list[list[int]], list[str]]:
+    """ids and decoded text of chunks."""
+    ids = sp.encode(words, num_threads=1)
+    for i, w in enumerate(words):
+        if not w:
+            ids[i] = [sp.piece_to_id(MARK)]
+    # The marker alone decodes to nothing, like the one in front of a text.
+    return ids, [t if w else "" for w, t in zip(words, sp.decode(ids, num_threads=1), strict=True)]
+
+
+def _segment(batches, path: str):
+    """(row, place, word), sorted by word -> (row, place, ids, decoded); each word is segmented once."""
+    schema = pa.schema([("row", pa.int64()), ("place", pa.int32()), ("ids", pa.binary()), ("decoded", pa.string())])
+    sp, last, last_ids, last_text = processor(path), None, None, None
+    for batch in slices(batches, 2):
+        for at in range(0, batch.num_rows, 4 * STEP):
+            part = batch.slice(at, 4 * STEP)
+            runs = part.column(2).dictionary_encode()
+            names, which = runs.dictionary.to_pylist(), runs.indices.to_numpy()
+            # The first word may go on from the batch before.
+            known = names[:1] == [last] and last is not None
+            fresh = names[1:] if known else names
+            ids, texts = ([], [])
+            for i in range(0, len(fresh), STEP):
+                x, t = segment(sp, fresh[i : i + STEP])
+                ids += [np.array(v, "<u4").tobytes() for v in x]
+                texts += t
+            if known:
+                ids, texts = [last_ids, *ids], [last_text, *texts]
+            last, last_ids, last_text = names[-1], ids[-1], texts[-1]
+            at_word = pa.array(which)
+            yield record_batch([part.column(0), part.column(1), pa.array(ids, pa.binary()).take(at_word), pa.array(texts, pa.string()).take(at_word)], schema)
+
+
+def _join_back(key, pieces: pa.Table, numbered: pa.Table, ends: tuple[int, int], hashed: bool) -> pa.Table:
+    """One row of numbered documents with the pieces of its words -> a row for each document."""
+    row = numbered.to_pylist()[0]
+    pieces = pieces.take(pc.sort_indices(pieces, [("place", "ascending")]))
+    ids, words = pieces.column("ids").to_pylist(), pieces.column("decoded").to_pylist()
+    begin, end = (x.to_bytes(4, "little") for x in ends)
+    tokens = unplanes(zstandard.decompress(row["tokens"]), np.uint32).tolist()
+    cuts = np.concatenate([[0], np.cumsum(unplanes(row["lengths"], np.uint32).astype(np.int64))]).tolist()
+    own = pa.array(unplanes(row["docs"], np.int64), mask=np.frombuffer(row["nulls"], np.uint8).astype(bool))
+    coded, decoded = [], []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        doc = tokens[a:b]
+        coded.append(begin + b"".join([ids[i] for i in doc]) + end)
+        text = " ".join([words[i] for i in doc])
+        decoded.append(hashlib.sha256(text.encode()).hexdigest() if hashed else text)
+    return pa.table({"row": own, "ids": pa.array(coded, pa.binary()), "decoded": pa.array(decoded, pa.string())})
+
+
+def encode_texts(docs: DataFrame, key: str = "doc_id", path: str | None = None, hashed: bool = False) -> DataFrame:
+    """docs(key bigint, text) -> key, ids (little-endian uint32, begin and end included), decoded (``hashed``: its SHA-256 in hex)."""
+    path = path or model_path()
+    sp = processor(path)
     rows = docs.select(F.col(key).cast("long").alias("row"), "text")
-    return rows.mapInArrow(partial(_encode, path=path or model_path()), "row long, ids binary, decoded string").withColumnRenamed("row", key)
+    numbered = materialize(map_batches(rows, _number, NUMBERED), "numbered")
+    places = numbered.select("row", F.posexplode("words").alias("place", "word")).repartition("word").sortWithinPartitions("word")
+    pieces = map_batches(places, partial(_segment, path=path), PIECES)
+    back = partial(_join_back, ends=(sp.bos_id(), sp.eos_id()), hashed=hashed)
+    out = pieces.groupBy("row").cogroup(numbered.drop("words").groupBy("row")).applyInArrow(lambda key, left, right: back(key, left, right), "row long, ids binary, decoded string")
+    return out.withColumnRenamed("row", key)
 
 
 def op4_pieces(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import record_batch, slices
+from .arrow import map_batches, record_batch, slices
 from .common import load, maybe_broadcast, shared_dir
 
 RULE_VERSION = "2"
@@ -91,11 +91,11 @@ def scan_secrets(docs: DataFrame, ledger: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(ledger)
     known = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_first_copies, "blob binary, text string").repartition("blob")
+    texts = map_batches(docs.select(F.coalesce("text", F.lit("")).alias("text")), _first_copies, "blob binary, text string").repartition("blob")
     if known:
         seen = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rules") == RULE_VERSION)
         texts = texts.join(seen.select("blob"), "blob", "left_anti").select("blob", "text")
-    texts.mapInArrow(_scan, LEDGER).write.mode("append").parquet(ledger)
+    map_batches(texts, _scan, LEDGER).write.mode("append").parquet(ledger)
     return spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rules") == RULE_VERSION).dropDuplicates(["blob"])
 
 
@@ -103,7 +103,7 @@ def findings_of(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, findings (an empty array for a clean text)."""
     addressed = docs.select("doc_id", blob_of(F.col("text")).alias("blob"))
     # Clean blobs need no join: what joins back is the part of the ledger that has findings.
-    dirty = maybe_broadcast(ledger.filter(F.size("findings") > 0).select("blob", "findings"), 50_000)
+    dirty = maybe_broadcast(ledger.filter(F.size("findings") > 0).select("blob", "findings"))
     return addressed.join(dirty, "blob", "left").select("doc_id", F.coalesce("findings", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("findings"))
 
 
@@ -130,7 +130,7 @@ def redacted(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
 
 def redact_secrets(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     """docs with a column ``text`` -> the same columns, findings replaced in the text."""
-    dirty = maybe_broadcast(ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found")), 50_000)
+    dirty = maybe_broadcast(ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found")))
     joined = docs.join(dirty, blob_of(F.col("text")) == F.col("_blob"), "left")
     text = F.when(F.col("_found").isNotNull(), redacted(F.col("text"), F.col("_found"))).otherwise(F.col("text"))
     return joined.withColumn("text", text).select(*docs.columns)

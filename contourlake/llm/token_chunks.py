@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import record_batch, slices
+from .arrow import map_batches, record_batch, slices
 from .common import materialize
 
 CHUNK_WORDS = 1_000_000
@@ -42,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Numbers(dict):
+class Numbers(dict):
     def __missing__(self, word):
         self[word] = n = len(self)
         return n
@@ -54,7 +54,7 @@ def _chunks(batches, words_a_chunk: int):
 
     schema = pa.schema([("chunk", pa.int64()), ("words", pa.int64())] + [(c, pa.binary()) for c in ("docs", "nulls", "flags", "lengths", "tokens", "vocab")])
     part, made = TaskContext.get().partitionId(), 0
-    docs, nulls, flags, lengths, tokens, numbers, held = [], [], [], [], [], _Numbers(), 0
+    docs, nulls, flags, lengths, tokens, numbers, held = [], [], [], [], [], Numbers(), 0
 
     def row():
         ids = np.concatenate([np.zeros(0, np.uint32), *tokens])
@@ -73,7 +73,7 @@ def _chunks(batches, words_a_chunk: int):
             held += len(words) + 1
             if held >= words_a_chunk:
                 yield row()
-                docs, nulls, flags, lengths, tokens, numbers, held, made = [], [], [], [], [], _Numbers(), 0, made + 1
+                docs, nulls, flags, lengths, tokens, numbers, held, made = [], [], [], [], [], Numbers(), 0, made + 1
     if docs:
         yield row()
 
@@ -82,7 +82,7 @@ def token_chunks(documents: DataFrame, flag: Column | None = None, words_a_chunk
     """documents(doc_id bigint, text) -> the table of chunks, written to the shared folder. A null text has no words."""
     # bytes.lower() and bytes.split() follow ASCII rules, which are those of the words.
     rows = documents.select(F.col("doc_id").cast("long"), (F.lit(False) if flag is None else flag).alias("flag"), F.col("text").cast("binary"))
-    return materialize(rows.mapInArrow(partial(_chunks, words_a_chunk=words_a_chunk), COLUMNS), "chunks")
+    return materialize(map_batches(rows, partial(_chunks, words_a_chunk=words_a_chunk), COLUMNS), "chunks")
 
 
 class Chunk:

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,21 +211,45 @@ def test_pieces_equal_the_library(documents, no_documents):
     assert piece_codec.encode_texts(no_documents).count() == 0
 
 
-def test_pieces_fuzz():
-    sp, table = piece_codec.processor(piece_codec.model_path()), piece_codec.ChunkTable(piece_codec.model_path())
+def test_pieces_fuzz(spark, monkeypatch):
+    sp = piece_codec.processor(piece_codec.model_path())
     rng, parts = random.Random(1), ["a", "b", "the", "▁", " ", "  ", "\n", "\t", "é", "日本", "😀", "\x00", "<s>", "</s>", "<unk>", "<0x0A>", "ﬁ", "\r\n", "\u3000", "0", "\ufeff", "\u0301"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(15))) for _ in range(3000)]
-    for text, (ids, decoded) in zip(texts, table.encode(texts), strict=True):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in piece_codec.encode_texts(df).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
         want = sp.encode(text, add_bos=True, add_eos=True)
-        assert np.frombuffer(ids, "<u4").tolist() == want and decoded == sp.decode(want)
+        assert np.frombuffer(got[i]["ids"], "<u4").tolist() == want and got[i]["decoded"] == sp.decode(want)
+    hashed = {r["doc_id"]: r["decoded"] for r in piece_codec.encode_texts(df, hashed=True).collect()}
+    assert hashed == {i: hashlib.sha256(r["decoded"].encode()).hexdigest() for i, r in got.items()}
+
+
+def test_each_word_is_segmented_once(monkeypatch):
+    rng = random.Random(2)
+    places = sorted((rng.choice(["", "a", "bb", "c c", "é"] + [f"w{i}" for i in range(50)]), rng.randrange(9), i) for i in range(2000))
+    asked, real = Counter(), piece_codec.segment
+    monkeypatch.setattr(piece_codec, "segment", lambda sp, words: (asked.update(words), real(sp, words))[1])
+    monkeypatch.setattr(piece_codec, "STEP", 7)
+    table = pa.table({"row": pa.array([x[1] for x in places]), "place": pa.array([x[2] for x in places], pa.int32()), "word": pa.array([x[0] for x in places])})
+    out = pa.Table.from_batches(piece_codec._segment(iter(table.to_batches(max_chunksize=300)), piece_codec.model_path())).to_pylist()
+    assert set(asked) == {x[0] for x in places} and set(asked.values()) == {1}
+    sp = piece_codec.processor(piece_codec.model_path())
+    assert [(r["row"], r["place"], r["decoded"]) for r in out] == [(row, place, word) for word, row, place in places]
+    for r, (word, _, _) in zip(out, places, strict=True):
+        assert np.frombuffer(r["ids"], "<u4").tolist() == (sp.encode(word) if word else [sp.piece_to_id("▁")])
 
 
-def test_piece_table_starts_anew(monkeypatch):
-    monkeypatch.setattr(piece_codec, "TABLE_ROWS", 3)
-    table = piece_codec.ChunkTable(piece_codec.model_path())
-    for texts in (["a b c", "d e"], ["f g h i j"], ["a " + "y" * 500]):
-        for text, (_, decoded) in zip(texts, table.encode(texts), strict=True):
-            assert decoded == text
+def test_numbered_rows_are_bounded(spark, documents, monkeypatch):
+    want = {repr((r["doc_id"], bytes(r["ids"]), r["decoded"])) for r in piece_codec.encode_texts(documents).collect()}
+    texts = documents.select("doc_id", "text").toArrow()
+    from pyspark import TaskContext
+
+    monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 4})()))
+    monkeypatch.setattr(piece_codec, "ROW_DISTINCT", 5)
+    rows = pa.Table.from_batches(piece_codec._number(iter(texts.to_batches()))).to_pylist()
+    assert len(rows) > 3 and len({r["row"] for r in rows}) == len(rows) and rows[0]["row"] >> 32 == 4
+    assert sum(len(r["docs"]) // 8 for r in rows) == texts.num_rows and len(want) <= texts.num_rows
 
 
 # Secrets
@@ -302,6 +327,33 @@ def brute_forward(word, probabilities, unknown):
     return math.log(alpha[-1])
 
 
+def test_long_words(documents):
+    """Words of any length: the same sums as those of the definition, however they underflow."""
+    model = language_id.fit_language_model(documents)
+    scores = language_id.WordScores(model)
+    rng = random.Random(4)
+    words = ["▁" + "".join(rng.choice("etaoinshr dlu0123abcdefé") for _ in range(n)) for n in (1, 5, 23, 24, 25, 60, 200, 700, 5000)]
+    sp = piece_codec.processor(model["path"])
+    usable = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    for w in words:
+        got = scores.forward_long(w)
+        for k in range(len(model["langs"])):
+            # Prefix sums as logarithms, over the whole word.
+            logs = [0.0] + [-math.inf] * len(w)
+            for end in range(1, len(w) + 1):
+                terms = []
+                for start in range(max(0, end - scores.longest), end):
+                    piece = w[start:end]
+                    if piece in usable:
+                        terms.append(logs[start] + float(model["pieces"][usable[piece], k]))
+                    elif end == start + 1:
+                        terms.append(logs[start] + language_id.UNKNOWN)
+                top = max(terms)
+                logs[end] = top + math.log(sum(math.exp(t - top) for t in terms))
+            assert got[k] == pytest.approx(logs[-1], rel=1e-5)
+        assert scores.forward([w])[0] == pytest.approx(got, rel=1e-5)
+
+
 def test_forward_algorithm(documents):
     model = language_id.fit_language_model(documents)
     scores = language_id.WordScores(model)
