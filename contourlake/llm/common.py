@@ -72,18 +72,38 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Buckets whose totals one window adds up.
+SUPER = 4096
+
+
 def running_before(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: Column, out: str) -> DataFrame:
     """Sum of ``value`` over the rows of the same ``keys`` that precede by (``bucket``, ``order``).
 
-    A window inside each (keys, bucket) plus a window over the bucket totals, so that a key with most of the rows is
-    spread over its buckets. The bucket totals are ``rows / rows per bucket`` rows.
+    A window inside each (keys, bucket), one over the totals of SUPER buckets, and one over their totals, so that a key with most of the
+    rows is spread and no window holds more than SUPER rows for each level below it.
     """
     df = df.withColumn("_v", value)
-    within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = df.withColumn("_in", F.coalesce(F.sum("_v").over(within), F.lit(0)))
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        df.groupBy(*keys, bucket).agg(F.sum("_v").alias("_t"))
-        .select(*keys, bucket, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
-    )
-    return inner.join(totals, [*keys, bucket]).withColumn(out, F.col("_in") + F.col("_base")).drop("_v", "_in", "_base")
+
+    def before(c: str, parts: list[str], by: list[Column]) -> Column:
+        return F.coalesce(F.sum(c).over(Window.partitionBy(*parts).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    inner = df.withColumn("_in", before("_v", [*keys, bucket], order))
+    totals = df.groupBy(*keys, bucket).agg(F.sum("_v").alias("_t")).withColumn("_s", F.floor(F.col(bucket) / SUPER))
+    tops = totals.groupBy(*keys, "_s").agg(F.sum("_t").alias("_t")).select(*keys, "_s", before("_t", keys, [F.col("_s")]).alias("_top"))
+    base = totals.withColumn("_mid", before("_t", [*keys, "_s"], [F.col(bucket)])).join(tops, [*keys, "_s"]).select(*keys, bucket, (F.col("_mid") + F.col("_top")).alias("_base"))
+    return inner.join(base, [*keys, bucket]).withColumn(out, F.col("_in") + F.col("_base")).drop("_v", "_in", "_base")
+
+
+def global_before(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """``df`` with, for each of ``sums``, its sum over all rows that precede by ``order`` (a total order): range partitions, and a window over their totals."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    placed = materialize(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), name)
+    # A row for each partition.
+    totals = placed.groupBy("_p").agg(*(F.sum(c).alias(f"_t_{out}") for out, c in sums.items()))
+    first = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_p", *(F.coalesce(F.sum(f"_t_{out}").over(first), F.lit(0)).alias(f"_b_{out}") for out in sums))
+    within = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    for out, c in sums.items():
+        placed = placed.withColumn(out, F.coalesce(F.sum(c).over(within), F.lit(0)))
+    joined = placed.join(F.broadcast(totals), "_p")
+    return joined.select(*df.columns, *((F.col(out) + F.col(f"_b_{out}")).alias(out) for out in sums))

@@ -21,9 +21,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import load, materialize, maybe_broadcast, running_before, word_count
+from .common import global_before, load, materialize, maybe_broadcast, running_before, word_count
 
 WEIGHTS = (3, 1, 2)
 #: Rows that a hash bucket of a source is meant to hold.
@@ -37,22 +36,20 @@ UNIT = float(1 << 53)
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """sizes(source, size) -> src (rank), source, n, source_size, weight, target: one row for each source."""
     sources = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
-    everything = Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last()))
-    sources = sources.withColumn("src", rank)
+    sources = global_before(sources, [F.col("source").asc_nulls_last()], {"src": F.lit(1)}, "mix-sources").withColumn("src", (F.col("src") + 1).cast("long"))
     sources = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("src") - 1) % len(weights) + 1).cast("int")))
     # Water filling: sources fill up in the order of cap / weight, so the level is found at the first that stays below its cap.
-    order = everything.orderBy((F.col("source_size") / F.col("weight")).asc(), "src")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    capped = F.coalesce(F.sum("source_size").over(before), F.lit(0)) * F.lit(float(cap))
-    open_weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    amount = F.sum("source_size").over(everything) * F.lit(float(share)) - capped
-    sources = sources.withColumn("_amount", amount).withColumn("_open", open_weight)
-    below = F.col("_amount") * F.col("weight") <= F.col("source_size") * F.lit(float(cap)) * F.col("_open")
-    sources = sources.withColumn("_level", F.min(F.when(below, F.struct(F.col("source_size") / F.col("weight"), "src", "_amount", "_open"))).over(everything))
-    level = F.col("_level._amount") * F.col("weight") / F.col("_level._open")
+    sources = sources.withColumn("_ratio", F.col("source_size") / F.col("weight"))
+    sources = materialize(global_before(sources, [F.col("_ratio").asc(), F.col("src").asc()], {"_size": F.col("source_size"), "_weight": F.col("weight")}, "mix-order"), "mix-filled")
+    totals = sources.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
     full = F.col("source_size") * F.lit(float(cap))
-    return sources.withColumn("target", F.when(F.col("_level").isNull() | (level > full), full).otherwise(level)).drop("_amount", "_open", "_level")
+    # What is left for the sources from here on, and their weight.
+    left = F.lit(float(totals["size"] or 0)) * F.lit(float(share)) - F.col("_size") * F.lit(float(cap))
+    open_weight = F.lit(totals["weight"] or 0) - F.col("_weight")
+    below = sources.select("_ratio", "src", left.alias("left"), open_weight.alias("open")).filter(F.col("open") > 0).join(sources.select("src", "weight", full.alias("full")), "src")
+    level = below.filter("left * weight <= full * open").agg(F.min(F.struct("_ratio", "src", "left", "open")).alias("l")).first()["l"]
+    target = full if level is None else F.least(F.lit(level["left"]) * F.col("weight") / F.lit(level["open"]), full)
+    return sources.withColumn("target", target).drop("_ratio", "_size", "_weight")
 
 
 def van_der_corput(k: Column) -> Column:
@@ -67,13 +64,12 @@ def block_schedule(targets: DataFrame, block: int) -> DataFrame:
     need = targets.filter("source_size > 0 AND target > 0").select(
         "src", "source_size", F.round("target").cast("long").alias("quota"), F.ceil(F.col("source_size") / block).cast("long").alias("blocks")
     )
-    everything = Window.partitionBy(F.lit(0)).orderBy("src").rowsBetween(Window.unboundedPreceding, 0)
-    need = need.withColumn("_hi", F.sum("quota").over(everything))
+    need = materialize(global_before(need, [F.col("src").asc()], {"_lo": F.col("quota")}, "mix-need").withColumn("_hi", F.col("_lo") + F.col("quota")), "mix-quota")
     totals = need.agg(F.sum("quota").alias("q"), F.count(F.lit(1)).alias("n")).first()
     total, n = totals["q"] or 0, totals["n"]
     # Slots that a source needs: whole passes over its blocks (the last block of a pass may be short) and the rest.
     rest = F.col("quota") % F.col("source_size")
-    need = need.withColumn("slots", F.floor(F.col("quota") / F.col("source_size")) * F.col("blocks") + F.ceil(rest / block)).withColumn("_lo", F.col("_hi") - F.col("quota"))
+    need = need.withColumn("slots", F.floor(F.col("quota") / F.col("source_size")) * F.col("blocks") + F.ceil(rest / block))
     points = -(-total // block) + n
     # Sources by cells of the unit interval: an equi-join finds the source of a point.
     cells = max(4 * n, 1)
@@ -132,6 +128,14 @@ def mix_sources(documents: DataFrame, block: int = 2048, seed: int = 1, weights=
     return mix.select(*columns).unionByName(empty.select(*columns)), schedule, pieces
 
 
+def training_order(schedule: DataFrame, pieces: DataFrame) -> DataFrame:
+    """src, start, doc_id, size, epoch, words, slot: of each time that a document comes round, the words taken and the slot that it begins in."""
+    joined = pieces.join(schedule.select("src", "block", "epoch", "take", "slot"), ["src", "block"])
+    words = F.greatest(F.least("hi", "take") - F.col("lo"), F.lit(0).cast("long"))
+    joined = joined.withColumn("words", words).filter("words > 0")
+    return joined.groupBy("src", "start", "doc_id", "size", "epoch").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+
+
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     mix, _, _ = mix_sources(load(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")

@@ -4,7 +4,7 @@ Every stage takes all rows that its predecessor kept and returns the columns of
 rows are written as Parquet to the shared folder and read again.
 
 Nulls: a null text has no language and goes in the first stage. A row with a null doc_id is never dropped as a near-duplicate, as no decision can name it, and
-shares the mixture of its source. Rows that repeat an id and its text count once after the second stage. A null lang is not learned from, a null
+is one row with all that have no id and its text in the mixture, taken as often as they are together. Rows that repeat an id and its text count once after the second stage. A null lang is not learned from, a null
 source is a source of its own, n_chars follows the text. Empty tables give no rows; further columns of the input are left out at the start.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from contourlake.llm.common import load, materialize, maybe_broadcast, shared_dir
 from contourlake.llm.language_id import fit_language_model, keep_languages
-from contourlake.llm.mixing import mix_sources
+from contourlake.llm.mixing import mix_sources, training_order
 from contourlake.llm.ngram_join import jaccard_components
 from contourlake.llm.piece_codec import encode_texts
 from contourlake.llm.secrets import redact_secrets, scan_secrets
@@ -53,20 +53,27 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them: words taken over words, rounded; none, once or twice."""
-    docs = docs.select(*COLUMNS)
-    mix, _, _ = mix_sources(docs)
-    takes = mix.filter("taken > 0").groupBy("doc_id", "source", "size").agg(F.round(F.avg("taken") / F.col("size")).cast("int").alias("times"))
-    takes = takes.filter("times > 0").groupBy("doc_id", "source").agg(F.max("times").alias("times")).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "times")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source"))
-    taken = docs.join(maybe_broadcast(takes), same).withColumn("_time", F.explode(F.sequence(F.lit(1), "times")))
-    return taken.select(*COLUMNS)
+    """Documents in the order of the mixture's schedule, each as often as it comes round: not at all, once or twice.
+
+    A document counts where at least half of its words are taken; a pass over a source ends within one document, so that is all that is rounded.
+    """
+    docs = docs.select(*COLUMNS).withColumn("_key", F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64("text"))))
+    _, schedule, parts = mix_sources(docs.select(F.col("_key").alias("doc_id"), "text", "source"))
+    order = training_order(schedule, parts).filter("2 * words >= size").select("src", "start", F.col("doc_id").alias("_key"), "slot")
+    order = materialize(order, "order")
+    # Rows of one id and text are the same row as often as they occur: one of them stands for all.
+    repeated = docs.groupBy("_key").count().filter("count > 1").select("_key")
+    if not repeated.isEmpty():
+        once = docs.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+        docs = docs.join(repeated, "_key", "left_anti").unionByName(once)
+    taken = docs.join(maybe_broadcast(order), "_key")
+    return taken.repartitionByRange("slot", "src", "start").sortWithinPartitions("slot", "src", "start").select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian uint32, begin and end included), ids_sha256, decoded_sha256."""
-    out = encode_texts(docs)
-    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = encode_texts(docs, hashed=True)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
 
 STAGES = [

@@ -62,6 +62,55 @@ def test_mixing(spark, documents):
     assert all(0 < r["take"] <= 16 for r in slots)
 
 
+def brute_taken(rows, block, want):
+    """rows (hash, doc_id, source, size) -> words taken of each row, and the slots it begins in: the schedule word by word."""
+    names = sorted({r[2] for r in rows}, key=lambda x: (x is None, x))
+    total_of = {s: sum(r[3] for r in rows if r[2] == s) for s in names}
+    quota = {s: round(want[s]) for s in names if total_of[s]}
+    total, low, spans = sum(quota.values()), 0, []
+    for s in quota:
+        spans.append((low / total, (low + quota[s]) / total, s))
+        low += quota[s]
+    points = -(-total // block) + len(quota)
+    drawn = defaultdict(list)
+    for k in range(points):
+        u, bits = 0.0, k
+        for i in range(k.bit_length()):
+            u += (bits >> i & 1) / 2 ** (i + 1)
+        drawn[next(s for a, b, s in spans if a <= u < b)].append(k)
+    taken, begun = {}, defaultdict(list)
+    for s, amount in quota.items():
+        docs = sorted(((r[0], -math.inf if r[1] is None else r[1], r[3], i) for i, r in enumerate(rows) if r[2] == s and r[3]))
+        stream = [i for *_, size, i in docs for _ in range(size)]
+        rank = 0
+        while amount:
+            slot = drawn[s][rank] if rank < len(drawn[s]) else points + rank
+            epoch, at = divmod(rank, -(-len(stream) // block))
+            for word in range(at * block, min(len(stream), (at + 1) * block)):
+                if amount:
+                    i = stream[word]
+                    taken[i] = taken.get(i, 0) + 1
+                    begun[i, epoch].append(slot)
+                    amount -= 1
+            rank += 1
+    return taken, {k: min(v) for k, v in begun.items()}
+
+
+def test_mixing_word_by_word(spark, documents):
+    rng = random.Random(6)
+    more = [(100 + i, " ".join(["w"] * rng.randrange(90)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(150)]
+    docs = documents.filter("doc_id IS NOT NULL AND doc_id <> 12").select("doc_id", "text", "source").unionByName(spark.createDataFrame(more, "doc_id long, text string, source string"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD.pattern)), F.lit(0)).cast("long")
+    hashed = docs.select(F.shiftrightunsigned(F.xxhash64(F.lit(1), "doc_id", size), 11), "doc_id", "source", size)
+    rows = [tuple(r) for r in hashed.collect()]
+    want = brute_targets([(r[2], r[3]) for r in rows])
+    taken, begun = brute_taken(rows, 16, want)
+    mix, schedule, pieces = mixing.mix_sources(docs, block=16)
+    assert {r["doc_id"]: r["taken"] for r in mix.collect()} == {r[1]: taken.get(i, 0) for i, r in enumerate(rows)}
+    order = {(r["doc_id"], r["epoch"]): r["slot"] for r in mixing.training_order(schedule, pieces).collect()}
+    assert order == {(rows[i][1], epoch): slot for (i, epoch), slot in begun.items()}
+
+
 def test_mixing_spreads_hot_sources(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 8)
     monkeypatch.setattr(mixing, "SLOT_CHUNK", 16)
