@@ -4,8 +4,9 @@ No piece of the model has a whitespace marker behind another character, so merge
 distinct chunk of the whole corpus is segmented once, and the ids are joined back by position. The result equals the library's own on the whole text; a
 model with crossing pieces is refused.
 
-1. Documents are numbered: a row holds some whole documents as numbers of their words, with the distinct words (bounded in number) in a list.
-2. The distinct-chunk table: the lists' words are dealt by word and sorted, so that all places of a word meet, and it is segmented once however many there are.
+1. Documents are numbered: a row holds some whole documents as numbers of their words; its distinct words (bounded in number) go to the shards of their hashes,
+   packed, one message for each shard that has any.
+2. The distinct-chunk table: in its shard a word is segmented once, however many rows ask for it.
 3. Ids and decoded words go back to the rows that asked, and from there to the documents by position.
 
 A text of any length is encoded whole. A null text is the empty text, with begin and end ids only. Rows are independent, so
@@ -32,7 +33,7 @@ from .token_chunks import Numbers, planes, unplanes
 MARK = "▁"
 CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 #: Words and distinct words after which a row of numbered documents ends.
-ROW_WORDS, ROW_DISTINCT = 2_000_000, 200_000
+ROW_WORDS, ROW_DISTINCT = 4_000_000, 500_000
 #: Distinct words that the library gets at a time.
 STEP = 4096
 
@@ -61,26 +62,46 @@ def chunks_of(text: str) -> list[str]:
     return [c[1:] for c in CHUNK.findall(" " + text)]
 
 
-NUMBERED = "row long, docs binary, nulls binary, lengths binary, tokens binary, words array<string>"
+def pack_strings(words: pa.Array) -> bytes:
+    """An array of strings without nulls, compressed."""
+    sizes = pc.binary_length(words.cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.uint32)
+    return zstandard.compress(len(words).to_bytes(4, "little") + planes(sizes) + b"".join(words.cast(pa.binary()).to_pylist()), 3)
 
 
-def _number(batches):
-    """Documents as numbers of their words, frequent words small."""
+def unpack_strings(data: bytes) -> pa.Array:
+    data = zstandard.decompress(data)
+    n = int.from_bytes(data[:4], "little")
+    ends = np.concatenate([[0], np.cumsum(unplanes(data[4 : 4 + 4 * n], np.uint32).astype(np.int64))])
+    return pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[4 + 4 * n :])])
+
+
+NUMBERED = "row long, shard int, docs binary, nulls binary, lengths binary, tokens binary, words binary"
+
+
+def _number(batches, shards: int):
+    """Documents as numbers of their words (shard null), and a message of the row's words for each shard that has any; numbers are by shard, then word."""
+    import xxhash
     from pyspark import TaskContext
 
-    schema = pa.schema([("row", pa.int64())] + [(c, pa.binary()) for c in ("docs", "nulls", "lengths", "tokens")] + [("words", pa.list_(pa.string()))])
+    schema = pa.schema([("row", pa.int64()), ("shard", pa.int32())] + [(c, pa.binary()) for c in ("docs", "nulls", "lengths", "tokens", "words")])
     part, made = TaskContext.get().partitionId(), 0
     docs, nulls, tokens, numbers, held = [], [], [], Numbers(), 0
 
     def packed():
-        ids = np.concatenate([np.zeros(0, np.uint32), *tokens])
-        order = np.argsort(-np.bincount(ids, minlength=len(numbers)), kind="stable")
+        words = list(numbers)
+        shard = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(shards)
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        order = order[np.argsort(shard[order], kind="stable")]
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
-        words = pa.array(list(numbers), pa.string()).take(pa.array(order))
-        lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        ids = place[np.concatenate([np.zeros(0, np.uint32), *tokens])]
         lengths = np.fromiter(map(len, tokens), np.uint32, len(tokens))
-        return record_batch([[(part << 32) + made], [planes(np.array(docs, np.int64))], [np.array(nulls, np.uint8).tobytes()], [planes(lengths)], [zstandard.compress(planes(place[ids]), 3)], lists], schema)
+        row = (part << 32) + made
+        yield record_batch([[row], [None], [planes(np.array(docs, np.int64))], [np.array(nulls, np.uint8).tobytes()], [planes(lengths)], [_pack_tokens(ids, len(words))], [None]], schema)
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(cuts)):
+            own = pa.array([words[i] for i in order[cuts[s] : cuts[s + 1]]], pa.string())
+            yield record_batch([[row], [int(s)], *[[None]] * 4, [pack_strings(own)]], schema)
 
     for batch in slices(batches, 1):
         for doc, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
@@ -89,13 +110,27 @@ def _number(batches):
             tokens.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
             held += len(words) + 1
             if held >= ROW_WORDS or len(numbers) >= ROW_DISTINCT:
-                yield packed()
+                yield from packed()
                 docs, nulls, tokens, numbers, held, made = [], [], [], Numbers(), 0, made + 1
     if docs:
-        yield packed()
+        yield from packed()
+
 
+def _pack_tokens(ids: np.ndarray, n: int) -> bytes:
+    """Numbers below n, frequent ones small: the order by frequency, then the places in it."""
+    order = np.argsort(-np.bincount(ids, minlength=n), kind="stable").astype(np.uint32)
+    place = np.empty(n, np.uint32)
+    place[order] = np.arange(n, dtype=np.uint32)
+    return zstandard.compress(n.to_bytes(4, "little") + planes(order) + planes(place[ids]), 3)
 
-PIECES = "row long, place int, ids binary, decoded string"
+
+def _unpack_tokens(data: bytes) -> np.ndarray:
+    data = zstandard.decompress(data)
+    n = int.from_bytes(data[:4], "little")
+    return unplanes(data[4 : 4 + 4 * n], np.uint32)[unplanes(data[4 + 4 * n :], np.uint32)] if len(data) > 4 + 4 * n else np.zeros(0, np.uint32)
+
+
+PIECES = "row long, shard int, sizes binary, ids binary, decoded binary"
 
 
 def segment(sp, words: list[str]) -> tuple[list[list[int]], list[str]]:
@@ -108,42 +143,53 @@ def segment(sp, words: list[str]) -> tuple[list[list[int]], list[str]]:
     return ids, [t if w else "" for w, t in zip(words, sp.decode(ids, num_threads=1), strict=True)]
 
 
-def _segment(batches, path: str):
-    """(row, place, word), sorted by word -> (row, place, ids, decoded); each word is segmented once."""
-    schema = pa.schema([("row", pa.int64()), ("place", pa.int32()), ("ids", pa.binary()), ("decoded", pa.string())])
-    sp, last, last_ids, last_text = processor(path), None, None, None
-    for batch in slices(batches, 2):
-        for at in range(0, batch.num_rows, 4 * STEP):
-            part = batch.slice(at, 4 * STEP)
-            runs = part.column(2).dictionary_encode()
-            names, which = runs.dictionary.to_pylist(), runs.indices.to_numpy()
-            # The first word may go on from the batch before.
-            known = names[:1] == [last] and last is not None
-            fresh = names[1:] if known else names
-            ids, texts = ([], [])
-            for i in range(0, len(fresh), STEP):
-                x, t = segment(sp, fresh[i : i + STEP])
-                ids += [np.array(v, "<u4").tobytes() for v in x]
-                texts += t
-            if known:
-                ids, texts = [last_ids, *ids], [last_text, *texts]
-            last, last_ids, last_text = names[-1], ids[-1], texts[-1]
-            at_word = pa.array(which)
-            yield record_batch([part.column(0), part.column(1), pa.array(ids, pa.binary()).take(at_word), pa.array(texts, pa.string()).take(at_word)], schema)
-
-
-def _join_back(key, pieces: pa.Table, numbered: pa.Table, ends: tuple[int, int], hashed: bool) -> pa.Table:
+def _segment(table: pa.Table, path: str) -> pa.Table:
+    """The messages of a shard, answered; each of its words is segmented once."""
+    sp = processor(path)
+    rows = table.select(["row", "shard", "words"]).to_pylist()
+    asked = [unpack_strings(r["words"]) for r in rows]
+    coded = pa.concat_arrays(asked).dictionary_encode()
+    names, which = coded.dictionary, coded.indices.to_numpy()
+    sizes, ids, texts = np.zeros(len(names), np.uint32), [], []
+    for at in range(0, len(names), STEP):
+        x, t = segment(sp, names.slice(at, STEP).to_pylist())
+        sizes[at : at + STEP] = [len(v) for v in x]
+        ids.append(np.fromiter((i for v in x for i in v), np.uint32, int(sizes[at : at + STEP].sum())))
+        texts.append(pa.array(t, pa.large_string()))
+    flat, texts = np.concatenate(ids), pa.concat_arrays(texts)
+    first = np.cumsum(sizes, dtype=np.int64) - sizes
+    out, at = [], 0
+    for r, words in zip(rows, asked, strict=True):
+        own = which[at : at + len(words)]
+        at += len(words)
+        n = sizes[own].astype(np.int64)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        same = texts.take(pa.array(own)).equals(words)
+        # Words that decode to themselves, as nearly all do, go back as they came.
+        back = r["words"] if same else pack_strings(texts.take(pa.array(own)))
+        out.append((r["row"], r["shard"], zstandard.compress(planes(sizes[own]), 3), zstandard.compress(planes(flat[np.repeat(first[own], n) + inside]), 3), back))
+    schema = pa.schema([("row", pa.int64()), ("shard", pa.int32())] + [(c, pa.binary()) for c in ("sizes", "ids", "decoded")])
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _join_back(table: pa.Table, ends: tuple[int, int], hashed: bool) -> pa.Table:
     """One row of numbered documents with the pieces of its words -> a row for each document."""
-    row = numbered.to_pylist()[0]
-    pieces = pieces.take(pc.sort_indices(pieces, [("place", "ascending")]))
-    ids, words = pieces.column("ids").to_pylist(), pieces.column("decoded").to_pylist()
+    rows = sorted(table.to_pylist(), key=lambda r: -1 if r["shard"] is None else r["shard"])
+    row, answers = rows[0], rows[1:]
+    ids, words = [], []
+    for r in answers:
+        n = unplanes(zstandard.decompress(r["sizes"]), np.uint32)
+        flat = unplanes(zstandard.decompress(r["ids"]), np.uint32).astype("<u4").tobytes()
+        cuts = np.concatenate([[0], 4 * np.cumsum(n, dtype=np.int64)]).tolist()
+        ids += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        words += unpack_strings(r["decoded"]).to_pylist()
     begin, end = (x.to_bytes(4, "little") for x in ends)
-    tokens = unplanes(zstandard.decompress(row["tokens"]), np.uint32).tolist()
+    tokens = _unpack_tokens(row["tokens"])
     cuts = np.concatenate([[0], np.cumsum(unplanes(row["lengths"], np.uint32).astype(np.int64))]).tolist()
     own = pa.array(unplanes(row["docs"], np.int64), mask=np.frombuffer(row["nulls"], np.uint8).astype(bool))
     coded, decoded = [], []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        doc = tokens[a:b]
+        doc = tokens[a:b].tolist()
         coded.append(begin + b"".join([ids[i] for i in doc]) + end)
         text = " ".join([words[i] for i in doc])
         decoded.append(hashlib.sha256(text.encode()).hexdigest() if hashed else text)
@@ -152,14 +198,16 @@ def _join_back(key, pieces: pa.Table, numbered: pa.Table, ends: tuple[int, int],
 
 def encode_texts(docs: DataFrame, key: str = "doc_id", path: str | None = None, hashed: bool = False) -> DataFrame:
     """docs(key bigint, text) -> key, ids (little-endian uint32, begin and end included), decoded (``hashed``: its SHA-256 in hex)."""
-    path = path or model_path()
+    path, spark = path or model_path(), docs.sparkSession
     sp = processor(path)
+    ends = sp.bos_id(), sp.eos_id()
+    # As many shards as shuffle partitions, which grow with the data; messages without words are not sent.
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select(F.col(key).cast("long").alias("row"), "text")
-    numbered = materialize(map_batches(rows, _number, NUMBERED), "numbered")
-    places = numbered.select("row", F.posexplode("words").alias("place", "word")).repartition("word").sortWithinPartitions("word")
-    pieces = map_batches(places, partial(_segment, path=path), PIECES)
-    back = partial(_join_back, ends=(sp.bos_id(), sp.eos_id()), hashed=hashed)
-    out = pieces.groupBy("row").cogroup(numbered.drop("words").groupBy("row")).applyInArrow(lambda key, left, right: back(key, left, right), "row long, ids binary, decoded string")
+    numbered = materialize(map_batches(rows, partial(_number, shards=shards), NUMBERED), "numbered")
+    pieces = numbered.filter("shard IS NOT NULL").select("row", "shard", "words").groupBy("shard").applyInArrow(lambda key, table: _segment(table, path), PIECES)
+    told = numbered.filter("shard IS NULL").drop("words").unionByName(pieces, allowMissingColumns=True)
+    out = told.groupBy("row").applyInArrow(lambda key, table: _join_back(table, ends, hashed), "row long, ids binary, decoded string")
     return out.withColumnRenamed("row", key)
 
 
