@@ -7,7 +7,7 @@ model with crossing pieces is refused.
 1. Documents are numbered: a row holds some whole documents as numbers of their words; its distinct words (bounded in number) go to the shards of their hashes,
    packed, one message for each shard that has any.
 2. The distinct-chunk table: in its shard a word is segmented once, however many rows ask for it.
-3. Ids and decoded words go back to the rows that asked, and from there to the documents by position.
+3. Ids go back to the rows that asked, and from there to the documents by position; a row decodes each of its distinct words once.
 
 A text of any length is encoded whole. A null text is the empty text, with begin and end ids only. Rows are independent, so
 null keys, ties, repeated rows and empty tables need no rule; other columns are ignored.
@@ -65,7 +65,7 @@ def chunks_of(text: str) -> list[str]:
 def pack_strings(words: pa.Array) -> bytes:
     """An array of strings without nulls, compressed."""
     sizes = pc.binary_length(words.cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.uint32)
-    return zstandard.compress(len(words).to_bytes(4, "little") + planes(sizes) + b"".join(words.cast(pa.binary()).to_pylist()), 3)
+    return zstandard.compress(len(words).to_bytes(4, "little") + planes(sizes) + b"".join(words.cast(pa.binary()).to_pylist()), 6)
 
 
 def unpack_strings(data: bytes) -> pa.Array:
@@ -94,10 +94,10 @@ def _number(batches, shards: int):
         order = order[np.argsort(shard[order], kind="stable")]
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
-        ids = place[np.concatenate([np.zeros(0, np.uint32), *tokens])]
+        ids = np.concatenate([np.zeros(0, np.uint32), *tokens])
         lengths = np.fromiter(map(len, tokens), np.uint32, len(tokens))
         row = (part << 32) + made
-        yield record_batch([[row], [None], [planes(np.array(docs, np.int64))], [np.array(nulls, np.uint8).tobytes()], [planes(lengths)], [_pack_tokens(ids, len(words))], [None]], schema)
+        yield record_batch([[row], [None], [planes(np.array(docs, np.int64))], [np.array(nulls, np.uint8).tobytes()], [planes(lengths)], [_pack_tokens(ids, place)], [None]], schema)
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(cuts)):
             own = pa.array([words[i] for i in order[cuts[s] : cuts[s + 1]]], pa.string())
@@ -116,31 +116,28 @@ def _number(batches, shards: int):
         yield from packed()
 
 
-def _pack_tokens(ids: np.ndarray, n: int) -> bytes:
-    """Numbers below n, frequent ones small: the order by frequency, then the places in it."""
-    order = np.argsort(-np.bincount(ids, minlength=n), kind="stable").astype(np.uint32)
-    place = np.empty(n, np.uint32)
-    place[order] = np.arange(n, dtype=np.uint32)
-    return zstandard.compress(n.to_bytes(4, "little") + planes(order) + planes(place[ids]), 3)
+def _pack_tokens(ids: np.ndarray, place: np.ndarray) -> bytes:
+    """Numbers by first occurrence, so that a first occurrence is told by one code (0) and frequent words are small; then each number's place."""
+    first = np.zeros(len(ids), bool)
+    first[np.unique(ids, return_index=True)[1]] = True
+    return zstandard.compress(len(place).to_bytes(4, "little") + planes(place) + planes(np.where(first, 0, ids + 1).astype(np.uint32)), 3)
 
 
 def _unpack_tokens(data: bytes) -> np.ndarray:
+    """The place of each word of the documents."""
     data = zstandard.decompress(data)
-    n = int.from_bytes(data[:4], "little")
-    return unplanes(data[4 : 4 + 4 * n], np.uint32)[unplanes(data[4 + 4 * n :], np.uint32)] if len(data) > 4 + 4 * n else np.zeros(0, np.uint32)
+    end = 4 + 4 * int.from_bytes(data[:4], "little")
+    place, codes = unplanes(data[4:end], np.uint32), unplanes(data[end:], np.uint32)
+    first = codes == 0
+    return place[np.where(first, np.cumsum(first) - 1, codes.astype(np.int64) - 1)] if len(codes) else np.zeros(0, np.uint32)
 
 
-PIECES = "row long, shard int, sizes binary, ids binary, decoded binary"
+PIECES = "row long, shard int, sizes binary, ids binary"
 
 
-def segment(sp, words: list[str]) -> tuple[list[list[int]], list[str]]:
-    """ids and decoded text of chunks."""
-    ids = sp.encode(words, num_threads=1)
-    for i, w in enumerate(words):
-        if not w:
-            ids[i] = [sp.piece_to_id(MARK)]
-    # The marker alone decodes to nothing, like the one in front of a text.
-    return ids, [t if w else "" for w, t in zip(words, sp.decode(ids, num_threads=1), strict=True)]
+def segment(sp, words: list[str]) -> list[list[int]]:
+    """ids of chunks."""
+    return [x or [sp.piece_to_id(MARK)] for x in sp.encode(words, num_threads=1)]
 
 
 def _segment(table: pa.Table, path: str) -> pa.Table:
@@ -149,41 +146,42 @@ def _segment(table: pa.Table, path: str) -> pa.Table:
     rows = table.select(["row", "shard", "words"]).to_pylist()
     asked = [unpack_strings(r["words"]) for r in rows]
     coded = pa.concat_arrays(asked).dictionary_encode()
-    names, which = coded.dictionary, coded.indices.to_numpy()
-    sizes, ids, texts = np.zeros(len(names), np.uint32), [], []
+    names, which, cuts = coded.dictionary, coded.indices.to_numpy(), np.cumsum([0, *map(len, asked)])
+    del asked
+    sizes, ids = np.zeros(len(names), np.uint32), []
     for at in range(0, len(names), STEP):
-        x, t = segment(sp, names.slice(at, STEP).to_pylist())
-        sizes[at : at + STEP] = [len(v) for v in x]
-        ids.append(np.fromiter((i for v in x for i in v), np.uint32, int(sizes[at : at + STEP].sum())))
-        texts.append(pa.array(t, pa.large_string()))
-    flat, texts = np.concatenate(ids), pa.concat_arrays(texts)
-    first = np.cumsum(sizes, dtype=np.int64) - sizes
-    out, at = [], 0
-    for r, words in zip(rows, asked, strict=True):
-        own = which[at : at + len(words)]
-        at += len(words)
+        found = segment(sp, names.slice(at, STEP).to_pylist())
+        sizes[at : at + STEP] = [len(x) for x in found]
+        ids.append(np.fromiter((i for x in found for i in x), np.uint32, int(sizes[at : at + STEP].sum())))
+    flat, first = np.concatenate(ids), np.cumsum(sizes, dtype=np.int64) - sizes
+    out = []
+    for r, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True):
+        own = which[a:b]
         n = sizes[own].astype(np.int64)
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        same = texts.take(pa.array(own)).equals(words)
-        # Words that decode to themselves, as nearly all do, go back as they came.
-        back = r["words"] if same else pack_strings(texts.take(pa.array(own)))
-        out.append((r["row"], r["shard"], zstandard.compress(planes(sizes[own]), 3), zstandard.compress(planes(flat[np.repeat(first[own], n) + inside]), 3), back))
-    schema = pa.schema([("row", pa.int64()), ("shard", pa.int32())] + [(c, pa.binary()) for c in ("sizes", "ids", "decoded")])
+        out.append((r["row"], r["shard"], zstandard.compress(planes(sizes[own]), 3), zstandard.compress(planes(flat[np.repeat(first[own], n) + inside]), 3)))
+    schema = pa.schema([("row", pa.int64()), ("shard", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def _join_back(table: pa.Table, ends: tuple[int, int], hashed: bool) -> pa.Table:
+def _join_back(table: pa.Table, path: str, hashed: bool) -> pa.Table:
     """One row of numbered documents with the pieces of its words -> a row for each document."""
+    sp = processor(path)
     rows = sorted(table.to_pylist(), key=lambda r: -1 if r["shard"] is None else r["shard"])
     row, answers = rows[0], rows[1:]
+    del table, rows
     ids, words = [], []
     for r in answers:
         n = unplanes(zstandard.decompress(r["sizes"]), np.uint32)
-        flat = unplanes(zstandard.decompress(r["ids"]), np.uint32).astype("<u4").tobytes()
-        cuts = np.concatenate([[0], 4 * np.cumsum(n, dtype=np.int64)]).tolist()
-        ids += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        words += unpack_strings(r["decoded"]).to_pylist()
-    begin, end = (x.to_bytes(4, "little") for x in ends)
+        flat = unplanes(zstandard.decompress(r["ids"]), np.uint32)
+        data, cuts = flat.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(n, dtype=np.int64)]).tolist()
+        ids += [data[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for at in range(0, len(n), STEP):
+            part = cuts[at : at + STEP + 1]
+            numbers = flat[part[0] : part[-1]].tolist()
+            # The marker alone decodes to nothing, like the one in front of a text.
+            words += sp.decode([numbers[a - part[0] : b - part[0]] for a, b in zip(part[:-1], part[1:], strict=True)], num_threads=1)
+    begin, end = (x.to_bytes(4, "little") for x in (sp.bos_id(), sp.eos_id()))
     tokens = _unpack_tokens(row["tokens"])
     cuts = np.concatenate([[0], np.cumsum(unplanes(row["lengths"], np.uint32).astype(np.int64))]).tolist()
     own = pa.array(unplanes(row["docs"], np.int64), mask=np.frombuffer(row["nulls"], np.uint8).astype(bool))
@@ -199,15 +197,13 @@ def _join_back(table: pa.Table, ends: tuple[int, int], hashed: bool) -> pa.Table
 def encode_texts(docs: DataFrame, key: str = "doc_id", path: str | None = None, hashed: bool = False) -> DataFrame:
     """docs(key bigint, text) -> key, ids (little-endian uint32, begin and end included), decoded (``hashed``: its SHA-256 in hex)."""
     path, spark = path or model_path(), docs.sparkSession
-    sp = processor(path)
-    ends = sp.bos_id(), sp.eos_id()
     # As many shards as shuffle partitions, which grow with the data; messages without words are not sent.
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select(F.col(key).cast("long").alias("row"), "text")
     numbered = materialize(map_batches(rows, partial(_number, shards=shards), NUMBERED), "numbered")
     pieces = numbered.filter("shard IS NOT NULL").select("row", "shard", "words").groupBy("shard").applyInArrow(lambda key, table: _segment(table, path), PIECES)
     told = numbered.filter("shard IS NULL").drop("words").unionByName(pieces, allowMissingColumns=True)
-    out = told.groupBy("row").applyInArrow(lambda key, table: _join_back(table, ends, hashed), "row long, ids binary, decoded string")
+    out = told.groupBy("row").applyInArrow(lambda key, table: _join_back(table, path, hashed), "row long, ids binary, decoded string")
     return out.withColumnRenamed("row", key)
 
 

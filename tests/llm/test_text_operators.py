@@ -287,7 +287,6 @@ def test_each_word_is_segmented_once(monkeypatch):
     sp = piece_codec.processor(piece_codec.model_path())
     for r, message in zip(out, messages, strict=True):
         want = [sp.encode(w) if w else [sp.piece_to_id("▁")] for w in message]
-        assert piece_codec.unpack_strings(r["decoded"]).to_pylist() == [sp.decode(x) if w else "" for w, x in zip(message, want, strict=True)]
         data = piece_codec.zstandard.decompress(r["ids"])
         assert token_chunks.unplanes(data, np.uint32).tolist() == [i for x in want for i in x]
 
