@@ -6,10 +6,11 @@ set, so under any order of all shingles they share one among the first ``n - tha
 
 1. Frequencies: in how many distinct sets of a chunk, summed over chunks, each shingle occurs. Every order puts rare shingles first.
 2. A set of which too few shingles occur anywhere else has no partner and stops here. Equal sets are one class.
-3. Candidates share a prefix shingle under the first order: classes that are connected by such shingles are a cluster, which is cut into blocks of bounded
-   size, and each pair of blocks is a task of its own. A task intersects the filters of all orders with that of sizes and counts the common shingles of what
-   is left, as products of 0/1 matrices over slices of the shingles that both sides have. It returns a spanning forest, never its pairs, so
-   a group of thousands of near copies makes no more rows than it has members.
+3. Candidates share a prefix shingle under the first order. Each class is first compared with one other, the least class of the shingle groups that it
+   shares most of: that ties a group of thousands of near copies together by as many comparisons as it has members.
+4. What is left are shingle groups with classes of several components. Their classes are sorted by such a shingle and cut into blocks of bounded size; two
+   blocks are a task if a shingle group has classes of different components in them. A task intersects the filters of components, sizes and all orders and counts
+   the common shingles of what is left, as products of 0/1 matrices over slices of the shingles that both sides have. It returns a spanning forest, never its pairs.
 
 All counts cover the whole input; nothing is capped or sampled.
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
-from .common import load, materialize, maybe_broadcast
+from .common import global_before, load, materialize
 from .graph import connected_components, least_reachable
 from .token_chunks import Chunk, mix, shards_for, token_chunks
 
@@ -87,7 +88,8 @@ def _ask(batches, n: int, shards: int):
         for row in batch.to_pylist():
             *_, distinct, _, count = chunk_items(Chunk(row), n, shards)
             cuts = np.searchsorted(distinct, np.arange(shards + 1, dtype=np.uint64) << np.uint64(40))
-            for s in range(shards):
+            # Empty messages are not sent, so there are no more of them than items.
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
                 own = slice(cuts[s], cuts[s + 1])
                 prints = np.ascontiguousarray((distinct[own] & FINGERPRINT).view(np.uint8).reshape(-1, 8)[:, :5])
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([row["chunk"]]), pa.array([prints.T.tobytes()], pa.binary()), pa.array([np.minimum(count[own], 255).astype(np.uint8).tobytes()], pa.binary())], schema=schema)
@@ -142,8 +144,8 @@ def _prefixes(table: pa.Table, n: int, percent: int, shards: int) -> pa.Table:
     return pa.table([d if isinstance(d, pa.Array) else pa.array(d, t) for d, t in zip(data, SET_SCHEMA.types, strict=True)], schema=SET_SCHEMA)
 
 
-#: Bounds of a block: classes, and shingles in all.
-BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 400_000
+#: Bounds of a block: classes, and shingles in all but of its last class.
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 200_000
 #: Columns of a product's slice.
 SLICE = 4096
 
@@ -182,13 +184,15 @@ def _common(rows: np.ndarray, values: np.ndarray, left: np.ndarray, right: np.nd
 
 
 def _link(key, table: pa.Table, percent: int) -> pa.Table:
-    """The spanning forest of the links between two blocks of a cluster."""
-    _, one, two = (k.as_py() for k in key)
+    """A spanning forest of the links between classes of two blocks that are of different components."""
+    one, two = (k.as_py() for k in key)
     table = table.sort_by("id")
-    ids, sizes, block = (table.column(c).to_numpy() for c in ("id", "n", "block"))
+    ids, sizes, block, tied = (table.column(c).to_numpy() for c in ("id", "n", "block", "tied"))
     n, left, right = len(ids), np.flatnonzero(block == one), np.flatnonzero(block == two)
     near = 100 * np.minimum(sizes[left][:, None], sizes[right]) >= percent * np.maximum(sizes[left][:, None], sizes[right])
-    near &= left[:, None] < right if one == two else ids[left][:, None] != ids[right]
+    near &= tied[left][:, None] != tied[right]
+    if one == two:
+        near &= left[:, None] < right
     for order in ("first", *(f"further{i}" for i in range(len(ORDERS))), "whole"):
         i, j = near.any(axis=1), near.any(axis=0)
         left, right, near = left[i], right[j], near[np.ix_(i, j)]
@@ -213,18 +217,34 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     classes = docs.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id")).filter("id IS NOT NULL")
     sets = found.filter("whole IS NOT NULL").select("digest", "n", "whole", "first", *(F.get("further", F.lit(i)).alias(f"further{i}") for i in range(len(ORDERS))))
     sets = materialize(sets.dropDuplicates(["digest"]).join(classes, "digest").drop("digest"), "candidates")
-    # Clusters: the classes of a shingle's group hang on the least of them.
-    prefixes = sets.select(F.explode("first").alias("token"), "id")
+    prefixes = materialize(sets.select(F.explode("first").alias("token"), "id"), "prefixes")
     least = prefixes.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("token", "least")
-    hung = prefixes.join(least, "token").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    clusters = materialize(connected_components(hung), "clusters")
-    members = sets.join(clusters, F.col("id") == F.col("node")).drop("node").withColumnRenamed("component", "cluster")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(maybe_broadcast(blocks), "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = members.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("blocks", "other")
-    links = materialize(tasks.groupBy("cluster", "one", "two").applyInArrow(lambda key, t: _link(key, t, percent), "a long, b long"), "links")
-    labels = connected_components(links)
+    shared = materialize(prefixes.join(least, "token"), "shared")
+    # One comparison for each class: with the class that is the least of most of its groups, ties to the smaller.
+    most = shared.filter("id <> least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("c")).groupBy("id").agg(F.max_by("least", F.struct("c", -F.col("least"))).alias("least"))
+    own = sets.select(F.col("id"), F.col("n").alias("n1"), F.col("whole").alias("w1"))
+    other = sets.select(F.col("id").alias("least"), F.col("n").alias("n2"), F.col("whole").alias("w2"))
+    alike = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
+    common = F.size(F.array_intersect("w1", "w2"))
+    compared = most.join(own, "id").join(other, "least").filter(alike).select(F.col("least").alias("a"), F.col("id").alias("b"), "n1", "n2", common.alias("c"))
+    stars = materialize(compared.filter(F.col("c") * 100 >= (F.col("n1") + F.col("n2") - F.col("c")) * percent).select("a", "b"), "stars")
+    tied = connected_components(stars).select(F.col("node").alias("id"), F.col("component").alias("tied"))
+    # Groups that still hold classes of several components, and the blocks of their classes.
+    grouped = materialize(shared.select("token", "id").join(tied, "id", "left").withColumn("tied", F.coalesce("tied", "id")), "grouped")
+    open_groups = grouped.groupBy("token").agg(F.min("tied").alias("low"), F.max("tied").alias("high")).filter("low < high").select("token")
+    grouped = materialize(grouped.join(open_groups, "token"), "open")
+    members = grouped.groupBy("id", "tied").agg(F.min("token").alias("place")).join(sets.select("id", "n"), "id")
+    members = global_before(members, [F.col("place"), F.col("tied"), F.col("id")], {"_rows": F.lit(1), "_shingles": F.col("n")}, "order")
+    block = (F.floor(F.col("_rows") / BLOCK_CLASSES) + F.floor(F.col("_shingles") / BLOCK_SHINGLES)).alias("block")
+    members = materialize(members.select("id", "tied", block), "blocks")
+    touched = grouped.join(members.select("id", "block"), "id").groupBy("token", "block").agg(F.min("tied").alias("low"), F.max("tied").alias("high"))
+    left, right = (touched.select("token", F.col("block").alias(b), F.col("low").alias(f"low_{b}"), F.col("high").alias(f"high_{b}")) for b in ("one", "two"))
+    several = (F.least("low_one", "low_two") < F.greatest("high_one", "high_two")) & (F.col("one") <= F.col("two"))
+    pairs = materialize(left.join(right, "token").filter(several).select("one", "two").distinct(), "pairs")
+    sides = pairs.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+    tasks = members.join(sets, "id").join(sides, "block")
+    links = materialize(tasks.groupBy("one", "two").applyInArrow(lambda key, t: _link(key, t, percent), "a long, b long"), "links")
+    labels = connected_components(stars.unionByName(links))
     known = classes.join(labels, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = docs.join(known, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
