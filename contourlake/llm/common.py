@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from functools import reduce
@@ -37,16 +38,47 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/contourlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table written by :func:`materialize` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by :func:`materialize` that no later plan reads."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            _delete(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+#: Paths written inside each open :func:`scratch`.
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside go when it ends; what outlives them is the function it gives, which writes a table that stays.
+
+    For a result that is written inside, as everything that its plan reads goes too.
+    """
+    _scopes.append([])
+    try:
+        yield lambda df, name: _outside(df, name)
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def _outside(df: DataFrame, name: str) -> DataFrame:
+    inner = _scopes.pop()
+    try:
+        return materialize(df, name)
+    finally:
+        _scopes.append(inner)
 
 
 def row_bytes(df: DataFrame) -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
-from .common import global_before, load, materialize
+from .common import discard, global_before, load, materialize, maybe_broadcast
 from .graph import connected_components, least_reachable
 from .token_chunks import Chunk, mix, shards_for, token_chunks
 
@@ -213,26 +213,31 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     codes = materialize(asked.groupBy("shard").applyInArrow(lambda key, t: _frequencies(t), "chunk long, shard int, codes binary"), "codes")
     told = chunks.withColumn("shard", F.lit(None).cast("int")).withColumn("codes", F.lit(None).cast("binary")).unionByName(codes, allowMissingColumns=True)
     found = materialize(told.groupBy("chunk").applyInArrow(lambda key, t: _prefixes(t, n, percent, shards), SET_COLUMNS), "sets")
-    docs = found.select("doc_id", "digest", "n")
+    docs = materialize(found.select("doc_id", "digest", "n"), "digests")
     classes = docs.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id")).filter("id IS NOT NULL")
     sets = found.filter("whole IS NOT NULL").select("digest", "n", "whole", "first", *(F.get("further", F.lit(i)).alias(f"further{i}") for i in range(len(ORDERS))))
     sets = materialize(sets.dropDuplicates(["digest"]).join(classes, "digest").drop("digest"), "candidates")
+    discard(chunks, codes, found)
     prefixes = materialize(sets.select(F.explode("first").alias("token"), "id"), "prefixes")
     least = prefixes.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("token", "least")
     shared = materialize(prefixes.join(least, "token"), "shared")
+    # Sets that share no prefix shingle have no partner.
+    candidates, sets = sets, materialize(sets.join(maybe_broadcast(shared.select("id").distinct()), "id", "left_semi"), "partners")
+    discard(candidates, prefixes)
     # One comparison for each class: with the class that is the least of most of its groups, ties to the smaller.
     most = shared.filter("id <> least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("c")).groupBy("id").agg(F.max_by("least", F.struct("c", -F.col("least"))).alias("least"))
     own = sets.select(F.col("id"), F.col("n").alias("n1"), F.col("whole").alias("w1"))
     other = sets.select(F.col("id").alias("least"), F.col("n").alias("n2"), F.col("whole").alias("w2"))
     alike = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
     common = F.size(F.array_intersect("w1", "w2"))
-    compared = most.join(own, "id").join(other, "least").filter(alike).select(F.col("least").alias("a"), F.col("id").alias("b"), "n1", "n2", common.alias("c"))
+    compared = own.join(maybe_broadcast(most), "id").join(other, "least").filter(alike).select(F.col("least").alias("a"), F.col("id").alias("b"), "n1", "n2", common.alias("c"))
     stars = materialize(compared.filter(F.col("c") * 100 >= (F.col("n1") + F.col("n2") - F.col("c")) * percent).select("a", "b"), "stars")
     tied = connected_components(stars).select(F.col("node").alias("id"), F.col("component").alias("tied"))
     # Groups that still hold classes of several components, and the blocks of their classes.
-    grouped = materialize(shared.select("token", "id").join(tied, "id", "left").withColumn("tied", F.coalesce("tied", "id")), "grouped")
-    open_groups = grouped.groupBy("token").agg(F.min("tied").alias("low"), F.max("tied").alias("high")).filter("low < high").select("token")
-    grouped = materialize(grouped.join(open_groups, "token"), "open")
+    mixed = materialize(shared.select("token", "id").join(tied, "id", "left").withColumn("tied", F.coalesce("tied", "id")), "grouped")
+    open_groups = mixed.groupBy("token").agg(F.min("tied").alias("low"), F.max("tied").alias("high")).filter("low < high").select("token")
+    grouped = materialize(mixed.join(open_groups, "token"), "open")
+    discard(mixed)
     members = grouped.groupBy("id", "tied").agg(F.min("token").alias("place")).join(sets.select("id", "n"), "id")
     members = global_before(members, [F.col("place"), F.col("tied"), F.col("id")], {"_rows": F.lit(1), "_shingles": F.col("n")}, "order")
     block = (F.floor(F.col("_rows") / BLOCK_CLASSES) + F.floor(F.col("_shingles") / BLOCK_SHINGLES)).alias("block")
@@ -245,6 +250,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     tasks = members.join(sets, "id").join(sides, "block")
     links = materialize(tasks.groupBy("one", "two").applyInArrow(lambda key, t: _link(key, t, percent), "a long, b long"), "links")
     labels = connected_components(stars.unionByName(links))
+    discard(sets, shared, grouped, members, pairs, links, stars)
     known = classes.join(labels, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = docs.join(known, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

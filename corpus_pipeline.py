@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contourlake.llm.common import load, materialize, maybe_broadcast, shared_dir
+from contourlake.llm.common import load, materialize, maybe_broadcast, scratch, shared_dir
 from contourlake.llm.language_id import fit_language_model, keep_languages
 from contourlake.llm.mixing import mix_sources, training_order
 from contourlake.llm.ngram_join import jaccard_components
@@ -34,8 +34,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that link by five-word shingles at 0.8 or more, directly or through others, the one of the smallest id."""
     docs = docs.select(*COLUMNS)
-    # A table of its own: the groups are read more than once.
-    groups = materialize(jaccard_components(docs, n=5, percent=80), "groups")
+    with scratch(spark) as keep:
+        # A table of its own: the groups are read more than once.
+        groups = keep(jaccard_components(docs, n=5, percent=80), "groups")
     dropped = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(maybe_broadcast(dropped), "doc_id", "left_anti")
     repeated = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
@@ -58,9 +59,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document counts where at least half of its words are taken; a pass over a source ends within one document, so that is all that is rounded.
     """
     docs = docs.select(*COLUMNS).withColumn("_key", F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64("text"))))
-    _, schedule, parts = mix_sources(docs.select(F.col("_key").alias("doc_id"), "text", "source"))
-    order = training_order(schedule, parts).filter("2 * words >= size").select("src", "start", F.col("doc_id").alias("_key"), "slot")
-    order = materialize(order, "order")
+    with scratch(spark) as keep:
+        _, schedule, parts = mix_sources(docs.select(F.col("_key").alias("doc_id"), "text", "source"))
+        order = training_order(schedule, parts).filter("2 * words >= size").select("src", "start", F.col("doc_id").alias("_key"), "slot")
+        order = keep(order, "order")
     # Rows of one id and text are the same row as often as they occur: one of them stands for all.
     repeated = docs.groupBy("_key").count().filter("count > 1").select("_key")
     if not repeated.isEmpty():
@@ -91,5 +93,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        # Of what a stage writes on its way only its result stays.
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
