@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from .arrow import map_batches, record_batch
 from .common import load, materialize, maybe_broadcast
-from .vectors import bounded_sample, matrix, valid_vectors
+from .vectors import bounded_sample, matrix, valid_vectors, width_of
 
 #: Vectors that coordinates are scaled by, at most.
 SAMPLE = 10_000
@@ -79,13 +79,13 @@ def fit_curves(sample: np.ndarray, curves: int, seed: int) -> tuple[np.ndarray,
     return turns, scales + np.arange(513) * 1e-12, shifts  # ascending where the sample repeats itself
 
 
-def _keys(batches, fits: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+def _keys(batches, fits: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], width: int):
     """(d, curve, key, id, query, offered, vec) of every vector on every curve of its length; those of a length without a fit are on one."""
     schema = pa.schema([("d", pa.int32()), ("curve", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("query", pa.bool_()), ("offered", pa.bool_()), ("vec", pa.binary())])
     for batch in batches:
         lengths: dict[int, list[int]] = {}
         for i, v in enumerate(batch.column(3).to_pylist()):
-            lengths.setdefault(len(v) // 8, []).append(i)
+            lengths.setdefault(len(v) // width, []).append(i)
         for d, members in lengths.items():
             part = batch.take(pa.array(members))
             name = np.full(len(members), d, np.int32)
@@ -94,7 +94,7 @@ def _keys(batches, fits: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
                 continue
             turns, scales, shifts = fits[d]
             shares = np.linspace(0, 1, scales.shape[-1])
-            x = matrix(part.column(3).to_pylist())
+            x = matrix(part.column(3).to_pylist(), width)
             for c in range(len(turns)):
                 y = x @ turns[c]
                 u = np.stack([np.interp(y[:, j], scales[c, j], shares) for j in range(y.shape[1])], axis=1)
@@ -102,14 +102,14 @@ def _keys(batches, fits: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
                 yield record_batch([name, np.full(len(members), c, np.int32), hilbert_index(cells, BITS), *(part.column(i) for i in range(4))], schema)
 
 
-def _nearest(table: pa.Table, k: int) -> pa.Table:
+def _nearest(table: pa.Table, k: int, width: int) -> pa.Table:
     """The k nearest of a chunk's rows within a query's reach, for each of the queries that meet it."""
     asks = table.column("asks")
     rows, queries = table.filter(pc.invert(asks)), table.filter(asks)
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     if not rows.num_rows or not queries.num_rows:
         return schema.empty_table()
-    x, q = matrix(rows.column("vec").to_pylist()), matrix(queries.column("vec").to_pylist())
+    x, q = matrix(rows.column("vec").to_pylist(), width), matrix(queries.column("vec").to_pylist(), width)
     ids, ranks = rows.column("id").to_numpy(), rows.column("rank").to_numpy()
     about = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T
     slack = 1e-9 * (np.abs(about).max() + 1)
@@ -129,6 +129,7 @@ def nearest_neighbours(
     df: DataFrame, queries: Column, key: str = "vec_id", column: str = "embedding", k: int = 10, curves: int = CURVES, window: float = WINDOW, seed: int = 5
 ) -> DataFrame:
     """df(key bigint, column array); ``queries``: a condition on ``id`` -> query_id, rank (from 1), vec_id, score."""
+    width = width_of(df, column)
     vectors = valid_vectors(df, key, column).distinct().withColumn("h", F.md5("vec")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     # The smallest ids of a vector, first of each salt, then of these.
     place = F.dense_rank().over(Window.partitionBy("h", "salt").orderBy("id"))
@@ -136,14 +137,14 @@ def nearest_neighbours(
     place = F.dense_rank().over(Window.partitionBy("h", F.when(F.col("first"), F.lit(-1)).otherwise(F.col("salt"))).orderBy("id"))
     vectors = materialize(vectors.select("id", F.coalesce(queries, F.lit(False)).alias("query"), (F.col("first") & (place <= k + 1)).alias("offered"), "vec").filter("query OR offered"), "vectors")
     # Of each length: rows, queries, ranks on either side that a query meets, parts that its queries are dealt to.
-    sizes = vectors.groupBy((F.octet_length("vec") / 8).cast("int").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if("query").alias("queries"))
+    sizes = vectors.groupBy((F.octet_length("vec") / width).cast("int").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if("query").alias("queries"))
     sizes = sizes.withColumn("reach", F.greatest(F.ceil(F.col("n") * window), F.lit(4 * k).cast("long")))
     share = (2 * F.col("reach") + CHUNK) * F.greatest("queries", F.lit(1)) / F.col("n") / QUERIES_A_TASK
     sizes = materialize(sizes.withColumn("groups", F.greatest(F.ceil(share), F.lit(1)).cast("int")), "sizes")
     spark, fits = df.sparkSession, {}
     for d, n in sizes.filter("queries > 0 AND reach < n").select("d", "n").orderBy("d").collect():
-        fits[d] = fit_curves(bounded_sample(vectors.filter(F.octet_length("vec") == 8 * d), n, SAMPLE), curves, seed)
-    keyed = map_batches(vectors, partial(_keys, fits=fits), "d int, curve int, key long, id long, query boolean, offered boolean, vec binary")
+        fits[d] = fit_curves(bounded_sample(vectors.filter(F.octet_length("vec") == width * d), n, SAMPLE, width), curves, seed)
+    keyed = map_batches(vectors, partial(_keys, fits=fits, width=width), "d int, curve int, key long, id long, query boolean, offered boolean, vec binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = keyed.repartitionByRange(parts, "d", "curve", "key", "id").sortWithinPartitions("d", "curve", "key", "id").withColumn("at", F.monotonically_increasing_id())
     ordered = materialize(ordered, "curves")
@@ -160,7 +161,7 @@ def nearest_neighbours(
     asked = asked.withColumn("chunk", F.explode(F.sequence(F.floor(low / CHUNK), F.floor(high / CHUNK)))).select("d", "curve", "chunk", "share", "rank", "reach", "id", "vec")
     on = ["d", "curve", "chunk", "share"]
     met = rows.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
-    found = met.groupBy(*on).applyInArrow(lambda key, table: _nearest(table, k), "query_id long, vec_id long, score double")
+    found = met.groupBy(*on).applyInArrow(lambda key, table: _nearest(table, k, width), "query_id long, vec_id long, score double")
     merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return merged.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -187,6 +187,40 @@ def test_neighbours_of_each_length(spark, monkeypatch, window):
             assert got[q] == [i for _, i in sorted((((x - y) ** 2).sum(), i) for i, y in rows.items() if i != q and len(x) == len(y))[:3]]
 
 
+@pytest.mark.parametrize("cells,threshold", [(60, 0.9), (7, 0.9), (25, 0.6)])
+def test_no_link_is_lost_at_a_border(spark, monkeypatch, cells, threshold):
+    """Unstructured vectors and pairs right at the threshold, in cells of arbitrary centres and tiny blocks: equal to all pairs."""
+    rng = np.random.default_rng(cells)
+    x = rng.normal(size=(700, 12))
+    for i in range(350, 700):
+        # At an angle of just about the threshold to another vector.
+        u = x[i - 350] / np.linalg.norm(x[i - 350])
+        side = x[i] - (x[i] @ u) * u
+        angle = np.arccos(threshold) * rng.uniform(0.7, 1.1)
+        x[i] = (np.cos(angle) * u + np.sin(angle) * side / np.linalg.norm(side)) * rng.uniform(0.1, 9)
+    x[:40] = x[0] + 0.05 * rng.normal(size=(40, 12))
+    monkeypatch.setattr(vector_dedup, "BLOCK", 16)
+    monkeypatch.setattr(vector_dedup, "fit_cells", lambda sample, n, t: (lambda c: c / np.linalg.norm(c, axis=1, keepdims=True))(rng.normal(size=(cells, 12))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicates(df, threshold=threshold).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= threshold
+    np.fill_diagonal(linked, False)
+    pairs = np.argwhere(linked).tolist()
+    part = brute_components(range(len(x)), pairs)
+    assert got == {i: (int(linked[i].sum()), part[i]) for i in range(len(x))}
+
+
+def test_cells_fit_the_vectors():
+    """Few cells for vectors without structure, many for well-parted groups."""
+    rng = np.random.default_rng(1)
+    loose = rng.normal(size=(4000, 32))
+    centres = rng.normal(size=(400, 32))
+    tight = centres[rng.integers(0, 400, 4000)] + 0.05 * rng.normal(size=(4000, 32))
+    few, many = (len(vector_dedup.fit_cells(v, 20_000, 0.9)) for v in (loose, tight))
+    assert few < many
+
+
 def test_hilbert_neighbours_are_adjacent():
     for bits, m in ((3, 2), (2, 3), (1, 5)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * m, indexing="ij"), axis=-1).reshape(-1, m)
