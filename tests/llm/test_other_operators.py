@@ -214,10 +214,10 @@ def test_no_link_is_lost_at_a_border(spark, monkeypatch, cells, threshold):
 def test_cells_fit_the_vectors():
     """Few cells for vectors without structure, many for well-parted groups."""
     rng = np.random.default_rng(1)
-    loose = rng.normal(size=(4000, 32))
-    centres = rng.normal(size=(400, 32))
-    tight = centres[rng.integers(0, 400, 4000)] + 0.05 * rng.normal(size=(4000, 32))
-    few, many = (len(vector_dedup.fit_cells(v, 20_000, 0.9)) for v in (loose, tight))
+    loose = rng.normal(size=(4000, 64))
+    centres = rng.normal(size=(400, 64))
+    tight = centres[rng.integers(0, 400, 4000)] + 0.05 * rng.normal(size=(4000, 64))
+    few, many = (len(vector_dedup.fit_cells(v, 50_000, 0.9)) for v in (loose, tight))
     assert few < many
 
 
