@@ -132,20 +132,19 @@ def _compare(key, table: pa.Table, threshold: float, width: int) -> pa.Table:
         hit = (place < len(others)) & (others[np.minimum(place, len(others) - 1)] == flat) & (flat < cell) if len(others) else np.zeros(len(flat), bool)
         earlier = np.zeros((len(left), len(others)), bool)
         earlier[row[hit], place[hit]] = True
-    counts, forest = np.zeros(len(ids), np.int64), []
+    counts, forest = np.zeros(len(ids)), []
     for at in range(0, len(left), ROWS):
-        some = left[at : at + ROWS]
-        linked = x[some] @ x[right].T >= threshold
+        i, j = np.divmod(np.flatnonzero(x[left[at : at + ROWS]] @ x[right].T >= threshold), max(len(right), 1))
         if visiting:
-            linked &= ~earlier[at : at + ROWS][:, which]
-        elif one == two:
-            linked &= some[:, None] != right
-        counts[some] += linked @ n[right]
+            new = ~earlier[at + i, which[j]]
+        else:
+            new = left[at + i] != right[j] if one == two else np.ones(len(i), bool)
+        i, j = left[at + i[new]], right[j[new]]
+        counts += np.bincount(i, n[j], len(ids))
         if visiting or one != two:
-            counts[right] += linked.T @ n[some]
-        i, j = np.nonzero(linked)
+            counts += np.bincount(j, n[i], len(ids))
         # Of each part only a forest is kept.
-        low = least_reachable(some[i], right[j], len(ids))
+        low = least_reachable(i, j, len(ids))
         hung = np.flatnonzero(low != np.arange(len(ids)))
         forest.append((low[hung], hung))
     a, b = (np.concatenate([np.zeros(0, np.int64), *parts]) for parts in zip(*forest, strict=True)) if forest else (np.zeros(0, np.int64),) * 2
@@ -153,7 +152,7 @@ def _compare(key, table: pa.Table, threshold: float, width: int) -> pa.Table:
     hung = np.flatnonzero(low != np.arange(len(ids)))
     told = np.flatnonzero(counts)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
-    return pa.table([pa.array(np.concatenate([ids[told], ids[hung]])), pa.array([None] * len(told) + ids[low[hung]].tolist(), pa.int64()), pa.array(counts[told].tolist() + [None] * len(hung), pa.int64())], schema=schema)
+    return pa.table([pa.array(np.concatenate([ids[told], ids[hung]])), pa.array([None] * len(told) + ids[low[hung]].tolist(), pa.int64()), pa.array(counts[told].astype(np.int64).tolist() + [None] * len(hung), pa.int64())], schema=schema)
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = 0.9) -> DataFrame:
