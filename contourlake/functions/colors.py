@@ -65,7 +65,7 @@ def adjusted_hue(msh, m: float) -> float:
     if msh[0] >= m - 0.1:
         return msh[2]
     turn = msh[1] * math.sqrt(m * m - msh[0] * msh[0]) / (msh[0] * math.sin(msh[1]))
-    return msh[2] + turn if msh[2] > -math.pi / 3 else msh[2] - turn
+    return msh[2] + turn if msh[2] > -0.3 * math.pi else msh[2] - turn
 
 
 def diverging(s: Column, low=BLUE, high=RED) -> Column:
@@ -123,3 +123,26 @@ def composition_color(a: Column, b: Column, c: Column, totals: tuple[int, int, i
     shares = [x / F.lit(float(max(t, 1))) for x, t in zip((a, b, c), totals, strict=True)]
     whole = shares[0] + shares[1] + shares[2]
     return rgb(*(F.when(whole == 0, F.lit(0.0)).otherwise(x / whole) for x in shares))
+
+
+def between(low: Column, high: Column, share: Column) -> Column:
+    """The colour at a share of the way between two."""
+    return rgb(*(low[k] + (high[k] - low[k]) * share for k in "rgb"))
+
+
+def vertex_color(f: Column, f1: Column, f2: Column, edge_color, picked: Column, picks: dict[int, tuple[float, float, float]]) -> Column:
+    """A vertex's colour: that of its edge's selection if it has one, else the edge's colour (a function of a share) where its value lies between the ends' values."""
+    share = F.when(f1 == f2, F.lit(0.0)).otherwise((f - f2) / (f1 - f2))
+    out = edge_color(share)
+    for group, c in picks.items():
+        out = F.when(picked == group, rgb(*map(F.lit, c))).otherwise(out)
+    return out
+
+
+def hsb(hue: Column, saturation: Column, brightness: Column) -> Column:
+    """Hue (in turns), saturation and brightness to red, green, blue."""
+    def channel(n: int) -> Column:
+        k = F.pmod(F.lit(float(n)) + hue * 6, F.lit(6.0))
+        return brightness - brightness * saturation * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))
+
+    return rgb(channel(5), channel(3), channel(1))

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Width to which a run of digits is padded in a sort key.
-DIGITS = 20
-
 
 def squared_distance(a: Column, b: Column) -> Column:
     """Sum of squared differences, folded in the order of the components, in double precision."""
@@ -80,7 +77,7 @@ def natural_key(name: Column) -> Column:
         digits = t.rlike("^[0-9]+$")
         bare = F.regexp_replace(t, "^0+(?=[0-9])", "")
         return (
-            F.when(digits, F.concat(F.lit("0"), F.lpad(bare, DIGITS, "0")))
+            F.when(digits, F.concat(F.lit("0"), F.lpad(F.length(bare).cast("string"), 10, "0"), bare))
             .when(F.lower(t) != F.upper(t), F.concat(F.lit("2"), F.lower(t)))
             .otherwise(F.concat(F.lit("1"), t))
         )
@@ -119,8 +116,25 @@ def polygon_centroid(points: Column, axis: str) -> Column:
 
 
 def full_match(text: Column, pattern: str) -> Column:
-    """Whether the whole text matches; an invalid pattern raises before any job runs."""
-    import re
+    """Whether the whole text matches; a pattern that the engine's own compiler refuses raises before any job runs."""
+    from pyspark import SparkContext
+
+    compiled = rf"\A(?:{pattern})\z"
+    context = SparkContext._active_spark_context
+    if context is not None:
+        for p in (pattern, compiled):
+            context._jvm.java.util.regex.Pattern.compile(p)
+    return text.rlike(compiled)
+
+
+def crossing(p: Column, q: Column, a: Column, b: Column) -> Column:
+    """struct(t, u): the lines p-q and a-b (structs x, y) meet at p + t (q - p) = a + u (b - a); null where they are parallel."""
+    rx, ry, sx, sy = q["x"] - p["x"], q["y"] - p["y"], b["x"] - a["x"], b["y"] - a["y"]
+    dx, dy, det = a["x"] - p["x"], a["y"] - p["y"], rx * sy - ry * sx
+    return F.when(det != 0, F.struct(((dx * sy - dy * sx) / det).alias("t"), ((dx * ry - dy * rx) / det).alias("u")))
+
 
-    re.compile(pattern)
-    return text.rlike(rf"\A(?:{pattern})\z")
+def crosses(p: Column, q: Column, a: Column, b: Column) -> Column:
+    """Whether the segments p-q and a-b have a point in common; parallel ones count as apart."""
+    at = crossing(p, q, a, b)
+    return F.coalesce(at["t"].between(0, 1) & at["u"].between(0, 1), F.lit(False))

@@ -146,3 +146,15 @@ def landscape(partition, total, height):
                     triangles.append((e, n, k, float(x), float(y), float(z), inner))
                 n += 1
     return plans, triangles
+
+
+def split(p: np.ndarray, at: np.ndarray, direction: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of a convex polygon on the right and on the left of the line through a point in a direction."""
+    normal = np.array([-direction[1], direction[0]], float)
+    offset = float(normal @ np.asarray(at, float))
+    return clip(p, normal, offset), clip(p, -normal, -offset)
+
+
+def split_by_segment(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the line through two points."""
+    return split(p, a, np.asarray(b, float) - np.asarray(a, float))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, small
+from .common import cut, numbered, small
 
 #: Rows of a block; a task compares two blocks.
 BLOCK = 2048
@@ -100,12 +100,7 @@ def sample_map(paths: DataFrame, names: DataFrame | None = None, keep: bool = Tr
     """
     if names is not None:
         paths = paths.join(small(names.select("path").distinct()), "path", "left_semi" if keep else "left_anti")
-    at = paths.select("conf_id").repartitionByRange("conf_id").sortWithinPartitions("conf_id").withColumn("at", F.monotonically_increasing_id())
-    at = cut(at, "sample").withColumn("part", F.shiftright("at", 33))
-    sizes = at.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    base = sizes.select("part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))
-    return at.join(small(base), "part").select((F.col("at") + F.col("base")).cast("int").alias("s_id"), "conf_id")
+    return numbered(paths.select("conf_id"), [F.col("conf_id")], "s_id").select("s_id", "conf_id")
 
 
 def build_domain(points: DataFrame, k: int, paths: DataFrame | None = None, names: DataFrame | None = None, keep: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -31,18 +31,17 @@ def shortest_path(weighted: DataFrame, starts: list[int], ends: list[int]) -> Da
     return weighted.groupBy("key").applyInPandas(run, "key string, step int, v long, cost double")
 
 
-def path_costs(weighted: DataFrame, start: int, rounds: int = 1000) -> DataFrame:
+def path_costs(weighted: DataFrame, start: int) -> DataFrame:
     """weighted(src, dst, w) -> v, cost from the start, by rounds of relaxation over tables: for graphs larger than a task. Stops when nothing improves."""
     both = cut(weighted.select("src", "dst", "w").unionByName(weighted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")), "weighted")
     costs = cut(weighted.sparkSession.createDataFrame([(start, 0.0)], "v long, cost double"), "costs")
     front = costs
-    for _ in range(rounds):
+    while True:
         offers = front.join(both, F.col("v") == F.col("src")).groupBy(F.col("dst").cast("long").alias("v")).agg(F.min(F.col("cost") + F.col("w")).alias("offer"))
         front = cut(offers.join(costs, "v", "left").filter("cost IS NULL OR offer < cost").select("v", F.col("offer").alias("cost")), "front")
         if front.isEmpty():
             return costs
         costs = cut(costs.join(front, "v", "left_anti").unionByName(front), "costs")
-    raise RuntimeError(f"costs did not settle in {rounds} rounds")
 
 
 def common_steps(path: DataFrame, other: DataFrame) -> DataFrame:
@@ -56,3 +55,14 @@ def ring_neighbours(items: DataFrame, order: str) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
     rows = items.select(order, (F.row_number().over(w) - 1).alias("idx"), n.alias("n"))
     return rows.select(order, "idx", F.pmod(F.col("idx") + 1, F.col("n")).alias("next"), F.pmod(F.col("idx") - 1, F.col("n")).alias("previous"))
+
+
+def boundary_path(path: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """step, v: a path with a further vertex in front and behind where one is given, as when it runs between groups of vertices of which one is picked."""
+    ends = [(step, v) for step, v in ((-1, start), (2**31 - 1, end)) if v is not None]
+    own = path.select("step", F.col("v").cast("long").alias("v"))
+    if ends:
+        # An empty path stays empty.
+        more = path.sparkSession.createDataFrame(ends, "step int, v long").join(F.broadcast(path.agg((F.count(F.lit(1)) > 0).alias("_any")).filter("_any")))
+        own = own.unionByName(more.select("step", "v"))
+    return own.select((F.row_number().over(Window.orderBy("step")) - 1).alias("step"), "v")  # one path

@@ -149,3 +149,26 @@ def in_ranges(rows: DataFrame, ranges: DataFrame, key: str, step: str) -> DataFr
 def strata(rows: DataFrame, z: str, low: float, high: float) -> DataFrame:
     """Rows of a half-open stratum."""
     return rows.filter((F.col(z) >= low) & (F.col(z) < high))
+
+
+def nearest_to_path(vertices: DataFrame, path: DataFrame) -> DataFrame:
+    """id, on, d2: of vertices(id, x, y, z) the nearest to any of path(id, x, y, z), ties to the smaller ids. The path is one value; each task sends one row."""
+    steps = path.agg(F.collect_list(F.struct("id", "x", "y", "z")).alias("_path"))
+    square = lambda p, c: (F.col(c) - p[c]) * (F.col(c) - p[c])
+    gaps = F.transform("_path", lambda p: F.struct((square(p, "x") + square(p, "y") + square(p, "z")).alias("d2"), p["id"].alias("on")))
+    best = vertices.crossJoin(F.broadcast(steps)).select(F.struct(F.array_min(gaps).alias("g"), "id").alias("m"))  # one row
+    return best.agg(F.min(F.struct(F.col("m.g.d2"), F.col("m.id"), F.col("m.g.on"))).alias("m")).select("m.id", "m.on", "m.d2")
+
+
+def distinct_in_region(rows: DataFrame, v: str, inside) -> DataFrame:
+    """n: the distinct vertices of all edges that lie in a region."""
+    return rows.filter(inside).select(v).distinct().agg(F.count(F.lit(1)).alias("n"))
+
+
+def progress(tasks: DataFrame, by: str, done, order: list[str], message: str, last: int = 5) -> DataFrame:
+    """by, total, completed, share, messages: how far each group of tasks is, and its last messages, oldest first."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*(F.col(c).desc() for c in order)))
+    ranked = tasks.withColumn("_place", place)
+    latest = F.collect_list(F.when(F.col("_place") <= last, F.struct((-F.col("_place")).alias("p"), F.col(message).alias("m"))))
+    counts = ranked.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("completed"), F.array_sort(latest)["m"].alias("messages"))
+    return counts.select(by, "total", "completed", (F.col("completed") / F.col("total")).alias("share"), "messages")

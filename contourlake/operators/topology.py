@@ -113,19 +113,19 @@ def region(tree: DataFrame, cut_vertex: int) -> DataFrame:
     """
     from .neighbours import components
 
-    tag = lambda c: F.concat_ws("/", "key", F.lpad(F.col(c).cast("string"), 20, "0"))
+    tag = lambda c: F.struct("key", F.col(c).cast("long").alias("n"))
     rest = tree.filter(F.col("n1") != cut_vertex)
     ends = tree.select(tag("n1").alias("v")).unionByName(tree.select(tag("n2").alias("v"))).distinct()
     labels = components(ends, rest.select(tag("n1").alias("src"), tag("n2").alias("dst")))
-    own = labels.filter(F.col("v").endswith("/" + str(cut_vertex).zfill(20))).select("component")
+    own = labels.filter(F.col("v.n") == cut_vertex).select("component")
     inside = labels.join(own, "component", "left_semi").select("v")
     seen = rest.withColumn("v", tag("n1")).join(inside, "v", "left_semi").select("key", "edge_id", F.lit(True).alias("_in"))
     return tree.join(seen, ["key", "edge_id"], "left").select("key", "edge_id", F.coalesce("_in", F.lit(False)).alias("visible"))
 
 
-def _landscape_tables(vertices, edges, areas: DataFrame, tau, kernel, columns: str) -> DataFrame:
-    """Kernels that need the areas of tree edges: areas(key, edge_id, area)."""
-    tree = tree_edges(vertices, edges, tau).join(areas, ["key", "edge_id"]).select("key", "edge_id", "n1", "n2", "area")
+def _landscape_tables(vertices, edges, areas: DataFrame, tau, kernel, columns: str, tree: DataFrame | None = None) -> DataFrame:
+    """Kernels that need the areas of tree edges: areas(key, edge_id, area). ``tree``: that of :func:`tree_edges`, if it is at hand."""
+    tree = (tree_edges(vertices, edges, tau) if tree is None else tree).join(areas, ["key", "edge_id"]).select("key", "edge_id", "n1", "n2", "area")
     f = vertices.select("key", F.col("v").alias("n"), "f")
     tree = tree.join(f.withColumnRenamed("n", "n1").withColumnRenamed("f", "f1"), ["key", "n1"]).join(f.withColumnRenamed("n", "n2").withColumnRenamed("f", "f2"), ["key", "n2"])
     names = [c.split()[0] for c in columns.split(", ")]
@@ -145,34 +145,34 @@ def _landscape_tables(vertices, edges, areas: DataFrame, tau, kernel, columns: s
     return tree.groupBy("key").applyInPandas(run, f"key string, {columns}")
 
 
-def space_partition(vertices, edges, areas, tau=None) -> DataFrame:
+def space_partition(vertices, edges, areas, tau=None, tree=None) -> DataFrame:
     """key, edge_id, parent_edge, outer_v, inner_v, depth, sum_area: the tree's edges rooted at the highest vertex, with the areas of all below."""
 
     def kernel(partition, total, height, ids):
         for i, parent, outer, inner, depth in partition:
             yield ids[i], ids[parent] if parent >= 0 else None, outer, inner, depth, total[i]
 
-    return _landscape_tables(vertices, edges, areas, tau, kernel, "edge_id int, parent_edge int, outer_v long, inner_v long, depth int, sum_area double")
+    return _landscape_tables(vertices, edges, areas, tau, kernel, "edge_id int, parent_edge int, outer_v long, inner_v long, depth int, sum_area double", tree)
 
 
-def floorplan(vertices, edges, areas, tau=None) -> DataFrame:
+def floorplan(vertices, edges, areas, tau=None, tree=None) -> DataFrame:
     """key, edge_id, polygon: nested polygons of the unit square, areas in proportion to the areas of subtrees."""
 
     def kernel(partition, total, height, ids):
         for e, p in geometry.landscape(partition, total, height)[0]:
             yield ids[e], [{"x": float(x), "y": float(y)} for x, y in p]
 
-    return _landscape_tables(vertices, edges, areas, tau, kernel, "edge_id int, polygon array<struct<x:double,y:double>>")
+    return _landscape_tables(vertices, edges, areas, tau, kernel, "edge_id int, polygon array<struct<x:double,y:double>>", tree)
 
 
-def terrain(vertices, edges, areas, tau=None) -> DataFrame:
+def terrain(vertices, edges, areas, tau=None, tree=None) -> DataFrame:
     """key, edge_id, tri, corner, x, y, z, ct_node."""
 
     def kernel(partition, total, height, ids):
         for e, tri, corner, x, y, z, node in geometry.landscape(partition, total, height)[1]:
             yield ids[e], tri, corner, x, y, z, node
 
-    return _landscape_tables(vertices, edges, areas, tau, kernel, "edge_id int, tri int, corner int, x double, y double, z double, ct_node long")
+    return _landscape_tables(vertices, edges, areas, tau, kernel, "edge_id int, tri int, corner int, x double, y double, z double, ct_node long", tree)
 
 
 def terrain_graph(triangles: DataFrame) -> DataFrame:
@@ -193,3 +193,32 @@ def tree_layout(plan: DataFrame, partition: DataFrame, vertices: DataFrame) -> D
     f = vertices.select("key", F.col("v").alias("inner_v"), F.col("f").cast("double").alias("y"))
     own = plan.filter(F.size("polygon") > 2).select("key", "edge_id", polygon_centroid(F.col("polygon"), "x").alias("x"), polygon_centroid(F.col("polygon"), "y").alias("z"))
     return normalised(own.join(partition.select("key", "edge_id", "inner_v"), ["key", "edge_id"]).join(f, ["key", "inner_v"]).select("key", "edge_id", "x", "y", "z"), ["x", "y", "z"])
+
+
+def incident_edges(tree: DataFrame) -> DataFrame:
+    """key, v, degree, edges (ascending): the edges of a tree(key, edge_id, n1, n2) at each of its vertices."""
+    ends = tree.select("key", "edge_id", F.explode(F.array("n1", "n2")).alias("v"))
+    return ends.groupBy("key", "v").agg(F.count(F.lit(1)).alias("degree"), F.sort_array(F.collect_list("edge_id")).alias("edges"))
+
+
+def not_reflexive(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """v, parent, lacks: links that only one of parents(v, parent) and children(parent, v) has. A sound tree gives no rows."""
+    up, down = parents.filter("parent IS NOT NULL").select("v", "parent"), children.select("v", "parent")
+    missing = lambda a, b, name: a.exceptAll(b).withColumn("lacks", F.lit(name))
+    return missing(up, down, "child").unionByName(missing(down, up, "parent"))
+
+
+def unexpressed(edges: DataFrame, laid_out: DataFrame) -> DataFrame:
+    """The edges(key, edge_id) that a layout(key, edge_id) leaves out. A whole layout gives no rows."""
+    return edges.select("key", "edge_id").exceptAll(laid_out.select("key", "edge_id").distinct())
+
+
+def all_visible(tree: DataFrame) -> DataFrame:
+    """key, edge_id, visible: the tree after its region is cleared."""
+    return tree.select("key", "edge_id", F.lit(True).alias("visible"))
+
+
+def terrain_positions(triangles: DataFrame) -> DataFrame:
+    """key, v, positions: where each vertex of the tree stands on the terrain; corners without a vertex are left out."""
+    own = triangles.filter("ct_node IS NOT NULL AND ct_node >= 0").groupBy("key", F.col("ct_node").alias("v"))
+    return own.agg(F.sort_array(F.collect_set(F.struct("x", "y", "z"))).alias("positions"))

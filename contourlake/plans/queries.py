@@ -7,6 +7,7 @@ are pushed rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import colors, columns
 from ..operators import linalg, neighbours, paths, statistics, topology
-from ..operators.common import cut, shared_dir
+from ..operators.common import cut, numbered, shared_dir
 from ..sources import codec, logs, structures
 from ..streaming import refresh
 from . import session
@@ -286,11 +287,7 @@ def vertex_classes(spark, d):
 
 @query("SELECT vec_id AS v, row_number() OVER (ORDER BY embedding[1], vec_id)::INT AS place FROM embeddings")
 def vertex_order(spark, d):
-    ordered = values(spark, d).repartitionByRange("f", "v").sortWithinPartitions("f", "v").withColumn("at", F.monotonically_increasing_id())
-    ordered = cut(ordered, "order").withColumn("part", F.shiftright("at", 33))
-    sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    base = sizes.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first")).alias("base"))
-    return ordered.join(F.broadcast(base), "part").select("v", (F.col("at") + F.col("base") + 1).cast("int").alias("place"))
+    return numbered(values(spark, d), [F.col("f"), F.col("v")], "place", first=1).select("v", "place")
 
 
 @query("WITH m AS (SELECT max(embedding[1]) AS f FROM embeddings) SELECT min(vec_id) AS v, any_value(f) AS f FROM embeddings, m WHERE embedding[1] = f")
@@ -298,15 +295,34 @@ def highest_vertex(spark, d):
     return values(spark, d).agg(F.max(F.struct("f", (-F.col("v")).alias("i"))).alias("m")).select((-F.col("m.i")).alias("v"), F.col("m.f").alias("f"))
 
 
-# Trees: sequential, so rows only here; tests hold the kernels against fixtures and definitions.
+# Components of what lies above (below) each vertex, named by their lowest (highest) vertex; ranks are those of the total order. Labels sink until none does.
+_LEVELS = """rk AS (SELECT v, f, (row_number() OVER (ORDER BY f, v))::BIGINT AS r FROM f),
+ra AS (SELECT a.r AS a, b.r AS b FROM adj JOIN rk a ON a.v = adj.v JOIN rk b ON b.v = adj.w),
+up(t, u, l) USING KEY (t, u) AS (SELECT a.r, b.r, b.r FROM rk a JOIN rk b ON b.r > a.r UNION
+  SELECT x.t, ra.b, min(x.l) FROM up x JOIN ra ON ra.a = x.u AND ra.b > x.t JOIN recurring.up y ON y.t = x.t AND y.u = ra.b WHERE y.l > x.l GROUP BY x.t, ra.b),
+down(t, u, l) USING KEY (t, u) AS (SELECT a.r, b.r, b.r FROM rk a JOIN rk b ON b.r < a.r UNION
+  SELECT x.t, ra.b, max(x.l) FROM down x JOIN ra ON ra.a = x.u AND ra.b < x.t JOIN recurring.down y ON y.t = x.t AND y.u = ra.b WHERE y.l < x.l GROUP BY x.t, ra.b),
+above AS (SELECT up.t, up.l, max(up.u) AS oldest FROM up WHERE (up.t, up.l) IN (SELECT o.t, o.l FROM up o JOIN ra ON ra.a = o.t AND ra.b = o.u) GROUP BY up.t, up.l),
+below AS (SELECT down.t, down.l, min(down.u) AS oldest FROM down WHERE (down.t, down.l) IN (SELECT o.t, o.l FROM down o JOIN ra ON ra.a = o.t AND ra.b = o.u) GROUP BY down.t, down.l)"""
+MERGE_SQL = f"""WITH RECURSIVE {KNN_SQL}, {_LEVELS}
+SELECT 'all' AS key, 'join' AS tree, rk.v, coalesce(p.v, -1) AS parent FROM rk LEFT JOIN above ON above.l = rk.r LEFT JOIN rk p ON p.r = above.t
+UNION ALL SELECT 'all', 'split', rk.v, coalesce(p.v, -1) FROM rk LEFT JOIN below ON below.l = rk.r LEFT JOIN rk p ON p.r = below.t"""
+PAIRS_SQL = f"""WITH RECURSIVE {KNN_SQL}, {_LEVELS},
+falls AS (SELECT t, oldest AS young, lead(oldest) OVER (PARTITION BY t ORDER BY oldest) AS old, 'down' AS sweep FROM above
+  UNION ALL SELECT t, oldest, lead(oldest) OVER (PARTITION BY t ORDER BY oldest DESC), 'up' FROM below)
+SELECT 'all' AS key, y.v AS extremum, s.v AS saddle, o.v AS killed_by, abs(y.f - s.f)::DOUBLE AS persistence, sweep
+FROM falls JOIN rk y ON y.r = young JOIN rk s ON s.r = t JOIN rk o ON o.r = old WHERE old IS NOT NULL"""
 
 
-@query()
+# Trees: the merge trees and pairs have SQL; what follows from them step by step is held against fixtures and definitions by tests.
+
+
+@query(MERGE_SQL)
 def merge_trees(spark, d):
-    return topology.merge_trees(*domain(spark, d))
+    return topology.merge_trees(*domain(spark, d)).withColumn("parent", F.coalesce("parent", F.lit(-1)))
 
 
-@query()
+@query(PAIRS_SQL)
 def persistence_pairs(spark, d):
     return topology.persistence(*domain(spark, d))
 
@@ -361,28 +377,42 @@ def roi_cut(spark, d):
     return topology.region(tree, cut_at if cut_at is not None else -1)
 
 
+WEIGHTED_SQL = KNN_SQL + """, near AS (SELECT adj.v, adj.w, sqrt(d.d2) AS c FROM adj JOIN d ON d.src = least(adj.v, adj.w) AND d.dst = greatest(adj.v, adj.w))"""
+# Each round replaces a vertex's cost where a cheaper way in was found; it ends when none was.
+_COSTS = """costs(v, cost) USING KEY (v) AS (SELECT v::BIGINT, 0.0::DOUBLE FROM (VALUES {starts}) t(v) UNION
+SELECT near.w, min(x.cost + {step}) FROM costs x JOIN near ON near.v = x.v LEFT JOIN recurring.costs y ON y.v = near.w WHERE y.cost IS NULL OR x.cost + {step} < y.cost GROUP BY near.w)"""
+COSTS_SQL = "WITH RECURSIVE " + WEIGHTED_SQL + ", " + _COSTS.format(starts="(0)", step="near.c") + " SELECT v, round(cost, 6) AS cost FROM costs"
+HOPS_SQL = "WITH RECURSIVE " + WEIGHTED_SQL + ", " + _COSTS.format(starts="(0)", step="1.0") + " SELECT v, cost FROM costs"
+# Back from the cheapest end, each time to the neighbour whose cost and step make up the vertex's own; of several the least in (cost, vertex).
+PATH_SQL = "WITH RECURSIVE " + WEIGHTED_SQL + ", " + _COSTS.format(starts="{starts}", step="near.c") + """,
+goal AS (SELECT v, cost FROM costs WHERE v IN ({ends}) ORDER BY cost, v LIMIT 1),
+back(v, n) AS (SELECT v, 0 FROM goal UNION ALL
+  SELECT (SELECT min(struct_pack(cost := a.cost, v := a.v)).v FROM near JOIN costs a ON a.v = near.w JOIN costs own ON own.v = back.v WHERE near.v = back.v AND a.cost + near.c = own.cost), back.n + 1
+  FROM back JOIN costs o ON o.v = back.v WHERE o.cost > 0)
+SELECT 'all' AS key, (max(n) OVER () - n)::INT AS step, v, round((SELECT cost FROM goal), 6) AS cost FROM back"""
+
+
 def _weighted(spark, d):
     p = points(spark, d).select(F.col("conf_id").alias("i"), F.col("v").alias("p")).select(F.col("i").alias("v"), "p")
     return paths.weighted_edges(edges(spark, d), p)
 
 
-@query()
+@query(PATH_SQL.format(starts="(0)", ends="0 + 1"))
 def shortest_path_weighted(spark, d):
     return paths.shortest_path(_weighted(spark, d).withColumn("key", F.lit("all")), [0], [1]).withColumn("cost", six(F.col("cost")))
 
 
-@query()
+@query(PATH_SQL.format(starts="(0), (2)", ends="1, 3"))
 def shortest_path_multi(spark, d):
     return paths.shortest_path(_weighted(spark, d).withColumn("key", F.lit("all")), [0, 2], [1, 3]).withColumn("cost", six(F.col("cost")))
 
 
-@query(f"""WITH RECURSIVE {KNN_SQL}, near AS (SELECT d.src AS v, d.dst AS w FROM d JOIN adj ON adj.v = d.src AND adj.w = d.dst),
-walk(v, n) AS (SELECT 0::BIGINT, 0 UNION SELECT near.w, walk.n + 1 FROM walk JOIN near ON near.v = walk.v WHERE walk.n < 12) SELECT v, min(n)::DOUBLE AS cost FROM walk GROUP BY v""")
+@query(HOPS_SQL)
 def hop_distances(spark, d):
     return paths.path_costs(edges(spark, d).withColumn("w", F.lit(1.0)), 0)
 
 
-@query()
+@query(COSTS_SQL)
 def path_costs(spark, d):
     return paths.path_costs(_weighted(spark, d), 0).withColumn("cost", six(F.col("cost")))
 
@@ -416,31 +446,34 @@ def graph_spectrum(spark, d):
     return linalg.graph_eigenvalues(edges(spark, d).withColumn("key", F.lit("all")), 6).withColumn("value", six(F.col("value")))
 
 
-def _areas(spark, d):
-    m = component_members(spark, d)
-    own = points(spark, d)
-    rows = m.withColumnRenamed("v", "i").join(own, F.col("i") == own.conf_id).select("edge_id", "v")
-    return cut(statistics.spread(rows, "edge_id").withColumn("key", F.lit("all")), "areas")
+def _landscape(spark, d):
+    """vertices, edges, areas, tau, tree for the layouts; neighbours and tree are computed once."""
+    vertices, own = domain(spark, d)
+    tree = cut(topology.tree_edges(vertices, own, tau=TAU), "tree")
+    p = points(spark, d)
+    rows = topology.members(tree).withColumnRenamed("v", "i").join(p, F.col("i") == p.conf_id).select("edge_id", "v")
+    areas = cut(statistics.spread(rows, "edge_id").withColumn("key", F.lit("all")), "areas")
+    return vertices, own, areas, TAU, tree
 
 
 @query()
 def tree_edge_areas(spark, d):
-    return _areas(spark, d).withColumn("area", six(F.col("area")))
+    return _landscape(spark, d)[2].withColumn("area", six(F.col("area")))
 
 
 @query()
 def bsp_subtree_area(spark, d):
-    return topology.space_partition(*domain(spark, d), _areas(spark, d), TAU).withColumn("sum_area", six(F.col("sum_area")))
+    return topology.space_partition(*_landscape(spark, d)).withColumn("sum_area", six(F.col("sum_area")))
 
 
 @query()
 def floorplan_polygons(spark, d):
-    return topology.floorplan(*domain(spark, d), _areas(spark, d), TAU)
+    return topology.floorplan(*_landscape(spark, d))
 
 
 @query()
 def terrain_triangles(spark, d):
-    return topology.terrain(*domain(spark, d), _areas(spark, d), TAU)
+    return topology.terrain(*_landscape(spark, d))
 
 
 @query()
@@ -454,6 +487,33 @@ def _shade(spark, d):
     return e.crossJoin(F.broadcast(low_high)).select("vec_id", colors.unit(F.col("f"), F.col("lo"), F.col("hi")).alias("s"))  # one row
 
 
+def _diverging_sql(s: str, source: str) -> str:
+    """CTEs ending in ``rgb`` (the rows of ``source`` with r, g, b) for values ``s`` in [0, 1]: through white between the two ends, in polar Lab."""
+    (m1, s1, h1), (m2, s2, h2) = (colors.lab_to_msh(colors.rgb_to_lab(c)) for c in (colors.BLUE, colors.RED))
+    white = max(m1, m2, 88.0)
+
+    def side(m, sat, hue):
+        # The hue of white next to a saturated end.
+        turn = sat * math.sqrt(white * white - m * m) / (m * math.sin(sat)) if m < white - 0.1 else 0.0
+        return hue + turn if hue > -0.3 * math.pi else hue - turn
+
+    g1, g2 = side(m1, s1, h1), side(m2, s2, h2)
+    way = lambda a, b: f"CASE WHEN s < 0.5 THEN {a[0]!r}::DOUBLE + ({a[1]!r}::DOUBLE - {a[0]!r}::DOUBLE) * (2 * s) ELSE {b[0]!r}::DOUBLE + ({b[1]!r}::DOUBLE - {b[0]!r}::DOUBLE) * (2 * s - 1) END"
+    cube = lambda t: f"(CASE WHEN {t} * {t} * {t} > 0.008856 THEN {t} * {t} * {t} ELSE ({t} - 16.0::DOUBLE / 116) / 7.787 END)"
+    gamma = lambda c: f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN {c} > 0.0031308 THEN 1.055 * pow(greatest({c}, 0.0::DOUBLE), 1 / 2.4::DOUBLE) - 0.055 ELSE 12.92 * {c} END))"
+    row = lambda r: " + ".join(f"({c!r}::DOUBLE) * {k}" for c, k in zip(r, ("cx", "cy", "cz"), strict=True))
+    return f"""v0 AS (SELECT *, ({s})::DOUBLE AS s FROM {source}),
+v1 AS (SELECT *, {way((m1, white), (white, m2))} AS m, {way((s1, 0.0), (0.0, s2))} AS sat, {way((h1, g1), (g2, h2))} AS hue FROM v0),
+v2 AS (SELECT *, (m * cos(sat) + 16) / 116 AS fy FROM v1),
+v3 AS (SELECT *, m * sin(sat) * cos(hue) / 500 + fy AS fx, fy - m * sin(sat) * sin(hue) / 200 AS fz FROM v2),
+v4 AS (SELECT *, {cube("fx")} * {colors.WHITE[0]!r} AS cx, {cube("fy")} * {colors.WHITE[1]!r} AS cy, {cube("fz")} * {colors.WHITE[2]!r} AS cz FROM v3),
+v5 AS (SELECT *, {row(colors.XYZ_TO_RGB[0])} AS lr, {row(colors.XYZ_TO_RGB[1])} AS lg, {row(colors.XYZ_TO_RGB[2])} AS lb FROM v4),
+rgb AS (SELECT *, {gamma("lr")} AS r, {gamma("lg")} AS g, {gamma("lb")} AS b FROM v5)"""
+
+
+DIVERGING_SQL = "WITH s AS (SELECT vec_id, (embedding[1]::DOUBLE - min(embedding[1]) OVER ()::DOUBLE) / (max(embedding[1]) OVER ()::DOUBLE - min(embedding[1]) OVER ()::DOUBLE) AS share FROM embeddings), " + _diverging_sql("share", "s") + " SELECT vec_id, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM rgb"
+
+
 def _channels(rows, key, c):
     """key, r, g, b of a colour column, computed once."""
     names = "rgb"
@@ -474,7 +534,7 @@ def gray_color(spark, d):
     return _channels(_shade(spark, d), "vec_id", colors.gray(F.col("s")))
 
 
-@query()
+@query(DIVERGING_SQL)
 def diverging_color(spark, d):
     return _channels(_shade(spark, d), "vec_id", colors.diverging(F.col("s")))
 
@@ -553,12 +613,6 @@ def push_targets(spark, d):
     return session.push_targets(rows, users, ["project"]).select("event_id", "user")
 
 
-@query("SELECT r_name AS dataset, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
-def catalog(spark, d):
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).groupBy(F.col("r_name").alias("dataset")).agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("names"))  # region is a fixed list
-
-
 @query("SELECT p_partkey, regexp_replace(p_name || CASE WHEN p_partkey % 2 = 0 THEN '.TXT' ELSE '.txt' END, '\\.txt$', '', 'i') AS name FROM part")
 def menu_names(spark, d):
     p = table(spark, d, "part")
@@ -610,7 +664,13 @@ def polygon_measures(spark, d):
     return p.select("p_partkey", columns.polygon_area(F.col("polygon")).alias("area"), F.round(columns.polygon_centroid(F.col("polygon"), "x"), 9).alias("cx"), F.round(columns.polygon_centroid(F.col("polygon"), "y"), 9).alias("cy"))
 
 
-@query()
+ENGINEERING_SQL = """WITH x AS (SELECT s_suppkey, s_acctbal::DOUBLE AS v FROM supplier),
+e AS (SELECT *, CASE WHEN v = 0 THEN 0 ELSE floor(log10(abs(v)))::INT - 1 END AS e FROM x),
+m AS (SELECT *, round_even(CASE WHEN v = 0 THEN 0 ELSE abs(v) / pow(10.0::DOUBLE, e) END, 2) AS m FROM e)
+SELECT s_suppkey, CASE WHEN v < 0 THEN '-' ELSE '' END || printf('%05.2f', CASE WHEN m >= 100 THEN m / 10 ELSE m END) || 'E' || (CASE WHEN m >= 100 THEN e + 1 ELSE e END) AS text FROM m"""
+
+
+@query(ENGINEERING_SQL)
 def engineering_format(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", columns.scientific(F.col("s_acctbal")).alias("text"))
 
@@ -665,10 +725,8 @@ def edge_interpolation(spark, d):
 
 @query()
 def tree_layout(spark, d):
-    vertices, own = domain(spark, d)
-    areas, own = _areas(spark, d), cut(own, "edges")
-    plan, parts = topology.floorplan(vertices, own, areas, TAU), topology.space_partition(vertices, own, areas, TAU)
-    return topology.tree_layout(plan, parts, vertices)
+    parts = _landscape(spark, d)
+    return topology.tree_layout(topology.floorplan(*parts), topology.space_partition(*parts), parts[0])
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
@@ -680,3 +738,6 @@ def entry(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("component").agg(
         F.count(F.lit(1)).alias("n"), F.sum("degree").alias("degrees"), F.round(F.avg("f"), 6).alias("mean_f"), F.min("f").alias("min_f"), F.max("f").alias("max_f")
     )
+
+
+from . import more_queries  # noqa: E402, F401  registers itself

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import full_match
 from ..operators import paths, statistics, topology
-from ..operators.common import small
+from ..operators.common import numbered, small
 from ..sources import files, logs, structures
 
 
@@ -122,4 +122,20 @@ def selected_vertices(members: DataFrame, selection: DataFrame) -> DataFrame:
     return members.join(selection.select("edge_id").distinct(), "edge_id", "left_semi").select("v").distinct()
 
 
-__all__ = ["Session", "missing_annotations", "name_is_free", "push_targets", "resolve_storyboards", "selected", "selected_vertices"]
+def selected_by_function(members: DataFrame, selection: DataFrame, function: DataFrame) -> DataFrame:
+    """s_id, f, place: the vertices of the selected edges, the highest value first, ties to the smaller id."""
+    own = selected_vertices(members, selection).withColumnRenamed("v", "s_id").join(function, "s_id").select("s_id", "f")
+    return numbered(own, [F.col("f").desc(), F.col("s_id").asc()], "place")
+
+
+def clear_selection(selection: DataFrame) -> DataFrame:
+    """Every edge of a selection in group 0, which is none."""
+    return selection.select("edge_id").distinct().withColumn("group_id", F.lit(0))
+
+
+def disconnect(sessions: DataFrame, gone: DataFrame) -> DataFrame:
+    """The sessions that stay when users(user) leave; their names are free again."""
+    return sessions.join(gone.select("user").distinct(), "user", "left_anti")
+
+
+__all__ = ["Session", "clear_selection", "disconnect", "missing_annotations", "name_is_free", "push_targets", "resolve_storyboards", "selected", "selected_by_function", "selected_vertices"]

@@ -16,3 +16,10 @@ def decode_rows(messages: DataFrame, name: str, schema: StructType) -> DataFrame
     """The rows of one class; a payload that does not fit the schema raises when run."""
     own = messages.filter(F.col("class") == name)
     return own.select(F.from_json("payload", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def dispatch(messages: DataFrame, schemas: dict[str, StructType]) -> dict[str, DataFrame]:
+    """The rows of every class by its schema; a message of a class that has none raises when any of them is run."""
+    known = F.when(F.col("class").isin(*schemas), True).otherwise(F.raise_error(F.concat(F.lit("unknown class: "), F.coalesce("class", F.lit("null")))).cast("boolean"))
+    checked = messages.filter(known)
+    return {name: decode_rows(checked, name, schema) for name, schema in schemas.items()}

@@ -12,7 +12,7 @@ from contourlake.kernels import geometry, linalg
 from contourlake.operators import neighbours, paths, statistics, topology
 from contourlake.operators import linalg as shapes
 from contourlake.plans import cli, session
-from contourlake.sources import files, logs, structures
+from contourlake.sources import codec, files, logs, structures
 
 ATOMS = [
     "ATOM      1  N   ALA A   1      11.000  12.000  13.000",
@@ -311,3 +311,42 @@ def test_command_line(spark, tmp_path):
     cli.main(["domain", "-b", str(black), "6", str(d), "p"], spark)
     edges, sample = files.read_domain(spark, str(d / files.PROJECTS / "p"))
     assert {r["conf_id"] for r in sample.collect()} == set(range(12)) - {3, 4} and edges.count() > 0
+
+
+def test_natural_order_of_long_numbers(spark):
+    names = ["f3" + "0" * 20, "f2" + "0" * 24, "f7" + "0" * 23, "f" + "9" * 24, "f2", "f10"]
+    got = [r["n"] for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(columns.natural_key(F.col("n"))).collect()]
+    assert got == sorted(names, key=lambda n: int(n[1:]))
+
+
+def test_region_of_negative_vertices(spark):
+    tree = spark.createDataFrame([("k", 0, -7, -5, [-7, -5]), ("k", 1, -5, 1, [-5, 1])], "key string, edge_id int, n1 long, n2 long, members array<long>")
+    assert sorted((r["edge_id"], r["visible"]) for r in topology.region(tree, -5).collect()) == [(0, True), (1, False)]
+
+
+def test_long_chain_of_costs(spark):
+    n = 40
+    chain = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("w"))
+    got = {r["v"]: r["cost"] for r in paths.path_costs(chain, 0).collect()}
+    assert got == {i: float(i) for i in range(n + 1)}
+
+
+def test_terrain_positions_and_split(spark):
+    rows = [("k", 0, 0, 0, 0.0, 0.0, 1.0, 5), ("k", 0, 0, 1, 1.0, 0.0, 1.0, None), ("k", 0, 1, 0, 0.0, 0.0, 1.0, 5), ("k", 1, 0, 0, 2.0, 0.0, 1.0, 5), ("k", 1, 0, 1, 2.0, 0.0, 1.0, 6)]
+    t = spark.createDataFrame(rows, "key string, edge_id int, tri int, corner int, x double, y double, z double, ct_node long")
+    got = {r["v"]: [tuple(p) for p in r["positions"]] for r in topology.terrain_positions(t).collect()}
+    assert got == {5: [(0.0, 0.0, 1.0), (2.0, 0.0, 1.0)], 6: [(2.0, 0.0, 1.0)]}
+    square = np.array([[0, 0], [1, 0], [1, 1], [0, 1]], float)
+    right, left = geometry.split_by_segment(square, np.array([0.25, 0]), np.array([0.25, 1]))
+    assert geometry.signed_area(right) == pytest.approx(0.75) and geometry.signed_area(left) == pytest.approx(0.25)
+
+
+def test_unknown_class_raises(spark):
+    messages = spark.createDataFrame([("a", '{"x":1}'), ("b", "{}")], "class string, payload string")
+    schema = spark.createDataFrame([], "x int").schema
+    with pytest.raises(Exception, match="unknown class"):
+        codec.dispatch(messages, {"a": schema})["a"].collect()
+
+
+def test_boundary_of_an_empty_path(spark):
+    assert paths.boundary_path(spark.createDataFrame([], "step int, v long"), 1, 2).count() == 0
