@@ -15,7 +15,8 @@ context. Questions are the distinct bigrams of each chunk of the corpus (see tok
 built from the same rows that ask it. A context with more than its share of all tokens is spread over shards by follower; each shard tells how many
 followers it holds, and T(u) is the sum over all shards, whichever of them a chunk asks. There are at most four such contexts a shard and the start.
 
-Words are compared by 64-bit hashes, followers of a context by 32 bits of them.
+Words are compared by 64-bit hashes, followers of a context in a shard by 40 bits of them: of a million followers in one shard less than one pair is
+expected to be taken for one another.
 
 Nulls: a null text is the empty text, whose only token is the end. Null ids are kept and count as training. Repeated rows count as often as they
 occur. Without training texts the only known probability is that of the unknown, 1. Empty tables give no rows; other columns are ignored.
@@ -42,7 +43,7 @@ START, END = np.uint64(1), np.uint64(2)
 DISCOUNT = 0.75
 #: log10 of the smallest probability that 16 bits tell from 0, and the steps down to it.
 FLOOR, STEPS = -14.0, 65534
-PRINT_BITS = np.uint64(32)
+PRINT_BITS = np.uint64(40)
 
 
 class NgramTrie:
@@ -126,7 +127,8 @@ def _ask_words(batches, shards: int):
             train = np.repeat(~chunk.flags, chunk.lengths)
             count = np.bincount(chunk.tokens[train], minlength=len(chunk.vocab)).astype(np.uint32)
             order, cuts = _word_order(chunk, shards)
-            for s in range(shards):
+            # A message for each shard that has any of the words; the first also tells of the texts.
+            for s in sorted({0, *np.flatnonzero(np.diff(cuts)).tolist()}):
                 own = order[cuts[s] : cuts[s + 1]]
                 texts = int((~chunk.flags).sum()) if s == 0 else 0
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([s, row["chunk"], chunk.vocab[own].tobytes(), planes(count[own]), texts], WORDS.types, strict=True)], schema=WORDS)
@@ -177,7 +179,8 @@ class Pairs:
         answers = {r["shard"]: r["counts"] for r in rows if r["shard"] is not None and r["counts"] is not None}
         count = np.zeros(len(chunk.vocab), np.int64)
         for s in range(corpus.shards):
-            count[order[cuts[s] : cuts[s + 1]]] = unplanes(answers[s], np.uint64).astype(np.int64)
+            if cuts[s] < cuts[s + 1]:
+                count[order[cuts[s] : cuts[s + 1]]] = unplanes(answers[s], np.uint64).astype(np.int64)
         n = len(chunk.vocab)
         # Local numbers n and n + 1 are the start and the end; both occur once in every training text.
         self.count = np.concatenate([count, [corpus.texts, corpus.texts]])
@@ -218,22 +221,28 @@ ASK_SCHEMA = pa.schema([("shard", pa.int32()), ("chunk", pa.int64())] + [(c, pa.
 def _ask_pairs(table: pa.Table, corpus: Corpus) -> pa.Table:
     pairs = Pairs(table.to_pylist(), corpus)
     out = []
-    for s in range(corpus.pair_shards):
+    for s in np.flatnonzero(np.diff(pairs.cuts)).tolist():
         own, contexts, runs = pairs.shard(s)
-        prints = (pairs.hashes[pairs.word[own]] >> np.uint64(32)).astype(np.uint32)
+        prints = (pairs.hashes[pairs.word[own]] >> (np.uint64(64) - PRINT_BITS)).view(np.uint8).reshape(-1, 8)[:, :5]
         # A context that is not spread adds up to its count in its shard.
         totals = np.where(pairs.hot[contexts], pairs.count[contexts], 0)
-        out.append((s, pairs.chunk.chunk, pairs.hashes[contexts].tobytes(), planes(runs.astype(np.uint32)), planes(totals), planes(prints), planes(pairs.trained[own])))
+        out.append((s, pairs.chunk.chunk, pairs.hashes[contexts].tobytes(), planes(runs.astype(np.uint32)), planes(totals), prints.T.tobytes(), planes(pairs.trained[own])))
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ASK_SCHEMA.types, strict=True)], schema=ASK_SCHEMA)
 
 
 ANSWERS = "chunk long, shard int, codes binary, types binary, spread array<struct<context:bigint,types:bigint>>"
 
 
+def _read_prints(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(5, -1).T
+    return out.view(np.uint64).reshape(-1)
+
+
 def _answer_pairs(table: pa.Table) -> pa.Table:
     """A row for each chunk; in one without a chunk, the shard's number of followers of each context that is spread."""
     rows = table.to_pylist()
-    asked = [(np.frombuffer(r["contexts"], np.uint64), unplanes(r["runs"], np.uint32), unplanes(r["totals"], np.int64), unplanes(r["prints"], np.uint32).astype(np.uint64), unplanes(r["trained"], np.uint32)) for r in rows]
+    asked = [(np.frombuffer(r["contexts"], np.uint64), unplanes(r["runs"], np.uint32), unplanes(r["totals"], np.int64), _read_prints(r["prints"]), unplanes(r["trained"], np.uint32)) for r in rows]
     contexts = np.concatenate([np.repeat(c, n) for c, n, *_ in asked])
     totals = np.concatenate([np.repeat(t, n) for _, n, t, *_ in asked])
     prints, trained = np.concatenate([a[3] for a in asked]), np.concatenate([a[4] for a in asked]).astype(np.float64)
