@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches, record_batch, slices
-from .common import load, materialize
+from .common import load, materialize_buckets
 from .token_chunks import Numbers, planes, unplanes
 
 MARK = "▁"
@@ -164,12 +164,10 @@ def _segment(table: pa.Table, path: str) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def _join_back(table: pa.Table, path: str, hashed: bool) -> pa.Table:
+def _join_back(numbered: pa.Table, answers: pa.Table, path: str, hashed: bool) -> pa.Table:
     """One row of numbered documents with the pieces of its words -> a row for each document."""
     sp = processor(path)
-    rows = sorted(table.to_pylist(), key=lambda r: -1 if r["shard"] is None else r["shard"])
-    row, answers = rows[0], rows[1:]
-    del table, rows
+    row, answers = numbered.to_pylist()[0], sorted(answers.to_pylist(), key=lambda r: r["shard"])
     ids, words = [], []
     for r in answers:
         n = unplanes(zstandard.decompress(r["sizes"]), np.uint32)
@@ -200,10 +198,11 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", path: str | None = None,
     # As many shards as shuffle partitions, which grow with the data; messages without words are not sent.
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select(F.col(key).cast("long").alias("row"), "text")
-    numbered = materialize(map_batches(rows, partial(_number, shards=shards), NUMBERED), "numbered")
+    numbered = materialize_buckets(map_batches(rows, partial(_number, shards=shards), NUMBERED), "numbered", "row", shards)
     pieces = numbered.filter("shard IS NOT NULL").select("row", "shard", "words").groupBy("shard").applyInArrow(lambda key, table: _segment(table, path), PIECES)
-    told = numbered.filter("shard IS NULL").drop("words").unionByName(pieces, allowMissingColumns=True)
-    out = told.groupBy("row").applyInArrow(lambda key, table: _join_back(table, path, hashed), "row long, ids binary, decoded string")
+    own = numbered.filter("shard IS NULL").drop("shard", "words")
+    back = pieces.groupBy("row").cogroup(own.groupBy("row"))
+    out = back.applyInArrow(lambda key, answers, numbered: _join_back(numbered, answers, path, hashed), "row long, ids binary, decoded string")
     return out.withColumnRenamed("row", key)
 
 
