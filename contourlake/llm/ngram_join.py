@@ -8,7 +8,7 @@ set, so under any order of all shingles they share one among the first ``n - tha
 2. A set of which too few shingles occur anywhere else has no partner and stops here. Equal sets are one class.
 3. Candidates share a prefix shingle under the first order. Each class is first compared with one other, the least class of the shingle groups that it
    shares most of: that ties a group of thousands of near copies together by as many comparisons as it has members.
-4. What is left are shingle groups with classes of several components. Their classes are sorted by such a shingle and cut into blocks of bounded size; two
+4. What is left are shingle groups with classes of several components. Their classes are sorted by the component that they were compared with and cut into blocks of bounded size; two
    blocks are a task if a shingle group has classes of different components in them. A task intersects the filters of components, sizes and all orders and counts
    the common shingles of what is left, as products of 0/1 matrices over slices of the shingles that both sides have. It returns a spanning forest, never its pairs.
 
@@ -226,31 +226,37 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     discard(candidates, prefixes)
     # One comparison for each class: with the class that is the least of most of its groups, ties to the smaller.
     most = shared.filter("id <> least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("c")).groupBy("id").agg(F.max_by("least", F.struct("c", -F.col("least"))).alias("least"))
+    most = materialize(most, "nearest")
     own = sets.select(F.col("id"), F.col("n").alias("n1"), F.col("whole").alias("w1"))
     other = sets.select(F.col("id").alias("least"), F.col("n").alias("n2"), F.col("whole").alias("w2"))
     alike = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
     common = F.size(F.array_intersect("w1", "w2"))
     compared = own.join(maybe_broadcast(most), "id").join(other, "least").filter(alike).select(F.col("least").alias("a"), F.col("id").alias("b"), "n1", "n2", common.alias("c"))
     stars = materialize(compared.filter(F.col("c") * 100 >= (F.col("n1") + F.col("n2") - F.col("c")) * percent).select("a", "b"), "stars")
-    tied = connected_components(stars).select(F.col("node").alias("id"), F.col("component").alias("tied"))
+    tied = materialize(connected_components(stars).select(F.col("node").alias("id"), F.col("component").alias("tied")), "tied")
     # Groups that still hold classes of several components, and the blocks of their classes.
     mixed = materialize(shared.select("token", "id").join(tied, "id", "left").withColumn("tied", F.coalesce("tied", "id")), "grouped")
     open_groups = mixed.groupBy("token").agg(F.min("tied").alias("low"), F.max("tied").alias("high")).filter("low < high").select("token")
     grouped = materialize(mixed.join(open_groups, "token"), "open")
     discard(mixed)
-    members = grouped.groupBy("id", "tied").agg(F.min("token").alias("place")).join(sets.select("id", "n"), "id")
+    # A class stands beside the component of the class that it was compared with, so that those of common groups share blocks.
+    beside = most.join(tied.select(F.col("id").alias("least"), F.col("tied").alias("near")), "least", "left").select("id", F.coalesce("near", "least").alias("near"))
+    members = grouped.select("id", "tied").distinct().join(beside, "id", "left").withColumn("place", F.coalesce(F.when(F.col("tied") == F.col("id"), F.col("near")), "tied"))
+    members = members.select("id", "tied", "place").join(sets.select("id", "n"), "id")
     members = global_before(members, [F.col("place"), F.col("tied"), F.col("id")], {"_rows": F.lit(1), "_shingles": F.col("n")}, "order")
     block = (F.floor(F.col("_rows") / BLOCK_CLASSES) + F.floor(F.col("_shingles") / BLOCK_SHINGLES)).alias("block")
     members = materialize(members.select("id", "tied", block), "blocks")
-    touched = grouped.join(members.select("id", "block"), "id").groupBy("token", "block").agg(F.min("tied").alias("low"), F.max("tied").alias("high"))
+    placed = materialize(grouped.join(members.select("id", "block"), "id"), "placed")
+    touched = placed.groupBy("token", "block").agg(F.min("tied").alias("low"), F.max("tied").alias("high"))
     left, right = (touched.select("token", F.col("block").alias(b), F.col("low").alias(f"low_{b}"), F.col("high").alias(f"high_{b}")) for b in ("one", "two"))
     several = (F.least("low_one", "low_two") < F.greatest("high_one", "high_two")) & (F.col("one") <= F.col("two"))
-    pairs = materialize(left.join(right, "token").filter(several).select("one", "two").distinct(), "pairs")
-    sides = pairs.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
-    tasks = members.join(sets, "id").join(sides, "block")
+    pairs = left.join(right, "token").filter(several).select("token", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+    # Of a block only the classes go to a task that share a group with the other one.
+    sides = materialize(pairs.join(placed.select("token", "block", "id"), ["token", "block"]).select("one", "two", "id").distinct(), "sides")
+    tasks = members.join(sets, "id").join(sides, "id")
     links = materialize(tasks.groupBy("one", "two").applyInArrow(lambda key, t: _link(key, t, percent), "a long, b long"), "links")
     labels = connected_components(stars.unionByName(links))
-    discard(sets, shared, grouped, members, pairs, links, stars)
+    discard(sets, shared, most, grouped, members, placed, sides, links, stars, tied)
     known = classes.join(labels, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = docs.join(known, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
