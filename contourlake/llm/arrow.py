@@ -33,6 +33,14 @@ def _run(batches, fn):
         give_back()
 
 
+def freed(fn, *args):
+    """fn's result, after its memory has gone back."""
+    try:
+        return fn(*args)
+    finally:
+        give_back()
+
+
 def map_batches(df: DataFrame, fn, schema) -> DataFrame:
     """``df.mapInArrow(fn, schema)`` on batches bounded by bytes; a bound that the session sets itself stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_batches
+from .arrow import freed, map_batches
 from .common import discard, global_before, load, materialize, maybe_broadcast
 from .graph import connected_components, least_reachable
 from .token_chunks import Chunk, mix, shards_for, token_chunks
@@ -210,9 +210,9 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     chunks = token_chunks(documents)
     shards = shards_for(chunks.agg(F.sum("words")).first()[0] or 1)
     asked = map_batches(chunks, partial(_ask, n=n, shards=shards), "shard int, chunk long, prints binary, counts binary")
-    codes = materialize(asked.groupBy("shard").applyInArrow(lambda key, t: _frequencies(t), "chunk long, shard int, codes binary"), "codes")
+    codes = materialize(asked.groupBy("shard").applyInArrow(lambda key, t: freed(_frequencies, t), "chunk long, shard int, codes binary"), "codes")
     told = chunks.withColumn("shard", F.lit(None).cast("int")).withColumn("codes", F.lit(None).cast("binary")).unionByName(codes, allowMissingColumns=True)
-    found = materialize(told.groupBy("chunk").applyInArrow(lambda key, t: _prefixes(t, n, percent, shards), SET_COLUMNS), "sets")
+    found = materialize(told.groupBy("chunk").applyInArrow(lambda key, t: freed(_prefixes, t, n, percent, shards), SET_COLUMNS), "sets")
     docs = materialize(found.select("doc_id", "digest", "n"), "digests")
     classes = docs.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id")).filter("id IS NOT NULL")
     sets = found.filter("whole IS NOT NULL").select("digest", "n", "whole", "first", *(F.get("further", F.lit(i)).alias(f"further{i}") for i in range(len(ORDERS))))

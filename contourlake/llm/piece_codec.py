@@ -26,14 +26,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_batches, record_batch, slices
+from .arrow import freed, map_batches, record_batch, slices
 from .common import load, materialize_buckets
 from .token_chunks import Numbers, planes, unplanes
 
 MARK = "▁"
 CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 #: Words and distinct words after which a row of numbered documents ends.
-ROW_WORDS, ROW_DISTINCT = 4_000_000, 500_000
+ROW_WORDS, ROW_DISTINCT = 3_000_000, 400_000
 #: Distinct words that the library gets at a time.
 STEP = 4096
 
@@ -118,9 +118,10 @@ def _number(batches, shards: int):
 
 def _pack_tokens(ids: np.ndarray, place: np.ndarray) -> bytes:
     """Numbers by first occurrence, so that a first occurrence is told by one code (0) and frequent words are small; then each number's place."""
-    first = np.zeros(len(ids), bool)
-    first[np.unique(ids, return_index=True)[1]] = True
-    return zstandard.compress(len(place).to_bytes(4, "little") + planes(place) + planes(np.where(first, 0, ids + 1).astype(np.uint32)), 3)
+    codes = ids + np.uint32(1)
+    # A first occurrence is above all that came before.
+    codes[np.concatenate([np.ones(min(len(ids), 1), bool), ids[1:] > np.maximum.accumulate(ids)[:-1]])] = 0
+    return zstandard.compress(len(place).to_bytes(4, "little") + planes(place) + planes(codes), 3)
 
 
 def _unpack_tokens(data: bytes) -> np.ndarray:
@@ -128,8 +129,10 @@ def _unpack_tokens(data: bytes) -> np.ndarray:
     data = zstandard.decompress(data)
     end = 4 + 4 * int.from_bytes(data[:4], "little")
     place, codes = unplanes(data[4:end], np.uint32), unplanes(data[end:], np.uint32)
-    first = codes == 0
-    return place[np.where(first, np.cumsum(first) - 1, codes.astype(np.int64) - 1)] if len(codes) else np.zeros(0, np.uint32)
+    first = np.flatnonzero(codes == 0)
+    codes = codes - np.uint32(1)
+    codes[first] = np.arange(len(first), dtype=np.uint32)
+    return place[codes] if len(codes) else np.zeros(0, np.uint32)
 
 
 PIECES = "row long, shard int, sizes binary, ids binary"
@@ -199,10 +202,10 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", path: str | None = None,
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select(F.col(key).cast("long").alias("row"), "text")
     numbered = materialize_buckets(map_batches(rows, partial(_number, shards=shards), NUMBERED), "numbered", "row", shards)
-    pieces = numbered.filter("shard IS NOT NULL").select("row", "shard", "words").groupBy("shard").applyInArrow(lambda key, table: _segment(table, path), PIECES)
+    pieces = numbered.filter("shard IS NOT NULL").select("row", "shard", "words").groupBy("shard").applyInArrow(lambda key, table: freed(_segment, table, path), PIECES)
     own = numbered.filter("shard IS NULL").drop("shard", "words")
     back = pieces.groupBy("row").cogroup(own.groupBy("row"))
-    out = back.applyInArrow(lambda key, answers, numbered: _join_back(numbered, answers, path, hashed), "row long, ids binary, decoded string")
+    out = back.applyInArrow(lambda key, answers, numbered: freed(_join_back, numbered, answers, path, hashed), "row long, ids binary, decoded string")
     return out.withColumnRenamed("row", key)
 
 
