@@ -1,6 +1,6 @@
 """The interface of a working session: what a client may ask for, over the tables of a dataset.
 
-Every method is one plan and returns a DataFrame; nothing is collected. Structures are always named by their sampled id, and every column of the dataset is
+Every method is one plan and returns a DataFrame; nothing is collected but the place of a single structure. Structures are always named by their sampled id, and every column of the dataset is
 mapped through the sample.
 """
 
@@ -43,7 +43,8 @@ class Session:
         return statistics.spread(inside, "edge_id")
 
     def structure_lines(self, s_id: int) -> DataFrame:
-        return self._sampled(structures.structure_lines(self.spark, self.folder)).filter(F.col("s_id") == s_id).select("line_no", "line").orderBy("line_no")
+        own = self.sample.filter(F.col("s_id") == s_id).first()
+        return structures.one_structure(self.spark, self.folder, own["conf_id"] if own else -1).select("line_no", "line").orderBy("line_no")
 
     def labels(self, s_id: int, n_residues: int) -> DataFrame:
         rows = self._sampled(files.read_labels(self.spark, self.parts["labels"], n_residues)).withColumnRenamed("s_id", "conf_id")

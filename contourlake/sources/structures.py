@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,20 @@ def structure_lines(spark: SparkSession, dataset: str) -> DataFrame:
     return own.select("conf_id", "path", F.posexplode(lines).alias("line_no", "line"))
 
 
+def one_structure(spark: SparkSession, dataset: str, conf_id: int) -> DataFrame:
+    """conf_id, path, line_no, line of one structure: only its archive entry is unpacked, or only its file is read. No rows if it is not listed or has no file."""
+    row = conformations(spark, dataset).filter(F.col("conf_id") == conf_id).first()
+    own = [F.lit(conf_id).cast("long").alias("conf_id"), F.lit(row["path"] if row else "").alias("path")]
+    if row and row["kind"] == "zip":
+        files = spark.read.format("binaryFile").load(f"{dataset}/{ZIP_NAME}").select("content")
+        return files.mapInPandas(lambda b: _entries(b, [row["path"]]), "path string, line_no int, line string").select(*own, "line_no", "line")
+    file = row and (row["path"] if re.match(r"/|[a-z]+:", row["path"]) else f"{dataset}/{row['path']}")
+    if not file or not exists(spark, file):
+        return spark.createDataFrame([], "conf_id long, path string, line_no int, line string")
+    # A listed name is no pattern.
+    return numbered_lines(spark, re.sub(r"([\[\]{}*?\\])", r"\\\1", file)).select(*own, "line_no", "line")
+
+
 def is_atom(line: Column) -> Column:
     return line.startswith("ATOM")
 

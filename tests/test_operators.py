@@ -104,6 +104,28 @@ def test_file_source(spark, tmp_path):
     assert collect(structures.structure_lines(spark, str(tmp_path))) == [(0, "a/one.pdb", 0, "x"), (0, "a/one.pdb", 1, "y")]
 
 
+def test_one_structure(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name, text in (("one.pdb", "x\ny\n"), ("[1]*.pdb", "z\n"), ("1.pdb", "no\n")):
+        (tmp_path / "a" / name).write_text(text)
+    (tmp_path / structures.FILE_LIST).write_text(f"a/one.pdb\na/[1]*.pdb\na/missing.pdb\n{tmp_path}/a/one.pdb\n")
+    read = lambda i: collect(structures.one_structure(spark, str(tmp_path), i))
+    assert read(0) == [(0, "a/one.pdb", 0, "x"), (0, "a/one.pdb", 1, "y")]
+    assert read(1) == [(1, "a/[1]*.pdb", 0, "z")]
+    assert read(2) == read(9) == []
+    assert [r[3] for r in read(3)] == ["x", "y"]
+    files_read = structures.one_structure(spark, str(tmp_path), 0).inputFiles()
+    assert [f.rsplit("/", 1)[1] for f in files_read] == ["one.pdb"]
+
+
+def test_one_structure_of_an_archive(spark, dataset):
+    every = collect(structures.structure_lines(spark, f"{dataset}/alpha"))
+    assert collect(structures.one_structure(spark, f"{dataset}/alpha", 4)) == [r for r in every if r[0] == 4]
+    assert collect(structures.one_structure(spark, f"{dataset}/alpha", 6)) == []
+    s = session.Session(spark, dataset, "ann", "alpha", "demo", "energy.txt")
+    assert collect(s.structure_lines(99)) == []
+
+
 def test_meshes(spark, tmp_path):
     v = spark.createDataFrame([(0, [0.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.5])], "v int, xyz array<double>")
     f = spark.createDataFrame([(0, [0, 1, 2]), (1, [0, 2])], "face_id int, v array<int>")
