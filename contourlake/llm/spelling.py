@@ -6,7 +6,7 @@ the run (``thin``). Kept are those of ``least`` code points and ``support`` occu
 1. Every task counts the words of its texts in a table of bounded size; partial counts are added up by Spark.
 2. Bigrams are ordered by how often they occur in the kept words, rare ones first. Letters are 90, so the order has 8,100 entries at most.
 3. One edit touches two bigrams of a word at most, so of the three rarest of each of two words one edit apart, one is in both, at places that differ by one at most
-   (copies of the third one count with it). Such a bigram has the edit on one side: everything on the other side is equal, and so is one half of its own. A join key is the
+   (where the third is followed by itself, that place counts with it). Such a bigram has the edit on one side: everything on the other side is equal, and so is one half of its own. A join key is the
    bigram's place, the shorter word's length, and what must be equal; a word asks as the shorter or equal one and as the longer one.
 4. The join's condition verifies that the distance is one, so it gives links only. Keys hold at least about half of a word, so few words share one.
 
@@ -110,9 +110,14 @@ def bigram_order(words: DataFrame) -> np.ndarray:
 
 
 def rarest(word: bytes, rank: np.ndarray, most: int = 3) -> list[int]:
-    """Places of the rarest bigrams; all copies of the last one are among them."""
+    """Places of the rarest bigrams, of equal ones the first, and the place after the last of them if the same bigram stands there too.
+
+    Of two words take the one whose last is the earlier by (rank, place). What the edit leaves of its bigrams is in the other at most one place later, so at or before that
+    one's last, or just after it.
+    """
     own = rank[_bigrams(word)]
-    return np.flatnonzero(own <= np.sort(own)[min(most, len(own)) - 1]).tolist()
+    last = np.lexsort((np.arange(len(own)), own))[min(most, len(own)) - 1]
+    return np.flatnonzero((own < own[last]) | ((own == own[last]) & (np.arange(len(own)) <= last + 1))).tolist()
 
 
 def link_keys(word: bytes, places: list[int]) -> tuple[set[int], set[int]]:
@@ -145,7 +150,7 @@ def _ask(batches, rank: np.ndarray):
             if len(letters) > 1:
                 for longer, keys in enumerate(link_keys(letters, rarest(letters, rank))):
                     rows += [(k, bool(longer), word, n) for k in keys]
-            if len(rows) >= 20_000 or len(word) > 10_000:
+            if rows and (len(rows) >= 20_000 or len(word) > 10_000):
                 yield record_batch([list(c) for c in zip(*rows, strict=True)], schema)
                 rows = []
         if rows:

@@ -93,7 +93,6 @@ def test_whitening_of_bad_rows(spark):
     rest = [x for x in out if x["vec_id"] is None or x["vec_id"] >= 100]
     assert sorted((x["vec_id"] or -1, x["component"], x["n"]) for x in rest) == [(-1, 1, 3), (-1, 1, 3), (-1, 2, 3), (-1, 2, 3), (102, 1, 3), (102, 2, 3)]
     huge = spark.createDataFrame([(1, [1e300, 1.0]), (2, [-1e300, 2.0]), (3, [0.5, 4.0])], "vec_id long, embedding array<double>")
-    assert {x["deviation"] for x in whitening.whitened_rows(huge).collect()} == {None, (3 * 100512 - 300512) ** 2 + 0} or True
     rows, _, errors = whitening.whiten(huge)
     assert rows.count() == 3 and errors[2] < 1e-4 and all(x["deviation"] > 2**63 for x in rows.collect() if x["vec_id"] < 3)
 
@@ -177,8 +176,7 @@ def test_long_texts_and_words(spark, monkeypatch):
     monkeypatch.setattr(spelling, "PART", 1000)
     long = "q" * 30_000
     rows = [(1, " ".join([long, long + "Z", "Shorter", "shortest"] * 6))]
-    assert spelling.text_words(1, rows[0][1], 199) == spelling.text_words(1, rows[0][1], 199)
-    got = {w[:9]: v[:2] for w, v in variants(spark.createDataFrame(rows, "doc_id long, text string")).items()}
+    got = {(w[:9], len(w)): v[:2] for w, v in variants(spark.createDataFrame(rows, "doc_id long, text string")).items()}
     assert len(got) <= 4 and sum(v[1] for v in got.values()) in (2, 0) and sum(v[0] for v in got.values()) == 24
 
 
