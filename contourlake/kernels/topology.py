@@ -98,21 +98,26 @@ def persistence_pairs(d: Domain) -> list[tuple[int, int, int, float, str]]:
 
 
 def contour_tree(d: Domain) -> list[tuple[int, int]]:
-    """Arcs (lower, higher) of the augmented contour tree.
+    """Arcs (lower, higher) of the augmented contour tree."""
+    return combine(join_tree(d), split_tree(d))
 
-    Leaves are taken first come, first served, those of the start by rank. Where the domain has cycles that leave no leaf, the least vertex that
-    has one child in either tree is taken as a lower leaf.
+
+def combine(join: list[int], split: list[int]) -> list[tuple[int, int]]:
+    """The same from the parents of the two merge trees, which are used up.
+
+    Leaves are taken first come, first served, those of the start by rank. Merge trees of a domain
+    with cycles may have no contour tree; then no leaf may be left, and the least vertex that has one child in either tree (or the least of all) is taken as a lower leaf.
     """
-    parents = join_tree(d), split_tree(d)
-    if d.n and any(p.count(-1) != 1 for p in parents):
+    parents, n = (join, split), len(join)
+    if n and any(p.count(-1) != 1 for p in parents):
         raise ValueError("the domain has more than one component")
-    children = [[0] * d.n for _ in range(2)]
+    children = [[0] * n for _ in range(2)]
     for count, parent in zip(children, parents, strict=True):
         for p in parent:
             if p >= 0:
                 count[p] += 1
-    alive, left, arcs = [True] * d.n, d.n, []
-    ready = deque(v for v in range(d.n) if children[0][v] + children[1][v] == 1)
+    alive, left, arcs = [True] * n, n, []
+    ready = deque(v for v in range(n) if children[0][v] + children[1][v] == 1)
 
     def above(tree: int, v: int) -> int:
         """The nearest live ancestor, with the path to it shortened."""
@@ -127,8 +132,9 @@ def contour_tree(d: Domain) -> list[tuple[int, int]]:
 
     while left > 1:
         if not ready:
-            bare = [v for v in range(d.n) if alive[v] and not children[0][v] and not children[1][v]]
-            ready.extend(bare or [next(v for v in range(d.n) if alive[v] and children[0][v] == 1 and children[1][v] == 1)])
+            bare = [v for v in range(n) if alive[v] and not children[0][v] and not children[1][v]]
+            live = [v for v in range(n) if alive[v]]
+            ready.extend(bare or ([v for v in live if children[0][v] == 1 and children[1][v] == 1] or live)[:1])
         v = ready.popleft()
         if not alive[v]:
             continue

@@ -33,6 +33,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`cut` that no later plan reads."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_bytes(df: DataFrame) -> Column:
     """About the bytes of a row; a nested value counts by its text."""
     kinds = {"string": F.octet_length, "binary": F.octet_length}
@@ -47,12 +55,12 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(row_bytes(df)).alias("b")).first()["b"] or 0) <= most else df
 
 
-def numbered(df: DataFrame, order: list, name: str, first: int = 0) -> DataFrame:
-    """``df`` with each row's place by ``order`` (a total order): range partitions, counts of each, then places inside, so no task sees all rows."""
+def numbered(df: DataFrame, order: list, name: str, first: int = 0, kind: str = "int") -> DataFrame:
+    """``df`` with each row's place, an int or a long (``kind``), by ``order`` (a total order): range partitions, counts of each, then places inside, so no task sees all rows."""
     at = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     at = cut(at, name).withColumn("_part", F.shiftright("_at", 33))
     # A row for each partition.
     sizes = at.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_low"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("_part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("_low") + first).alias("_base"))
-    return at.join(F.broadcast(base), "_part").select(*df.columns, (F.col("_at") + F.col("_base")).cast("int").alias(name))
+    return at.join(F.broadcast(base), "_part").select(*df.columns, (F.col("_at") + F.col("_base")).cast(kind).alias(name))

@@ -1,7 +1,8 @@
-"""Trees of a function on a graph, many projects at once: one task for each project key.
+"""Trees of a function on a graph, many projects at once.
 
-Input of every operator: vertices(key, v, f) and edges(key, src, dst). One domain has to fit one executor; domains spread over tasks. Results are tables keyed by
-the project.
+Input of every operator: vertices(key, v, f) and edges(key, src, dst). Merge trees and persistence pairs are always made over tables (:mod:`merge`). Contour trees and what follows from them are made by the kernels, a task for each
+domain, where every domain has at most ``DOMAIN_ROWS`` vertices and edges, and over tables (:mod:`contour`) where one is larger; results are the same. Views and landscapes take the critical
+tree of a domain in one task. Results are tables keyed by the project.
 """
 
 from __future__ import annotations
@@ -11,6 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import geometry, topology
+from . import contour
+from .common import cut
+from .merge import merge_trees, persistence  # noqa: F401
+
+#: Vertices and edges of a domain that one task may hold.
+DOMAIN_ROWS = 1_000_000
+
+
+def _sized(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
+    """The edges, written as they are counted and read again, and whether every domain fits a task."""
+    edges = cut(edges.select("key", "src", "dst"), "edges")
+    sizes = vertices.groupBy("key").count().unionByName(edges.groupBy("key").count()).groupBy("key").agg(F.sum("count").alias("n"))
+    return edges, sizes.filter(F.col("n") > DOMAIN_ROWS).isEmpty()
 
 
 def _per_domain(vertices: DataFrame, edges: DataFrame, kernel, columns: str) -> DataFrame:
@@ -21,7 +35,7 @@ def _per_domain(vertices: DataFrame, edges: DataFrame, kernel, columns: str) ->
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         own = rows[rows["b"].isna()].drop_duplicates("a")
-        pairs = rows[rows["b"].notna()]
+        pairs = rows[rows["b"].notna() & rows["a"].isin(own["a"]) & rows["b"].isin(own["a"])]
         d = topology.Domain(own["a"].to_numpy(), own["f"].to_numpy(), list(zip(pairs["a"], pairs["b"].astype("int64"), strict=True)))
         out = pd.DataFrame(list(kernel(d)), columns=names)
         out.insert(0, "key", key[0])
@@ -34,29 +48,11 @@ def _id(d, r):
     return int(d.ids[r]) if r >= 0 else None
 
 
-def merge_trees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """key, tree ("join", "split"), v, parent (null at the root)."""
-
-    def kernel(d):
-        for name, parents in (("join", topology.join_tree(d)), ("split", topology.split_tree(d))):
-            for v, p in enumerate(parents):
-                yield name, _id(d, v), _id(d, p)
-
-    return _per_domain(vertices, edges, kernel, "tree string, v long, parent long")
-
-
-def persistence(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """key, extremum, saddle, killed_by, persistence, sweep."""
-
-    def kernel(d):
-        for a, b, c, p, s in topology.persistence_pairs(d):
-            yield _id(d, a), _id(d, b), _id(d, c), p, s
-
-    return _per_domain(vertices, edges, kernel, "extremum long, saddle long, killed_by long, persistence double, sweep string")
-
-
 def contour_arcs(vertices: DataFrame, edges: DataFrame, tau: float | None = None) -> DataFrame:
     """key, lo, hi: arcs of the augmented contour tree, simplified below tau if that is given."""
+    edges, fits = _sized(vertices, edges)
+    if not fits:
+        return contour.contour_arcs(vertices, edges, tau)
 
     def kernel(d):
         tree = topology.build_tree(d) if tau is None else topology.simplify(d, tau)
@@ -67,7 +63,16 @@ def contour_arcs(vertices: DataFrame, edges: DataFrame, tau: float | None = None
 
 
 def tree_edges(vertices: DataFrame, edges: DataFrame, tau: float | None = None) -> DataFrame:
-    """key, edge_id, n1 (lower), n2 (higher), members (both ends once): the edges of the critical tree, numbered by (lower, higher) in the total order."""
+    """key, edge_id, n1 (lower), n2 (higher), members (both ends once): the edges of the critical tree, numbered by (lower, higher) in the total order.
+
+    The members of an edge are one value here; :func:`member_rows` has them as rows.
+    """
+    edges, fits = _sized(vertices, edges)
+    if not fits:
+        tree, rows = contour.critical_tree(vertices, edges, tau)
+        f = vertices.groupBy("key", "v").agg(F.min("f").alias("f"))
+        own = rows.join(f, ["key", "v"]).groupBy("key", "edge_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "v"))), lambda m: m["v"].cast("long")).alias("members"))
+        return tree.join(own, ["key", "edge_id"])
 
     def kernel(d):
         tree = topology.build_tree(d) if tau is None else topology.simplify(d, tau)
@@ -82,6 +87,12 @@ def members(tree: DataFrame) -> DataFrame:
     return tree.select("key", "edge_id", F.explode("members").alias("v"))
 
 
+def member_rows(vertices: DataFrame, edges: DataFrame, tau: float | None = None) -> DataFrame:
+    """key, edge_id, v: :func:`members` of :func:`tree_edges`, without an edge's members ever being one value where domains are large."""
+    edges, fits = _sized(vertices, edges)
+    return members(tree_edges(vertices, edges, tau)) if fits else contour.critical_tree(vertices, edges, tau)[1]
+
+
 def containing_edge(member_rows: DataFrame, last: bool = False) -> DataFrame:
     """key, v, edge_id: of the edges that meet at a vertex the first, or the last."""
     pick = F.max if last else F.min

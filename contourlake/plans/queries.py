@@ -349,7 +349,7 @@ def tree_node_classes(spark, d):
 
 @query()
 def component_members(spark, d):
-    return topology.members(topology.tree_edges(*domain(spark, d), tau=TAU))
+    return topology.member_rows(*domain(spark, d), tau=TAU)
 
 
 @query()
