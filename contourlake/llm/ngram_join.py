@@ -7,7 +7,7 @@ set, so under any order of all shingles they share one among the first ``n - tha
 1. Frequencies: in how many distinct sets of a chunk, summed over chunks, each shingle occurs. Every order puts rare shingles first.
 2. A set of which too few shingles occur anywhere else has no partner and stops here. Equal sets are one class.
 3. Candidates share a prefix shingle under the first order. Each class is first compared with one other, the least class of the shingle groups that it
-   shares most of: that ties a group of thousands of near copies together by as many comparisons as it has members.
+   shares most of, if their prefixes under the further orders meet too: that ties a group of thousands of near copies together by as many comparisons as it has members.
 4. What is left are shingle groups with classes of several components. Their classes are sorted by the component that they were compared with and cut into blocks of bounded size; two
    blocks are a task if a shingle group has classes of different components in them. A task intersects the filters of components, sizes and all orders and counts
    the common shingles of what is left, as products of 0/1 matrices over slices of the shingles that both sides have. It returns a spanning forest, never its pairs.
@@ -227,9 +227,14 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     # One comparison for each class: with the class that is the least of most of its groups, ties to the smaller.
     most = shared.filter("id <> least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("c")).groupBy("id").agg(F.max_by("least", F.struct("c", -F.col("least"))).alias("least"))
     most = materialize(most, "nearest")
-    own = sets.select(F.col("id"), F.col("n").alias("n1"), F.col("whole").alias("w1"))
-    other = sets.select(F.col("id").alias("least"), F.col("n").alias("n2"), F.col("whole").alias("w2"))
+    # Prefixes under the further orders travel as the upper halves of their hashes, which can only let more pairs through.
+    halves = lambda side: [F.transform(f"further{i}", lambda x: F.shiftright(x, 32).cast("int")).alias(f"{side}{i}") for i in range(len(ORDERS))]
+    own = sets.select(F.col("id"), F.col("n").alias("n1"), F.col("whole").alias("w1"), *halves("l"))
+    other = sets.select(F.col("id").alias("least"), F.col("n").alias("n2"), F.col("whole").alias("w2"), *halves("r"))
     alike = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
+    # Every order's filter, before whole sets are compared.
+    for i in range(len(ORDERS)):
+        alike = alike & F.arrays_overlap(f"l{i}", f"r{i}")
     common = F.size(F.array_intersect("w1", "w2"))
     compared = own.join(maybe_broadcast(most), "id").join(other, "least").filter(alike).select(F.col("least").alias("a"), F.col("id").alias("b"), "n1", "n2", common.alias("c"))
     stars = materialize(compared.filter(F.col("c") * 100 >= (F.col("n1") + F.col("n2") - F.col("c")) * percent).select("a", "b"), "stars")

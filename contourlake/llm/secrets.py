@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import inspect
 import math
 import re
 import uuid
@@ -44,7 +43,9 @@ PEM = re.compile(
     r"|(?:[ \t]*\r?\n(?:[A-Za-z-]+: [^\n]*(?:\n[ \t]*\r?(?=\n))?|[ \t]*[A-Za-z0-9+/=]+[ \t]*(?=\r?(?:\n|\Z))))*)"
 )
 
-URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^\s/?#:@]+:[^\s/?#@]+)@")
+#: From the end of the scheme on; the scheme is read backwards from there, so a long run of its characters is read once.
+URL = re.compile(r"://([^\s/?#:@]++:[^\s/?#@]++)@")
+SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 # Public forms of service tokens; the first ends in a checksum.
 TOKEN = re.compile(
     r"(?<![A-Za-z0-9_-])(?:(?P<sum>gh[pousr]_[A-Za-z0-9]{36})|xox[abeoprs]-[A-Za-z0-9-]{10,}|[rs]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9_-])"
@@ -80,6 +81,19 @@ def _names_algorithm(head: str) -> bool:
         return False
 
 
+def _addresses(text: str):
+    """User and password of every address whose scheme has a letter."""
+    done = 0
+    for m in URL.finditer(text):
+        at = m.start()
+        while at > done and (c := text[at - 1]) in SCHEME:
+            if c.isalpha():
+                yield m
+                done = m.end()
+                break
+            at -= 1
+
+
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all findings, by start, then kind in the order of KINDS."""
     found = []
@@ -91,7 +105,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     if "-----BEGIN " in text:
         found += [("pem", *m.span()) for m in PEM.finditer(text)]
     if "://" in text and "@" in text:
-        found += [("url", *m.span(1)) for m in URL.finditer(text)]
+        found += [("url", *m.span(1)) for m in _addresses(text)]
     if any(mark in text for mark in TOKEN_MARKS):
         found += [("token", *m.span()) for m in TOKEN.finditer(text) if not m["sum"] or checksum(m["sum"][4:34]) == m["sum"][34:]]
     if "eyJ" in text:
@@ -103,10 +117,10 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-#: Of the patterns, their bounds and the code that applies them: a ledger of other rules is not taken for one of these.
-RULE_VERSION = hashlib.sha256(
-    "\n".join([p.pattern for p in (ASSIGN, ACCESS, HEX, PEM, URL, TOKEN, JWT, DENSE)] + [str(LEAST_BITS)] + [inspect.getsource(f) for f in (find_secrets, checksum, bits, _names_algorithm)]).encode()
-).hexdigest()[:16]
+#: The code that applies the patterns; to be raised whenever it changes what is found.
+CODE_VERSION = 3
+#: Of the patterns, their bounds and that: a ledger of other rules is not taken for one of these.
+RULE_VERSION = hashlib.sha256("\n".join([p.pattern for p in (ASSIGN, ACCESS, HEX, PEM, URL, TOKEN, JWT, DENSE)] + [str(LEAST_BITS), str(CODE_VERSION)]).encode()).hexdigest()[:16]
 #: Blobs that a task remembers while it drops copies; a copy that it misses goes when the blobs meet.
 SEEN = 100_000
 

@@ -4,7 +4,7 @@ Equal vectors are one class from the start. Vectors of each length have cells of
 (``SAMPLE`` classes chosen by hash); a class's home is the cell of its nearest centre. No link is lost at a border: a class also visits every cell whose
 border (the plane halfway between the two centres) is within half the angle of the threshold. Of two classes in different homes whose angle is within the
 threshold, the arc between them crosses that plane, so one of them is that near to it and meets the other at home. How many cells there are
-is chosen by what the sample's visits would cost in copies and products, so unstructured vectors, which are near many borders, get few cells and others many.
+is chosen by what the sample's visits would cost in copies and products, so unstructured vectors, which are near many borders, get few cells (never less than two) and others many.
 
 A cell is cut into blocks of bounded size. Pairs of home blocks, and of a home block with a visiting block, are tasks of their own, so a cell with a third of
 all rows is spread over many tasks and no task holds more than two blocks; a pair that meets in two cells counts in the first. A task
@@ -75,13 +75,13 @@ def visits(x: np.ndarray, centres: np.ndarray, threshold: float):
 
 
 def fit_cells(sample: np.ndarray, n: int, threshold: float) -> np.ndarray:
-    """Centres for n classes like those of the sample; the number of cells is the one of least cost."""
+    """Centres for n classes like those of the sample, two or more; the number of cells is the one of least cost."""
     x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     # Visits are counted on rows that the centres were not fitted on: those are nearer to their centres than others.
     order = np.random.default_rng(3).permutation(len(x))
     tried, x = np.split(x[order], [min(TRIED, len(x) // 4)])
-    best, k = None, 1
-    while k <= max(1, min(len(x) // LEAST_ROWS, 4 * int(np.sqrt(n)))):
+    best, k = None, 2
+    while k <= max(2, min(len(x) // LEAST_ROWS, 4 * int(np.sqrt(n)))):
         centres = spherical_kmeans(x, k)
         met = sum(v.sum() for *_, v in visits(tried, centres, threshold)) / max(len(tried), 1)
         home = n / k
@@ -162,7 +162,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", column: str = "embedding
     classes = materialize(vectors.groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec")), "classes")
     length = F.octet_length("vec")
     centres = {}
-    for d, n in classes.groupBy(length.alias("d")).count().filter(F.col("count") > BLOCK).orderBy("d").collect():
+    for d, n in classes.groupBy(length.alias("d")).count().filter("count > 1").orderBy("d").collect():
         centres[d] = fit_cells(bounded_sample(classes.filter(length == d), n, SAMPLE, width), n, threshold)
     place = partial(_place, centres=centres, threshold=threshold, width=width)
     placed = materialize(map_batches(classes.select("id", "n", "vec"), place, "id long, n long, vec binary, home int, cells array<int>"), "cells")

@@ -262,3 +262,43 @@ def test_shards_of_hot_and_bad_rows(spark, tmp_path):
 def test_shards_use_no_python(spark):
     plan = sharding.op13_sharding(spark, TINY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+# Methods of earlier operators
+
+
+@pytest.mark.parametrize("text", ["a" * 2_000_000 + " http://a@b.c", "7" * 2_000_000 + "://a:b@c", "aZ3+/" * 400_000 + " x://a:b@", "AKIA" * 500_000, "eyJabcdefgh." * 160_000, "-----BEGIN " * 180_000, "password" + " " * 2_000_000, "xoxa-" + "a" * 2_000_000 + "_"])
+def test_secrets_in_very_long_runs(text):
+    """Work grows with the text, not with its square."""
+    import time
+
+    from contourlake.llm import secrets
+
+    began = time.time()
+    secrets.find_secrets(text)
+    assert time.time() - began < 10  # some 0.2 s to 0.8 s; a square would take an hour
+
+
+def test_addresses_as_by_one_pattern():
+    import re
+
+    from contourlake.llm import secrets
+
+    r, whole = random.Random(1), re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^\s/?#:@]+:[^\s/?#@]+)@")
+    for _ in range(20_000):
+        text = "".join(r.choice(["a", "1", "://", ":", "@", "/", " ", "+", "é"]) for _ in range(r.randrange(4, 24)))
+        assert [m.span(1) for m in whole.finditer(text)] == [m.span(1) for m in secrets._addresses(text)]
+
+
+def test_cells_at_every_size(spark, monkeypatch):
+    """k-means is fitted for any table, and vectors stand in more than one cell."""
+    from contourlake.llm import vector_dedup
+
+    fitted = []
+    fit = vector_dedup.fit_cells
+    monkeypatch.setattr(vector_dedup, "fit_cells", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    out = vector_dedup.op5_vector_dedup(spark, TINY)
+    assert out.count() == spark.read.parquet(f"{TINY}/embeddings.parquet").count() and [len(c) >= 2 for c in fitted] == [True]
+    few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicates(few).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3)} and len(fitted[-1]) == 2
