@@ -19,7 +19,7 @@ from ..operators import linalg, neighbours, paths, statistics, topology
 from ..operators.common import cut, numbered, shared_dir
 from ..sources import codec, logs, structures
 from ..streaming import refresh
-from . import session
+from . import session, tree_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -295,28 +295,16 @@ def highest_vertex(spark, d):
     return values(spark, d).agg(F.max(F.struct("f", (-F.col("v")).alias("i"))).alias("m")).select((-F.col("m.i")).alias("v"), F.col("m.f").alias("f"))
 
 
-# Components of what lies above (below) each vertex, named by their lowest (highest) vertex; ranks are those of the total order. Labels sink until none does.
-_LEVELS = """rk AS (SELECT v, f, (row_number() OVER (ORDER BY f, v))::BIGINT AS r FROM f),
-ra AS (SELECT a.r AS a, b.r AS b FROM adj JOIN rk a ON a.v = adj.v JOIN rk b ON b.v = adj.w),
-up(t, u, l) USING KEY (t, u) AS (SELECT a.r, b.r, b.r FROM rk a JOIN rk b ON b.r > a.r UNION
-  SELECT x.t, ra.b, min(x.l) FROM up x JOIN ra ON ra.a = x.u AND ra.b > x.t JOIN recurring.up y ON y.t = x.t AND y.u = ra.b WHERE y.l > x.l GROUP BY x.t, ra.b),
-down(t, u, l) USING KEY (t, u) AS (SELECT a.r, b.r, b.r FROM rk a JOIN rk b ON b.r < a.r UNION
-  SELECT x.t, ra.b, max(x.l) FROM down x JOIN ra ON ra.a = x.u AND ra.b < x.t JOIN recurring.down y ON y.t = x.t AND y.u = ra.b WHERE y.l < x.l GROUP BY x.t, ra.b),
-above AS (SELECT up.t, up.l, max(up.u) AS oldest FROM up WHERE (up.t, up.l) IN (SELECT o.t, o.l FROM up o JOIN ra ON ra.a = o.t AND ra.b = o.u) GROUP BY up.t, up.l),
-below AS (SELECT down.t, down.l, min(down.u) AS oldest FROM down WHERE (down.t, down.l) IN (SELECT o.t, o.l FROM down o JOIN ra ON ra.a = o.t AND ra.b = o.u) GROUP BY down.t, down.l)"""
+_RANKS = "rk AS (SELECT v, f, (row_number() OVER (ORDER BY f, v))::BIGINT AS r FROM f)"
+_LEVELS = f"{_RANKS}, {tree_sql.levels('', 'SELECT a.r AS a, b.r AS b FROM adj JOIN rk a ON a.v = adj.v JOIN rk b ON b.v = adj.w')}"
 MERGE_SQL = f"""WITH RECURSIVE {KNN_SQL}, {_LEVELS}
 SELECT 'all' AS key, 'join' AS tree, rk.v, coalesce(p.v, -1) AS parent FROM rk LEFT JOIN above ON above.l = rk.r LEFT JOIN rk p ON p.r = above.t
 UNION ALL SELECT 'all', 'split', rk.v, coalesce(p.v, -1) FROM rk LEFT JOIN below ON below.l = rk.r LEFT JOIN rk p ON p.r = below.t"""
-PAIRS_SQL = f"""WITH RECURSIVE {KNN_SQL}, {_LEVELS},
-falls AS (SELECT t, oldest AS young, lead(oldest) OVER (PARTITION BY t ORDER BY oldest) AS old, 'down' AS sweep FROM above
-  UNION ALL SELECT t, oldest, lead(oldest) OVER (PARTITION BY t ORDER BY oldest DESC), 'up' FROM below)
+PAIRS_SQL = f"""WITH RECURSIVE {KNN_SQL}, {_LEVELS}, {tree_sql.falls('')}
 SELECT 'all' AS key, y.v AS extremum, s.v AS saddle, o.v AS killed_by, abs(y.f - s.f)::DOUBLE AS persistence, sweep
 FROM falls JOIN rk y ON y.r = young JOIN rk s ON s.r = t JOIN rk o ON o.r = old WHERE old IS NOT NULL"""
 
 
-# Trees: the merge trees and pairs have SQL; what follows from them step by step is held against fixtures and definitions by tests.
-
-
 @query(MERGE_SQL)
 def merge_trees(spark, d):
     return topology.merge_trees(*domain(spark, d)).withColumn("parent", F.coalesce("parent", F.lit(-1)))
@@ -327,42 +315,48 @@ def persistence_pairs(spark, d):
     return topology.persistence(*domain(spark, d))
 
 
-@query()
+@query(tree_sql.contour_tree(KNN_SQL))
 def contour_tree(spark, d):
     return topology.contour_arcs(*domain(spark, d))
 
 
-@query()
+def _members_as_text(tree: DataFrame) -> DataFrame:
+    return tree.withColumn("members", F.array_join(F.transform("members", lambda m: m.cast("string")), ","))
+
+
+@query(tree_sql.critical_tree(KNN_SQL))
 def contracted_tree(spark, d):
-    return topology.tree_edges(*domain(spark, d))
+    return _members_as_text(topology.tree_edges(*domain(spark, d)))
 
 
-@query()
+@query(tree_sql.critical_tree(KNN_SQL, TAU))
 def simplified_tree(spark, d):
-    return topology.tree_edges(*domain(spark, d), tau=TAU)
+    return _members_as_text(topology.tree_edges(*domain(spark, d), tau=TAU))
 
 
-@query()
+@query(tree_sql.node_classes(KNN_SQL))
 def tree_node_classes(spark, d):
     return topology.degree_table(topology.contour_arcs(*domain(spark, d)))
 
 
-@query()
+@query(tree_sql.members(KNN_SQL, TAU) + " SELECT 'all' AS key, edge_id, v FROM inside")
 def component_members(spark, d):
     return topology.member_rows(*domain(spark, d), tau=TAU)
 
 
-@query()
+@query(tree_sql.members(KNN_SQL, TAU) + " SELECT 'all' AS key, v, min(edge_id) AS edge_id, max(edge_id) AS last_edge_id FROM inside GROUP BY v")
 def vertex_edge(spark, d):
     m = cut(component_members(spark, d), "members")
     return topology.containing_edge(m).join(topology.containing_edge(m, last=True).withColumnRenamed("edge_id", "last_edge_id"), ["key", "v"])
 
 
-@query()
+@query(tree_sql.members(KNN_SQL, TAU) + """ SELECT edge_id, count(*) AS n, round(avg(embedding[2]::DOUBLE), 6) AS mean_g, round(stddev_pop(embedding[2]::DOUBLE), 6) AS stdev_g,
+round(CASE WHEN min(embedding[1]) = max(embedding[1]) OR min(embedding[2]) = max(embedding[2]) THEN 1 ELSE corr(embedding[1]::DOUBLE, embedding[2]::DOUBLE) END, 6) AS corr_fg FROM inside JOIN embeddings ON vec_id = inside.v GROUP BY edge_id""")
 def component_statistics(spark, d):
     m = component_members(spark, d)
     g = _groups(spark, d).select(F.col("vec_id").alias("i"), "f", "g")
-    return statistics.component_statistics(m.join(g, m.v == g.i).select("edge_id", "f", "g"), "edge_id")
+    out = statistics.component_statistics(m.join(g, m.v == g.i).select("edge_id", "f", "g"), "edge_id")
+    return out.select("edge_id", "n", *(six(F.col(c)).alias(c) for c in ("mean_g", "stdev_g", "corr_fg")))
 
 
 @query()
@@ -370,7 +364,9 @@ def flattened_view(spark, d):
     return topology.flattened_view(*domain(spark, d), TAU)
 
 
-@query()
+@query(tree_sql.trees(KNN_SQL, TAU) + """, spot AS (SELECT arg_max(n1, struct_pack(m := len(members), v := a.v)) AS c FROM crit JOIN rk a ON a.r = n1),
+rest AS (SELECT n1, n2, edge_id FROM crit, spot WHERE n1 <> c), inside(v) AS (SELECT c FROM spot UNION SELECT CASE WHEN n1 = inside.v THEN n2 ELSE n1 END FROM inside JOIN rest ON inside.v IN (n1, n2))
+SELECT 'all' AS key, edge_id, coalesce(n1 <> c AND n1 IN (SELECT v FROM inside), false) AS visible FROM crit, spot""")
 def roi_cut(spark, d):
     tree = cut(topology.tree_edges(*domain(spark, d), tau=TAU), "tree")
     cut_at = tree.agg(F.max_by("n1", F.struct(F.size("members"), "n1"))).first()[0]
@@ -456,7 +452,10 @@ def _landscape(spark, d):
     return vertices, own, areas, TAU, tree
 
 
-@query()
+@query(tree_sql.members(KNN_SQL, TAU) + """, own AS (SELECT edge_id, embedding FROM inside JOIN embeddings ON vec_id = inside.v),
+m AS (SELECT edge_id, k, avg(embedding[k]::DOUBLE) AS m FROM own, range(1, 65) r(k) GROUP BY 1, 2),
+x AS (SELECT inside.v, m.edge_id, sum((embedding[m.k]::DOUBLE - m.m) * (embedding[m.k]::DOUBLE - m.m)) AS d2 FROM inside JOIN embeddings ON vec_id = inside.v JOIN m ON m.edge_id = inside.edge_id GROUP BY 1, 2)
+SELECT 'all' AS key, edge_id, round(CASE WHEN count(*) > 1 AND sum(sqrt(d2)) > 0 THEN sum(sqrt(d2)) / (count(*) - 1) ELSE 0.1 END, 6) AS area FROM x GROUP BY edge_id""")
 def tree_edge_areas(spark, d):
     return _landscape(spark, d)[2].withColumn("area", six(F.col("area")))
 
