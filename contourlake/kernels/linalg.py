@@ -33,6 +33,43 @@ def generalised_eigenpairs(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.nda
     return values[::-1][:k], with_sign((vectors * s[:, None]).T[::-1][:k])
 
 
+def lanczos(src, dst, w, n: int, k: int, tolerance: float = 1e-12, restarts: int = 200) -> np.ndarray:
+    """The k largest eigenvalues of the symmetric n x n matrix of entries (src, dst, w), by Lanczos with thick restarts and whole reorthogonalisation; memory for a few dozen vectors."""
+    k = min(k, n)
+    size, rng = min(n, max(2 * k + 20, 40)), np.random.default_rng(5)
+    basis, projected, count = np.zeros((size, n)), np.zeros((size, size)), 1
+    basis[0] = rng.normal(size=n)
+    basis[0] /= np.linalg.norm(basis[0])
+    for _ in range(restarts):
+        while True:
+            x = np.bincount(src, w * basis[count - 1][dst], n)
+            shares = basis[:count] @ x
+            projected[:count, count - 1] = projected[count - 1, :count] = shares
+            x -= shares @ basis[:count]
+            x -= (basis[:count] @ x) @ basis[:count]
+            beta = np.linalg.norm(x)
+            if count == size:
+                break
+            if beta <= 1e-13:
+                # The space is closed: begin anew beside it, so that repeated values are found too.
+                x, beta = rng.normal(size=n), 0.0
+                x -= (basis[:count] @ x) @ basis[:count]
+                x -= (basis[:count] @ x) @ basis[:count]
+            basis[count] = x / np.linalg.norm(x)
+            count += 1
+        values, vectors = np.linalg.eigh(projected)
+        values, vectors = values[::-1], vectors[:, ::-1]
+        if size == n or (beta * np.abs(vectors[-1, :k]) <= tolerance * max(abs(values[0]), 1e-300)).all():
+            return values[:k]
+        keep = min(k + 6, size - 2)
+        basis[:keep] = vectors[:, :keep].T @ basis
+        basis[keep] = x / max(beta, 1e-300)
+        projected = np.zeros((size, size))
+        projected[range(keep), range(keep)] = values[:keep]
+        count = keep + 1
+    raise RuntimeError(f"eigenvalues did not settle in {restarts} restarts")
+
+
 def align(moving: np.ndarray, fixed: np.ndarray) -> np.ndarray:
     """The rotation of centred ``moving`` (m, 3) nearest to centred ``fixed`` (Kabsch); reflections are not used."""
     u, _, vt = np.linalg.svd(moving.T @ fixed)

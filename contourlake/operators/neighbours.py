@@ -2,63 +2,190 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, numbered, small
+from .common import cut, discard, numbered, small
+from .graph import connected_components
 
 #: Rows of a block; a task compares two blocks.
 BLOCK = 2048
+#: Cells, at most, whose pivots every task knows.
+PIVOTS = 4096
+#: Rows of a block that are compared at a time.
+TILE = 256
+#: Segments by which distances are bounded from below, coarse to fine.
+SEGMENTS = (1, 4, 16)
+
 
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
 
-def _block_neighbours(key, table: pa.Table, k: int) -> pa.Table:
-    one, two = (x.as_py() for x in key)
+
+def segment_sketches(x: np.ndarray) -> list[np.ndarray]:
+    """For each number of segments, features whose squared distance is at most that of the vectors: of a segment of length l, sqrt(l) times its mean and its deviation."""
+    out = []
+    for segments in SEGMENTS:
+        cuts = np.linspace(0, x.shape[1], min(segments, x.shape[1]) + 1).astype(int)
+        parts = [x[:, a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        out.append(np.concatenate([np.stack([p.mean(axis=1), p.std(axis=1)], axis=1) * np.sqrt(p.shape[1]) for p in parts], axis=1))
+    return out
+
+
+def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All squared distances, folded in the order of components, as the SQL form does."""
+    d2 = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        step = x[:, j][:, None] - y[:, j][None]
+        d2 += step * step
+    return d2
+
+
+def _within(x, y, sx, sy, bound):
+    """(squared distances where they can be within each row's bound, else infinity; how many were computed)."""
+    open_ = np.isfinite(bound)
+    possible = np.ones((len(x), len(y)), bool)
+    if open_.any():
+        for a, b in zip(sx, sy, strict=True):
+            least = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
+            # Rounding of this form is far below the margin.
+            margin = 1e-9 * ((a * a).sum(1)[:, None] + (b * b).sum(1)[None])
+            possible &= least - margin <= bound[:, None]
+            if not possible.any():
+                break
+    i, j = possible.any(axis=1), possible.any(axis=0)
+    out = np.full(possible.shape, np.inf)
+    if i.any():
+        grid = np.ix_(i, j)
+        if possible[grid].mean() > 0.2:
+            out[grid] = _squared(x[i], y[j])
+            return out, int(i.sum()) * int(j.sum())
+        rows, columns = np.nonzero(possible)
+        d2 = np.zeros(len(rows))
+        for c in range(x.shape[1]):
+            step = x[rows, c] - y[columns, c]
+            d2 += step * step
+        out[rows, columns] = d2
+        return out, len(rows)
+    return out, 0
+
+
+def _k_least(d2, rows, columns, k):
+    """(row id, column id, squared distance) of the k least of each row, ties to the smaller column id; ``columns`` ascend."""
+    if d2.shape[1] > k:
+        # All that tie with the k-th stay until ids decide.
+        edge = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
+        i, j = np.nonzero((d2 <= edge) & np.isfinite(d2))
+    else:
+        i, j = np.nonzero(np.isfinite(d2))
+    d = d2[i, j]
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    near = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return rows[i[near]], columns[j[near]], d[near]
+
+
+NEAR = "src long, dst long, d2 double"
+
+
+def _block_neighbours(table: pa.Table, k: int, home: bool) -> pa.Table:
+    """The k nearest of each row inside a block (home), or in the other block if they are within its bound. A row without src tells how many distances were computed."""
     table = table.sort_by("id")
     ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
-    flat = table.column("v").combine_chunks()
-    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
-    x = flat.flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
-    out = []
-    for a, b in {(one, two), (two, one)}:
-        left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-        for start in range(0, len(left), 256):
-            rows = left[start : start + 256]
-            d2 = np.zeros((len(rows), len(right)))
-            for j in range(x.shape[1]):  # in the order of components, as the SQL form folds
-                step = x[rows, j][:, None] - x[right, j][None]
-                d2 += step * step
+    x, bound = _matrix(table.column("v")), table.column("bound").to_numpy()
+    sketches, names = segment_sketches(x), np.unique(block)
+    out, computed = [], 0
+    for one in names:
+        left = np.flatnonzero(block == one)
+        right = left if home else np.flatnonzero(block != one)
+        for at in range(0, len(left) if len(right) else 0, TILE):
+            rows = left[at : at + TILE]
+            d2, more = _within(x[rows], x[right], [s[rows] for s in sketches], [s[right] for s in sketches], bound[rows])
+            computed += more
             d2[ids[rows][:, None] == ids[right][None]] = np.inf
-            if d2.shape[1] > k:
-                # All that tie with the k-th stay until ids decide.
-                edge = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
-                i, j = np.nonzero((d2 <= edge) & np.isfinite(d2))
-            else:
-                i, j = np.nonzero(np.isfinite(d2))
-            d = d2[i, j]
-            order = np.lexsort((ids[right[j]], d, i))
-            i, j, d = i[order], j[order], d[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            near = place < k
-            out.append((ids[rows[i[near]]], ids[right[j[near]]], d[near]))
-    src, dst, d = (np.concatenate(c) for c in zip(*out, strict=True)) if out else ([], [], [])
-    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "d2": pa.array(d, pa.float64())})
+            out.append(_k_least(d2, ids[rows], ids[right], k))
+    src, dst, d = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0),) * 3
+    return pa.table({"src": pa.array([*src.tolist(), None], pa.int64()), "dst": pa.array([*dst.tolist(), None], pa.int64()), "d2": pa.array([*d.tolist(), float(computed)], pa.float64())})
 
 
-def nearest(points: DataFrame, k: int, key: str = "conf_id", vector: str = "v") -> DataFrame:
-    """points(key, vector) -> src, dst, rank, d2: the k nearest others of each, by squared distance, then id.
+def _assign(batches, pivots: np.ndarray):
+    """(id, v, cell, r): the nearest pivot and the distance from it."""
+    for batch in batches:
+        x = _matrix(batch.column(1))
+        if not len(x):
+            continue
+        r = np.sqrt(_squared(x, pivots))
+        cell = r.argmin(axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int64()), pa.array(r[np.arange(len(x)), cell])], names=["id", "v", "cell", "r"])
+
+
+def _reached(batches, pivots: np.ndarray, radii: np.ndarray):
+    """(block, cell, gap): the cells that can hold something within the bound of a block, and the distance of the pivots."""
+    for batch in batches:
+        block, cell, far, bound = (batch.column(c).to_numpy() for c in range(4))
+        apart = np.sqrt(_squared(pivots[cell], pivots))
+        i, j = np.nonzero(apart - far[:, None] - radii <= bound[:, None] + 1e-9 * (1 + apart))
+        yield pa.RecordBatch.from_arrays([pa.array(block[i]), pa.array(j, pa.int64()), pa.array(apart[i, j])], names=["block", "cell", "gap"])
 
-    Every pair of blocks is a task of bounded size, and each keeps its own k nearest, so the shuffle after it has rows x blocks x k rows at most.
+
+def nearest_counted(points: DataFrame, k: int, key: str = "conf_id", vector: str = "v", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """((src, dst, rank, d2), one row with the number of distances computed): the k nearest others of each, by squared distance, then id. Exact.
+
+    Rows go to the cell of the nearest of a bounded number of pivots, and in the order of their distance from it to blocks of bounded size. A block first finds the k nearest inside it, which bounds each row's k-th
+    distance. By the triangle inequality two blocks meet only if the gap of their pivots, less how far their rows are from them, is within one's largest bound; and of blocks that meet, rows are compared only where
+    bounds by sums and deviations of segments allow it. Pairs of blocks are tasks of bounded size. Vectors without structure leave all pairs.
     """
-    rows = points.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, -(-rows.count() // BLOCK))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    tasks = rows.select(F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "v", "block")
-    found = tasks.groupBy("one", "two").applyInArrow(lambda key, t: _block_neighbours(key, t, k), "src long, dst long, d2 double")
+    wide = dict(points.dtypes)[vector] != "array<float>"
+    rows = points.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>" if wide else "array<float>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
+    rows = cut(rows, "points")
+    n, unbound = rows.count(), F.lit(float("inf"))
     rank = F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("src", "dst", "rank", "d2")
+    ranked = lambda found: found.filter("src IS NOT NULL").withColumn("rank", rank).filter(F.col("rank") <= k).select("src", "dst", "rank", "d2")
+    told = lambda found: found.filter("src IS NULL").agg(F.sum("d2").alias("computed"))
+    if n <= block:
+        one = rows.withColumns({"block": F.lit(0).cast("long"), "bound": unbound}).groupBy("block").applyInArrow(lambda key, t: _block_neighbours(t, k, True), NEAR)
+        return ranked(one), told(one)
+    # A bounded sample.
+    sample = rows.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(min(PIVOTS, -(-n // block))).select("v").toArrow()
+    pivots = _matrix(sample.column("v"))
+    placed = rows.mapInArrow(partial(_assign, pivots=pivots), f"id long, v {dict(rows.dtypes)['v']}, cell long, r double")
+    placed = numbered(placed, [F.col("cell"), F.col("r"), F.col("id")], "place", kind="long")
+    placed = cut(placed.withColumn("block", F.col("cell") * (1 << 40) + F.floor(F.col("place") / block)).drop("place"), "placed")
+    home = placed.withColumn("bound", unbound).groupBy("block").applyInArrow(lambda key, t: _block_neighbours(t, k, True), NEAR)
+    home = cut(home, "home")
+    kth = home.filter("src IS NOT NULL").groupBy(F.col("src").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.max("d2")).alias("bound"))
+    placed = cut(placed.join(kth, "id", "left").fillna({"bound": float("inf")}), "bounded")
+    blocks = placed.groupBy("block", "cell").agg(F.min("r").alias("low"), F.max("r").alias("far"), F.sqrt(F.max("bound")).alias("reach"))
+    blocks = cut(blocks, "blocks")
+    # A row for each cell, at most PIVOTS.
+    radii = np.zeros(len(pivots))
+    for cell, far in blocks.groupBy("cell").agg(F.max("far")).collect():
+        radii[cell] = far
+    met = blocks.select("block", "cell", "far", "reach").mapInArrow(partial(_reached, pivots=pivots, radii=radii), "block long, cell long, gap double")
+    own = blocks.select("block", F.col("far").alias("own_far"), "reach")
+    other = small(blocks.select("cell", F.col("block").alias("other"), "low", "far"))
+    slack = F.lit(1e-9) * (1 + F.col("gap"))
+    near = (F.col("gap") - F.col("own_far") - F.col("far") <= F.col("reach") + slack) & (F.col("low") - F.col("gap") - F.col("own_far") <= F.col("reach") + slack)
+    pairs = met.join(small(own), "block").join(other, "cell").filter((F.col("block") != F.col("other")) & near)
+    pairs = cut(pairs.select(F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).distinct(), "pairs")
+    sides = small(pairs.select("one", "two", F.explode(F.array("one", "two")).alias("block")))
+    tasks = placed.select("id", "v", "block", "bound").join(sides, "block")
+    across = cut(tasks.groupBy("one", "two").applyInArrow(lambda key, t: _block_neighbours(t, k, False), NEAR), "across")
+    found = home.unionByName(across)
+    discard(rows, blocks, pairs)
+    return ranked(found), told(found)
+
+
+def nearest(points: DataFrame, k: int, key: str = "conf_id", vector: str = "v") -> DataFrame:
+    """points(key, vector) -> src, dst, rank, d2: :func:`nearest_counted` without the count."""
+    return nearest_counted(points, k, key, vector)[0]
 
 
 def undirected(neighbours: DataFrame) -> DataFrame:
@@ -75,22 +202,15 @@ def degrees(edges: DataFrame) -> DataFrame:
     return adjacency(edges).groupBy("v").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def components(vertices: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """vertices(v), edges(src, dst) -> v, component: the least vertex reachable. Only counts of changes reach the driver.
-
-    Each round takes the least label around a vertex, then that label's own label, so paths shorten by half or more a round.
-    """
-    both = cut(adjacency(edges), "adjacency")
-    labels = cut(vertices.select("v", F.col("v").alias("label")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("label").alias("near"))
-        lower = labels.join(near, "v", "left").select("v", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        jump = lower.select(F.col("v").alias("low"), F.col("low").alias("far"))
-        after = cut(lower.join(jump, "low", "left").select("v", F.least("low", F.coalesce("far", "low")).alias("next"), "label"), "labels")
-        if after.filter("next <> label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
-        labels = after.select("v", F.col("next").alias("label"))
-    raise RuntimeError(f"labels did not settle in {rounds} rounds")
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """vertices(v), edges(src, dst) -> v, component: the least vertex reachable. Vertices that are no numbers are numbered in their order first."""
+    if dict(vertices.dtypes)["v"] not in ("bigint", "int"):
+        names = cut(numbered(vertices.select("v").distinct(), [F.col("v")], "n", kind="long"), "names")
+        ends = edges.join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        found = components(names.select(F.col("n").alias("v")), ends).toDF("n", "c")
+        return found.join(names, "n").join(names.toDF("component", "c"), "c").select("v", "component")
+    found = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return vertices.join(found, F.col("v") == F.col("node"), "left").select("v", F.coalesce(F.col("component").cast(dict(vertices.dtypes)["v"]), F.col("v")).alias("component"))
 
 
 def sample_map(paths: DataFrame, names: DataFrame | None = None, keep: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colors, columns
 from ..operators import neighbours, paths, statistics, topology
-from ..operators.common import cut, shared_dir
+from ..operators.common import cut, numbered, shared_dir
 from ..sources import codec, files
 from . import session
 from .queries import KNN_SQL, edges, points, query, six, table, values
@@ -161,10 +161,53 @@ def function_file(spark, d):
     """A function written as a text of numbers, one a line, and read back."""
     place = _folder(spark, "function")
     own = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").cast("string").alias("line"))
-    own.repartition(1).sortWithinPartitions("s_suppkey").select("line").write.text(place)  # one file in the order of the structures is the format
+    files.write_lines(own, place, ("s_suppkey",))
     return files.read_function(spark, place)
 
 
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS conf_id, k::INT AS pos, embedding[k + 1]::DOUBLE AS x FROM embeddings, range(64) r(k)")
+def points_file(spark, d):
+    """A point cloud written as one binary file and read back by byte ranges."""
+    place = f"{_folder(spark, 'points')}.dat"
+    files.write_points(points(spark, d), place)
+    return files.read_points(spark, place).select("conf_id", F.posexplode("v").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS conf_id, k::INT AS res_idx, CASE WHEN embedding[k + 1] > 0 THEN 'H' WHEN embedding[k + 1] > -0.1 THEN 'E' ELSE 'X' END AS label FROM embeddings, range(21) r(k)")
+def labels_file(spark, d):
+    """Labels of 21 residues for each structure, written as one file of characters and read back by byte ranges."""
+    place = f"{_folder(spark, 'labels')}.dat"
+    letters = F.transform(F.slice("embedding", 1, 21), lambda x: F.when(x > 0, "H").when(x.cast("double") > -0.1, "E").otherwise("X"))
+    files.write_labels(table(spark, d, "embeddings").select(F.col("vec_id").alias("conf_id"), F.array_join(letters, "").alias("text")), place)
+    return files.read_labels(spark, place, 21)
+
+
+_MESH = "WITH m AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INT AS v, embedding FROM embeddings) "
+
+
+def _mesh(spark, d):
+    """Vertices of the first three components, and a triangle of every three in a row."""
+    own = cut(numbered(table(spark, d, "embeddings").select("vec_id", "embedding"), [F.col("vec_id")], "v"), "mesh")
+    vertices = own.select("v", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("xyz"))
+    return vertices, own.filter("v % 3 = 0").select((F.col("v") / 3).cast("int").alias("face_id"), F.array("v", F.col("v") + 1, F.col("v") + 2).alias("v"))
+
+
+@query(_MESH + "SELECT v, k::INT AS pos, embedding[k + 1]::DOUBLE AS x FROM m, range(3) r(k)")
+def mesh_vertices(spark, d):
+    """Vertices of an OBJ text written and read back."""
+    place = f"{_folder(spark, 'mesh')}.obj"
+    files.write_lines(files.obj_lines(*_mesh(spark, d)), place)
+    return files.read_obj(spark, place)[0].select("v", F.posexplode("xyz").alias("pos", "x"))
+
+
+@query(_MESH + "SELECT v // 3 AS face_id, k::INT AS pos, (v + k)::INT AS v FROM m, range(3) r(k) WHERE v % 3 = 0")
+def mesh_faces(spark, d):
+    """Faces of an OFF text written and read back."""
+    place = f"{_folder(spark, 'mesh')}.off"
+    files.write_lines(files.off_lines(*_mesh(spark, d)), place)
+    return files.read_off(spark, place)[1].select("face_id", F.posexplode("v").alias("pos", "v"))
+
+
 @query(f"WITH {KNN_SQL} SELECT src, dst FROM edges WHERE src % 2 = 0")
 def domain_files(spark, d):
     """A domain written and read back."""

@@ -439,7 +439,8 @@ def procrustes_rmsd(spark, d):
 
 @query()
 def graph_spectrum(spark, d):
-    return linalg.graph_eigenvalues(edges(spark, d).withColumn("key", F.lit("all")), 6).withColumn("value", six(F.col("value")))
+    out = linalg.graph_eigenvalues(edges(spark, d), 6).withColumn("value", six(F.col("value")))
+    return out.select(F.lit("all").alias("key"), "rank", "value")
 
 
 def _landscape(spark, d):

@@ -3,42 +3,45 @@
 from __future__ import annotations
 
 import struct
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .structures import conformations, exists, numbered_lines
+from ..operators.common import numbered
+from .ranges import fixed_records, numbered_lines, read_head, write_records
+from .structures import conformations, exists
 
 POINTS, LABELS, FUNCTIONS, PROJECTS = "pcd_v3.dat", "secondary_structure_dssp.dat", "scalar_functions", "collab_projects"
 
 
-def _matrix_rows(batches):
-    import pandas as pd
-
+def _matrix_rows(batches, d: int):
     for batch in batches:
-        for content in batch["content"]:
-            n, d = struct.unpack(">ii", content[:8])
-            values = np.frombuffer(content, ">f4", n * d, 8).reshape(n, d).astype(np.float32)
-            for at in range(0, n, 4096):
-                yield pd.DataFrame({"conf_id": np.arange(at, min(n, at + 4096)), "v": list(values[at : at + 4096])})
+        values = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">f4").astype(np.float32)
+        offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * d)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["conf_id", "v"])
+
+
+def read_points(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
+    """conf_id, v of a point-cloud file: big-endian count, dimension, then float32 rows. Tasks read byte ranges (``size`` bytes). The native form is a Parquet table of the same columns."""
+    n, d = struct.unpack(">ii", read_head(path, 8))
+    rows = fixed_records(spark, path, max(4 * d, 1), 8, size).filter(F.col("record_no") < n)
+    return rows.mapInArrow(partial(_matrix_rows, d=d), "conf_id long, v array<float>")
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """conf_id, v of a point-cloud file: big-endian count, dimension, then float32 rows. The native form is a Parquet table of the same columns."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_matrix_rows, "conf_id long, v array<float>")
+def _matrix_bytes(batches):
+    for batch in batches:
+        flat = batch.column(1)
+        content = [np.asarray(v, ">f4").tobytes() for v in flat.to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary())], names=["conf_id", "content"])
 
 
 def write_points(points: DataFrame, path: str) -> None:
-    """One file in the format of :func:`read_points`, for other programs; rows stream through the driver in the order of conf_id."""
-    rows = points.orderBy("conf_id").select("v")
-    n = points.count()
-    first = rows.first()
-    with open(path, "wb") as f:
-        f.write(struct.pack(">ii", n, len(first["v"]) if first else 0))
-        for row in rows.toLocalIterator():
-            f.write(np.asarray(row["v"], ">f4").tobytes())
+    """One file in the format of :func:`read_points`, for other programs, in the order of conf_id: tasks write parts, which are joined."""
+    rows = points.select(F.col("conf_id").cast("long"), F.col("v").cast("array<float>")).mapInArrow(_matrix_bytes, "conf_id long, content binary")
+    write_records(rows, [F.col("conf_id")], path, lambda n, length: struct.pack(">ii", n, length // 4))
 
 
 def read_function(spark: SparkSession, path: str) -> DataFrame:
@@ -52,12 +55,16 @@ def function_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
-def read_labels(spark: SparkSession, path: str, n_residues: int) -> DataFrame:
-    """conf_id, res_idx, label of a file of label characters, n_residues for each structure."""
-    text = spark.read.text(path, wholetext=True)
-    cells = F.regexp_extract_all("value", F.lit(f"(?s).{{1,{n_residues}}}"), 0)
-    rows = text.select(F.posexplode(cells).alias("conf_id", "own"))
-    return rows.select(F.col("conf_id").cast("long"), F.posexplode(F.filter(F.split("own", ""), lambda c: c != "")).alias("res_idx", "label"))
+def read_labels(spark: SparkSession, path: str, n_residues: int, size: int | None = None) -> DataFrame:
+    """conf_id, res_idx, label of a file of label characters (one byte each), n_residues for each structure. Tasks read byte ranges (``size`` bytes)."""
+    rows = fixed_records(spark, path, n_residues, size=size)
+    own = F.filter(F.split(F.decode("content", "ISO-8859-1"), ""), lambda c: c != "")
+    return rows.select(F.col("record_no").alias("conf_id"), F.posexplode(own).alias("res_idx", "label"))
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    """One file of labels(conf_id, text), texts of one length, in the order of conf_id."""
+    write_records(labels.select("conf_id", F.encode("text", "ISO-8859-1").alias("content")), [F.col("conf_id")], path)
 
 
 def labels_of(labels: DataFrame, conf_id: int, n_residues: int) -> DataFrame:
@@ -114,18 +121,16 @@ def read_binary_domain(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
 def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vertices(v, xyz), faces(face_id, v)) of an OBJ text; indices from 1 become indices from 0."""
     lines = numbered_lines(spark, path).select("line_no", F.split(F.trim("line"), r"\s+").alias("w"))
-    order = Window.partitionBy(F.lit(0)).orderBy("line_no")
-    number = (F.row_number().over(order) - 1).cast("int")
-    rest = F.slice("w", 2, 1 << 20)
-    vertices = lines.filter("w[0] = 'v'").select(number.alias("v"), F.transform(rest, lambda x: x.cast("double")).alias("xyz"))
-    faces = lines.filter("w[0] IN ('e', 'f')").select(number.alias("face_id"), F.transform(rest, lambda x: F.split(x, "/")[0].cast("int") - 1).alias("v"))
+    rest = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
+    vertices = numbered(lines.filter("w[0] = 'v'"), [F.col("line_no")], "v").select("v", F.transform(rest, lambda x: x.cast("double")).alias("xyz"))
+    faces = numbered(lines.filter("w[0] IN ('e', 'f')"), [F.col("line_no")], "face_id").select("face_id", F.transform(rest, lambda x: F.split(x, "/")[0].cast("int") - 1).alias("v"))
     return vertices, faces
 
 
 def read_off(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vertices(v, xyz), faces(face_id, v)) of an OFF text; blank lines and comments are skipped."""
     lines = numbered_lines(spark, path).filter("trim(line) <> '' AND NOT trim(line) LIKE '#%'").select("line_no", F.split(F.trim("line"), r"\s+").alias("w"))
-    lines = lines.withColumn("at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("line_no")) - 1)
+    lines = numbered(lines, [F.col("line_no")], "at", kind="long")
     counts = lines.filter("at = 1").select("w").first()["w"]
     n, m = int(counts[0]), int(counts[1])
     vertices = lines.filter((F.col("at") >= 2) & (F.col("at") < 2 + n)).select((F.col("at") - 2).cast("int").alias("v"), F.transform("w", lambda x: x.cast("double")).alias("xyz"))
@@ -154,8 +159,10 @@ def off_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return head.unionByName(sizes).unionByName(v).unionByName(f)
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    lines.repartition(1).sortWithinPartitions("part", "at").select("line").write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, path: str, order: tuple[str, ...] = ("part", "at")) -> None:
+    """One text file of lines(line) in an order; tasks write parts, which are joined."""
+    rows = lines.select(*order, F.encode(F.concat("line", F.lit("\n")), "UTF-8").alias("content"))
+    write_records(rows, [F.col(c) for c in order], path)
 
 
 def open_dataset(spark: SparkSession, dataset: str) -> dict:

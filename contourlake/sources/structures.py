@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import numbered_lines, zip_entries
+
 ZIP_NAME, ZIP_LIST, FILE_LIST = "conformations.zip", "conformation_zip_paths.txt", "conformation_filenames.txt"
 
 
@@ -17,13 +17,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, line of one text file, in file order. A list file is one whole-text row, so numbering needs no shuffle."""
-    text = spark.read.text(path, wholetext=True)
-    lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
-    return text.select(F.posexplode(lines).alias("line_no", "line"))
-
-
 def conformations(spark: SparkSession, dataset: str) -> DataFrame:
     """conf_id, path and the kind of source ("zip" wins over "file"). Raises if the dataset has neither."""
     if exists(spark, f"{dataset}/{ZIP_NAME}") and exists(spark, f"{dataset}/{ZIP_LIST}"):
@@ -35,16 +28,9 @@ def conformations(spark: SparkSession, dataset: str) -> DataFrame:
     return numbered_lines(spark, listing).filter("trim(line) <> ''").select(F.col("line_no").cast("long").alias("conf_id"), F.trim("line").alias("path"), F.lit(kind).alias("kind"))
 
 
-def _entries(batches, wanted: list[str] | None):
-    import pandas as pd
-
-    for batch in batches:
-        for content in batch["content"]:
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                names = archive.namelist() if wanted is None else [n for n in wanted if n in set(archive.namelist())]
-                for name in names:
-                    lines = archive.read(name).decode("utf-8", "replace").splitlines()
-                    yield pd.DataFrame({"path": name, "line_no": range(len(lines)), "line": lines})
+def _text_lines(content: Column) -> Column:
+    """The lines of a file's bytes."""
+    return F.split(F.regexp_replace(F.decode(content, "UTF-8"), r"\r?\n\z", ""), r"\r?\n")
 
 
 def structure_lines(spark: SparkSession, dataset: str) -> DataFrame:
@@ -52,9 +38,8 @@ def structure_lines(spark: SparkSession, dataset: str) -> DataFrame:
     listed = conformations(spark, dataset)
     kind = listed.select("kind").first()
     if kind is None or kind[0] == "zip":
-        files = spark.read.format("binaryFile").load(f"{dataset}/{ZIP_NAME}").select("content")
-        lines = files.mapInPandas(lambda b: _entries(b, None), "path string, line_no int, line string")
-        return lines.join(listed.select("conf_id", "path"), "path").select("conf_id", "path", "line_no", "line")
+        own = zip_entries(spark, f"{dataset}/{ZIP_NAME}").join(listed.select("conf_id", "path"), "path")
+        return own.select("conf_id", "path", F.posexplode(_text_lines(F.col("content"))).alias("line_no", "line"))
     # Listed paths may be relative to the dataset.
     paths = listed.withColumn("file", F.when(F.col("path").rlike("^(/|[a-z]+:)"), F.col("path")).otherwise(F.concat(F.lit(f"{dataset}/"), F.col("path"))))
     texts = spark.read.text(dataset, wholetext=True, recursiveFileLookup=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("file"), "value")
@@ -68,13 +53,13 @@ def one_structure(spark: SparkSession, dataset: str, conf_id: int) -> DataFrame:
     row = conformations(spark, dataset).filter(F.col("conf_id") == conf_id).first()
     own = [F.lit(conf_id).cast("long").alias("conf_id"), F.lit(row["path"] if row else "").alias("path")]
     if row and row["kind"] == "zip":
-        files = spark.read.format("binaryFile").load(f"{dataset}/{ZIP_NAME}").select("content")
-        return files.mapInPandas(lambda b: _entries(b, [row["path"]]), "path string, line_no int, line string").select(*own, "line_no", "line")
+        found = zip_entries(spark, f"{dataset}/{ZIP_NAME}", name=row["path"])
+        return found.select(*own, F.posexplode(_text_lines(F.col("content"))).alias("line_no", "line"))
     file = row and (row["path"] if re.match(r"/|[a-z]+:", row["path"]) else f"{dataset}/{row['path']}")
     if not file or not exists(spark, file):
         return spark.createDataFrame([], "conf_id long, path string, line_no int, line string")
     # A listed name is no pattern.
-    return numbered_lines(spark, re.sub(r"([\[\]{}*?\\])", r"\\\1", file)).select(*own, "line_no", "line")
+    return numbered_lines(spark, re.sub(r"([\[\]{}*?\\])", r"\\\1", file)).select(*own, F.col("line_no").cast("int").alias("line_no"), "line")
 
 
 def is_atom(line: Column) -> Column:

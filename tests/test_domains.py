@@ -140,3 +140,41 @@ def test_components_and_chains(spark):
     got = graph.chain_ends(spark.createDataFrame(steps, "id long, to long").repartition(5)).collect()
     assert {x["id"]: x["end"] for x in got} == ends
     assert graph.connected_components(df.limit(0)).isEmpty() and graph.chain_ends(spark.createDataFrame([], "id long, to long")).isEmpty()
+
+
+def brute_neighbours(x, k):
+    want = {}
+    for i in range(len(x)):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        for rank, j in enumerate(np.lexsort((np.arange(len(x)), d))[:k], 1):
+            want[i, int(j), rank] = d[j]
+    return want
+
+
+@pytest.mark.parametrize("structure", [True, False])
+def test_pruned_neighbours(spark, structure):
+    """Exact with repeated vectors and ties; where vectors stand in groups, less than a fifth of all distances are computed."""
+    from contourlake.operators import neighbours
+
+    r = np.random.default_rng(1)
+    n = 4000 if structure else 600
+    centres = r.normal(size=(40, 24)) * (5 if structure else 0)
+    x = (centres[r.integers(0, 40, n)] + r.normal(size=(n, 24)) * (0.3 if structure else 1)).astype(np.float32)
+    x[10] = x[11] = x[12]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (n, None)], "conf_id long, v array<float>")
+    found, computed = neighbours.nearest_counted(df, 5, block=100)
+    got, want = {(a, b, q): d for a, b, q, d in found.collect()}, brute_neighbours(x.astype(float), 5)
+    assert got.keys() == want.keys() and max(abs(got[p] - want[p]) for p in want) < 1e-9
+    share = computed.first()[0] / n**2
+    assert share < 0.2 if structure else share <= 2
+
+
+def test_segment_bounds_hold():
+    from contourlake.operators import neighbours
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(60, 37)) + r.normal(size=(60, 1))
+    whole = neighbours._squared(x, x)
+    bounds = [neighbours._squared(s, s) for s in neighbours.segment_sketches(x)]
+    assert all((b <= whole + 1e-9).all() for b in bounds)
