@@ -165,7 +165,7 @@ def function_file(spark, d):
     return files.read_function(spark, place)
 
 
-@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS conf_id, k::INT AS pos, embedding[k + 1]::DOUBLE AS x FROM embeddings, range(64) r(k)")
+@query("WITH m AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS conf_id, embedding FROM embeddings) SELECT conf_id, k::INT AS pos, embedding[k + 1]::DOUBLE AS x FROM m, range(64) r(k)")
 def points_file(spark, d):
     """A point cloud written as one binary file and read back by byte ranges."""
     place = f"{_folder(spark, 'points')}.dat"
@@ -173,7 +173,7 @@ def points_file(spark, d):
     return files.read_points(spark, place).select("conf_id", F.posexplode("v").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
 
 
-@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS conf_id, k::INT AS res_idx, CASE WHEN embedding[k + 1] > 0 THEN 'H' WHEN embedding[k + 1] > -0.1 THEN 'E' ELSE 'X' END AS label FROM embeddings, range(21) r(k)")
+@query("WITH m AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS conf_id, embedding FROM embeddings) SELECT conf_id, k::INT AS res_idx, CASE WHEN embedding[k + 1] > 0 THEN 'H' WHEN embedding[k + 1] > -0.1 THEN 'E' ELSE 'X' END AS label FROM m, range(21) r(k)")
 def labels_file(spark, d):
     """Labels of 21 residues for each structure, written as one file of characters and read back by byte ranges."""
     place = f"{_folder(spark, 'labels')}.dat"

@@ -133,9 +133,11 @@ def read_off(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     lines = numbered(lines, [F.col("line_no")], "at", kind="long")
     counts = lines.filter("at = 1").select("w").first()["w"]
     n, m = int(counts[0]), int(counts[1])
-    vertices = lines.filter((F.col("at") >= 2) & (F.col("at") < 2 + n)).select((F.col("at") - 2).cast("int").alias("v"), F.transform("w", lambda x: x.cast("double")).alias("xyz"))
-    faces = lines.filter((F.col("at") >= 2 + n) & (F.col("at") < 2 + n + m))
-    faces = faces.select((F.col("at") - 2 - n).cast("int").alias("face_id"), F.transform(F.slice("w", F.lit(2), F.col("w")[0].cast("int")), lambda x: x.cast("int")).alias("v"))
+    # Only a part's own lines are read as numbers, wherever the optimiser puts the filters.
+    part = lambda first, size: F.when((F.col("at") >= first) & (F.col("at") < first + size), F.col("w"))
+    points, sides = part(2, n), part(2 + n, m)
+    vertices = lines.filter(points.isNotNull()).select((F.col("at") - 2).cast("int").alias("v"), F.transform(points, lambda x: x.cast("double")).alias("xyz"))
+    faces = lines.filter(sides.isNotNull()).select((F.col("at") - 2 - n).cast("int").alias("face_id"), F.transform(F.slice(sides, F.lit(2), F.get(sides, F.lit(0)).cast("int")), lambda x: x.cast("int")).alias("v"))
     return vertices, faces
 
 
