@@ -10,8 +10,8 @@ from ..functions import colors, columns
 from ..operators import neighbours, paths, statistics, topology
 from ..operators.common import cut, numbered, shared_dir
 from ..sources import codec, files
-from . import session
-from .queries import KNN_SQL, edges, points, query, six, table, values
+from . import session, tree_sql
+from .queries import KNN_SQL, TAU, _landscape, domain, edges, points, query, six, table, values
 
 
 def _members(spark, d):
@@ -44,20 +44,21 @@ def task_progress(spark, d):
     return out.select("user_id", "total", "completed", F.round("share", 9).alias("share"), F.array_join("messages", ",").alias("messages"))
 
 
-@query("""WITH c AS (SELECT c_custkey AS v, c_nationkey AS parent FROM customer), s AS (SELECT s_nationkey AS parent, s_suppkey AS v FROM supplier)
-SELECT v, parent::BIGINT AS parent, 'child' AS lacks FROM (SELECT v, parent FROM c EXCEPT ALL SELECT v, parent FROM s) UNION ALL SELECT v, parent::BIGINT, 'parent' FROM (SELECT v, parent FROM s EXCEPT ALL SELECT v, parent FROM c)""")
+@query(tree_sql.merge_tree(KNN_SQL) + """, up AS (SELECT * FROM tree WHERE parent IS NOT NULL), down AS (SELECT * FROM up WHERE v % 7 <> 0 UNION ALL SELECT v, v FROM up WHERE v % 11 = 0)
+SELECT v, parent, 'child' AS lacks FROM (SELECT v, parent FROM up EXCEPT ALL SELECT v, parent FROM down) UNION ALL SELECT v, parent, 'parent' FROM (SELECT v, parent FROM down EXCEPT ALL SELECT v, parent FROM up)""")
 def reflexivity_check(spark, d):
-    """Customers and suppliers stand for the two sides of a tree's links."""
-    up = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("v"), F.col("c_nationkey").cast("long").alias("parent"))
-    down = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("parent"), F.col("s_suppkey").cast("long").alias("v"))
+    """The join tree's links against the same from the parents' side, of which some are taken out and some are made up."""
+    up = cut(topology.merge_trees(*domain(spark, d)).filter("tree = 'join' AND parent IS NOT NULL").select("v", "parent"), "links")
+    down = up.filter("v % 7 <> 0").unionByName(up.filter("v % 11 = 0").select("v", F.col("v").alias("parent")))
     return topology.not_reflexive(up, down)
 
 
-@query("SELECT 'all' AS key, c_custkey AS edge_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query(tree_sql.trees(KNN_SQL, TAU) + " SELECT 'all' AS key, edge_id FROM crit WHERE edge_id % 3 = 1")
 def unexpressed_edges(spark, d):
-    """Customers stand for edges, their orders for what a layout shows of them."""
-    every = table(spark, d, "customer").select(F.lit("all").alias("key"), F.col("c_custkey").alias("edge_id"))
-    return topology.unexpressed(every, table(spark, d, "orders").select(F.lit("all").alias("key"), F.col("o_custkey").alias("edge_id")))
+    """The edges of a tree that a floor plan lacks, of which every third polygon is taken out."""
+    parts = _landscape(spark, d)
+    plan = topology.floorplan(*parts).filter("edge_id % 3 <> 1")
+    return topology.unexpressed(parts[-1], plan)
 
 
 @query("WITH e AS (SELECT n_nationkey AS edge_id, n_regionkey AS n1, 100 + n_nationkey % 7 AS n2 FROM nation), x AS (SELECT n1 AS v, edge_id FROM e UNION ALL SELECT n2, edge_id FROM e) SELECT v, count(*) AS degree, string_agg(edge_id, ',' ORDER BY edge_id) AS edges FROM x GROUP BY v")

@@ -112,11 +112,11 @@ def function_histogram(spark, d):
 
 
 @query(
-    HISTOGRAM.format(values="SELECT abs(embedding[1]::DOUBLE - embedding[2]::DOUBLE) AS f FROM embeddings", factor=999, last=999, bins=1000)
+    tree_sql.pair_values(KNN_SQL) + ", " + HISTOGRAM.removeprefix("WITH ").format(values="SELECT f FROM pairs", factor=999, last=999, bins=1000)
     + ", k AS (SELECT a.bin, sum(0.75 * (1 - ((a.bin - b.bin) / 10.0::DOUBLE) * ((a.bin - b.bin) / 10.0::DOUBLE)) * b.share) AS s FROM shares a JOIN shares b ON abs(a.bin - b.bin) <= 10 GROUP BY 1) SELECT bin, round(s / (SELECT max(s) FROM k), 6) AS density FROM k"
 )
 def persist_kde(spark, d):
-    gaps = table(spark, d, "embeddings").select(F.abs(F.element_at("embedding", 1).cast("double") - F.element_at("embedding", 2).cast("double")).alias("f"))
+    gaps = cut(topology.persistence(*domain(spark, d)).select(F.col("persistence").alias("f")), "pairs")
     return statistics.density(statistics.histogram(gaps, 1000, closed=False)).select("bin", six(F.col("density")).alias("density"))
 
 

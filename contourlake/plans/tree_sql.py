@@ -76,3 +76,16 @@ SELECT 'all' AS key, edge_id, a.v AS n1, b.v AS n2, texts.members FROM crit JOIN
 def members(knn: str, tau: float) -> str:
     """CTE ``inside`` (edge_id, v) behind :func:`trees`."""
     return trees(knn, tau) + ", inside AS (SELECT edge_id, rk.v FROM (SELECT edge_id, unnest(members) AS r FROM crit) JOIN rk USING (r))"
+
+
+def merge_tree(knn: str) -> str:
+    """CTE ``tree`` (v, parent): the join tree."""
+    start = f"WITH RECURSIVE {knn}, rk AS (SELECT v, f, (row_number() OVER (ORDER BY f, v))::BIGINT AS r FROM f), "
+    return start + levels("_1", "SELECT a.r AS a, b.r AS b FROM adj JOIN rk a ON a.v = adj.v JOIN rk b ON b.v = adj.w") + ", tree AS (SELECT rk.v, p.v AS parent FROM rk LEFT JOIN above_1 ON above_1.l = rk.r LEFT JOIN rk p ON p.r = above_1.t)"
+
+
+def pair_values(knn: str) -> str:
+    """CTE ``pairs`` (f): the persistence of all pairs."""
+    start = f"WITH RECURSIVE {knn}, rk AS (SELECT v, f, (row_number() OVER (ORDER BY f, v))::BIGINT AS r FROM f), "
+    start += levels("_1", "SELECT a.r AS a, b.r AS b FROM adj JOIN rk a ON a.v = adj.v JOIN rk b ON b.v = adj.w") + ", " + falls("_1")
+    return start + ", pairs AS (SELECT abs(y.f - s.f)::DOUBLE AS f FROM falls_1 JOIN rk y ON y.r = young JOIN rk s ON s.r = t WHERE old IS NOT NULL)"

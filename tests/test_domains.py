@@ -178,3 +178,30 @@ def test_segment_bounds_hold():
     whole = neighbours._squared(x, x)
     bounds = [neighbours._squared(s, s) for s in neighbours.segment_sketches(x)]
     assert all((b <= whole + 1e-9).all() for b in bounds)
+
+
+def test_paths_by_tables(spark):
+    """Several starts and ends, edges of no length, ties, unreachable ends, a long chain: as by the kernel."""
+    from contourlake.operators import paths
+
+    rows, want = [], set()
+    for g in range(8):
+        r = random.Random(g)
+        n = 30
+        edges = [(r.randrange(n), r.randrange(n), float(r.choice([0, 1, 1, 2, 5]))) for _ in range((20, 60)[g % 2])] if g else [(i, i + 1, 0.5) for i in range(n)]
+        rows += [(f"g{g}", *e) for e in edges]
+        names = sorted({x for e in edges for x in e[:2]} | {0, 3, 7, 29})
+        cost, path = kernel.cheapest_path(len(names), [(names.index(a), names.index(b), w) for a, b, w in edges], [names.index(0), names.index(3)], [names.index(7), names.index(29)])
+        want |= {(f"g{g}", i, names[v], cost) for i, v in enumerate(path)}
+    df = spark.createDataFrame(rows, "key string, src long, dst long, w double")
+    got = {tuple(x) for x in paths.path_by_tables(df, [0, 3], [7, 29]).collect()}
+    ends = lambda found: {(k, c) for k, _, _, c in found}
+    assert ends(got) == ends(want)
+    # Where several paths cost the same, edges of no length may make them differ; each is a path.
+    cheapest = {}
+    for k, a, b, w in rows:
+        for e in ((k, a, b), (k, b, a)):
+            cheapest[e] = min(w, cheapest.get(e, w))
+    for key, cost in ends(got):
+        own = [v for _, v in sorted((s, v) for k, s, v, _ in got if k == key)]
+        assert own[0] in (0, 3) and own[-1] in (7, 29) and abs(sum(cheapest[key, a, b] for a, b in zip(own, own[1:])) - cost) < 1e-9
