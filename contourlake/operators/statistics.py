@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small
+from .common import cut, small
 
 
 def mean_vector(points: DataFrame, vector: str = "v", by: list[str] | None = None) -> DataFrame:
@@ -103,12 +105,34 @@ def coincident_pairs(rows: DataFrame, key: str, position: list[str]) -> DataFram
     return rows.select(F.col(key).alias("a"), after.alias("b")).filter("b IS NOT NULL")
 
 
-def nearest_between(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
-    """by, a, b, d2: of two sets of positions (by, id, x, y, z), the nearest pair of each group; ties to the smaller ids."""
-    x, y = a.alias("p"), b.alias("q")
-    d2 = sum(((F.col(f"p.{c}") - F.col(f"q.{c}")) * (F.col(f"p.{c}") - F.col(f"q.{c}")) for c in ("y", "z")), (F.col("p.x") - F.col("q.x")) * (F.col("p.x") - F.col("q.x")))
-    pairs = x.join(y, F.col(f"p.{by}") == F.col(f"q.{by}"))
-    best = F.min(F.struct(d2.alias("d2"), F.col("p.id").alias("a"), F.col("q.id").alias("b")))
+def _square(p: str, q: str):
+    """Squared distance of the positions of two sides, folded in the order x, y, z."""
+    gap = lambda c: (F.col(f"{p}.{c}") - F.col(f"{q}.{c}")) * (F.col(f"{p}.{c}") - F.col(f"{q}.{c}"))
+    return gap("x") + gap("y") + gap("z")
+
+
+def nearest_between(a: DataFrame, b: DataFrame, by: str, probes: int = 32) -> DataFrame:
+    """by, a, b, d2: of two sets of positions (by, id, x, y, z), the nearest pair of each group; ties to the smaller ids.
+
+    A bound comes first: the distance from some positions of ``a`` (``probes`` of each group, by hash) to all of ``b``. Cells of that size then hold the nearest pair in one cell or in two that touch, so only those join. A bound of 0
+    leaves equal positions only.
+    """
+    a, b = (cut(side.select(by, "id", *(F.col(c).cast("double").alias(c) for c in "xyz")), "positions") for side in (a, b))
+    few = a.groupBy(by, F.pmod(F.xxhash64("id"), F.lit(probes)).alias("_s")).agg(F.min_by(F.struct("x", "y", "z"), "id").alias("p")).select(by, "p.*")
+    bounds = few.alias("p").join(b.alias("q"), F.col(f"p.{by}") == F.col(f"q.{by}")).groupBy(F.col(f"p.{by}").alias("_k")).agg(F.sqrt(F.min(_square("p", "q"))).alias("_size"))
+    bounds = small(cut(bounds, "bounds"))
+    # A little more than the bound, as cells are found by division.
+    size = F.col("_size") * (1 + 1e-9)
+    cell = lambda c: F.when(F.col("_size") > 0, F.floor(F.col(c) / size).cast("double")).otherwise(F.col(c))
+    placed = lambda side: side.join(bounds, F.col(by) == F.col("_k")).drop("_k").withColumns({f"c{c}": cell(c) for c in "xyz"})
+    around = placed(b)
+    for c in "xyz":
+        steps = F.when(F.col("_size") > 0, F.array(*(F.lit(float(i)) for i in (-1, 0, 1)))).otherwise(F.array(F.lit(0.0)))
+        around = around.withColumn("_step", F.explode(steps)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_step")).drop("_step")
+    keys = [by, "cx", "cy", "cz"]
+    x, y = placed(a).alias("p"), around.alias("q")
+    pairs = x.join(y, reduce(lambda m, n: m & n, (F.col(f"p.{k}") == F.col(f"q.{k}") for k in keys)))
+    best = F.min(F.struct(_square("p", "q").alias("d2"), F.col("p.id").alias("a"), F.col("q.id").alias("b")))
     return pairs.groupBy(F.col(f"p.{by}").alias(by)).agg(best.alias("m")).select(by, "m.a", "m.b", "m.d2")
 
 

@@ -205,3 +205,53 @@ def test_paths_by_tables(spark):
     for key, cost in ends(got):
         own = [v for _, v in sorted((s, v) for k, s, v, _ in got if k == key)]
         assert own[0] in (0, 3) and own[-1] in (7, 29) and abs(sum(cheapest[key, a, b] for a, b in zip(own, own[1:])) - cost) < 1e-9
+
+
+def test_nearest_pairs_by_cells(spark):
+    """Far apart, inside each other, equal positions, one position, negative coordinates; a group without a partner gives none."""
+    from contourlake.operators import statistics
+
+    r, a, b, want = random.Random(8), [], [], set()
+    for g, (n, m, wide, off) in enumerate([(200, 300, 1.0, 0.0), (50, 60, 1.0, 40.0), (1, 80, 5.0, -3.0), (40, 40, 0.0, 0.0), (30, 30, 2.0, 0.0)]):
+        own = [(g, i, *(r.gauss(0, wide) for _ in range(3))) for i in range(n)]
+        other = [(g, 1000 + i, *(r.gauss(off, wide) for _ in range(3))) for i in range(m)]
+        if g == 4:
+            other[7] = (g, 1007, *own[5][2:])
+            other[3] = (g, 1003, *own[5][2:])
+        a, b = a + own, b + other
+        want.add(min((sum((p - q) ** 2 for p, q in zip(x[2:], y[2:])), g, x[1], y[1]) for x in own for y in other)[1:])
+    a.append((9, 1, 0.0, 0.0, 0.0))
+    kind = "g int, id int, x double, y double, z double"
+    got = {(x["g"], x["a"], x["b"]) for x in statistics.nearest_between(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), "g").collect()}
+    assert got == want
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    import threading
+    import time
+
+    from contourlake.streaming import progress
+
+    spark.range(100).repartition(4).write.parquet(f"{tmp_path}/in")
+    listener = progress.watch(spark, f"{tmp_path}/progress")
+    try:
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
+        q = stream.writeStream.queryName("copy").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out")
+        q.awaitTermination()
+        until = time.time() + 60
+        while time.time() < until:
+            rows = progress.progress(spark, f"{tmp_path}/progress").collect() if (tmp_path / "progress").exists() else []
+            if any(r["event"] == "ended" for r in rows):
+                break
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(r["rows"] or 0 for r in rows if r["event"] == "progress" and r["query"] == "copy") == 100
+    assert {"started", "progress", "ended"} == {r["event"] for r in rows}
+    seen = []
+    job = threading.Thread(target=lambda: spark.range(0, 4_000_000, 1, 16).selectExpr("count_if(sha2(cast(id as string), 256) = 'x')").collect())
+    job.start()
+    while job.is_alive():
+        seen += progress.running(spark)
+        time.sleep(0.05)
+    assert seen and all(0 <= share <= 1 and done <= tasks for *_, done, tasks, share in seen)
