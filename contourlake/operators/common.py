@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,19 +28,50 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths written inside the innermost :func:`temporary` of this thread or task of control.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """The same rows as a table of the shared folder: lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/contourlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (written := _written.get()) is not None:
+        written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Tables that :func:`cut` writes inside are deleted at the end; what outlives them is written by the function it gives. Threads do not see each other's."""
+    outer, own = _written.get(), []
+    token = _written.set(own)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inner = _written.set(outer)
+        try:
+            return cut(df, name)
+        finally:
+            _written.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _written.reset(token)
+        for path in own:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of :func:`cut` that no later plan reads."""
     for df in tables:
         for file in df.inputFiles()[:1]:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, file.rsplit("/", 1)[0])
 
 
 def row_bytes(df: DataFrame) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import topology
-from .common import cut, discard, numbered
+from .common import cut, discard, numbered, temporary
 from .graph import chain_ends, connected_components
 from .merge import merge_tables, named_pairs
 from .neighbours import node_class
@@ -143,23 +143,27 @@ def contour_tables(vertices: DataFrame, edges: DataFrame, tau: float | None = No
     Simplification: pairs of a persistence below tau, of the tree's own arcs, each add a shortcut from the extremum to the one that survives it; the tree of those arcs and shortcuts is the result. The pairs come
     from one table whatever tau is.
     """
-    own, parents, _ = merge_tables(vertices, edges, slabs)
-    arcs = cut(without_plateaus(own, cut(combined(parents, task_rows)[0], "arcs")), "arcs")
-    if tau is None:
-        return own, arcs
-    # The arcs of the tree are its own domain, in ranks, which keep the order of (f, id).
+    with temporary(vertices.sparkSession) as keep:
+        own, parents, _ = merge_tables(vertices, edges, slabs)
+        arcs = cut(without_plateaus(own, cut(combined(parents, task_rows)[0], "arcs")), "arcs")
+        if tau is not None:
+            arcs = _simplified(own, arcs, tau, task_rows, slabs)
+        return keep(own, "domain"), keep(arcs, "arcs")
+
+
+def _simplified(own: DataFrame, arcs: DataFrame, tau: float, task_rows: int, slabs: int | None) -> DataFrame:
+    # The arcs of the tree are their own domain, in ranks, which keep the order of (f, id).
     named = own.select("key", F.col("rank").alias("v"), "f")
     keyed = arcs.join(own.select("key", F.col("rank").alias("lo")), "lo").select("key", F.col("lo").alias("src"), F.col("hi").alias("dst"))
     again, _, pairs = merge_tables(named, keyed, slabs)
     short = named_pairs(again, pairs).filter(F.col("persistence") < tau).select("key", F.col("extremum").alias("src"), F.col("killed_by").alias("dst"))
     short = cut(short, "shortcuts")
     if short.isEmpty():
-        return own, arcs
+        return arcs
     whole, parents, _ = merge_tables(named, keyed.unionByName(short), slabs)
     found = without_plateaus(whole, cut(combined(parents, task_rows)[0], "arcs"))
     back = whole.select("rank", F.col("v").alias("r"))
-    found = found.join(back.toDF("lo", "a"), "lo").join(back.toDF("hi", "b"), "hi").select(F.col("a").alias("lo"), F.col("b").alias("hi"))
-    return own, cut(found, "arcs")
+    return found.join(back.toDF("lo", "a"), "lo").join(back.toDF("hi", "b"), "hi").select(F.col("a").alias("lo"), F.col("b").alias("hi"))
 
 
 def contour_arcs(vertices: DataFrame, edges: DataFrame, tau: float | None = None, **sizes) -> DataFrame:
@@ -171,8 +175,9 @@ def contour_arcs(vertices: DataFrame, edges: DataFrame, tau: float | None = None
 
 def critical_tree(vertices: DataFrame, edges: DataFrame, tau: float | None = None, **sizes) -> tuple[DataFrame, DataFrame]:
     """((key, edge_id, n1, n2), (key, edge_id, v)) in vertex ids: the critical tree and its members, one row each, both ends of an edge included."""
-    own, arcs = contour_tables(vertices, edges, tau, **sizes)
-    tree, members = critical_tables(own, arcs)
-    at = lambda c: own.select(F.col("rank").alias(c), F.col("v").alias(f"v_{c}"))
-    tree = tree.join(at("n1"), "n1").join(at("n2"), "n2").select("key", "edge_id", F.col("v_n1").alias("n1"), F.col("v_n2").alias("n2"))
-    return cut(tree, "tree"), cut(members.join(at("rank"), "rank").select("key", "edge_id", F.col("v_rank").alias("v")), "members")
+    with temporary(vertices.sparkSession) as keep:
+        own, arcs = contour_tables(vertices, edges, tau, **sizes)
+        tree, members = critical_tables(own, arcs)
+        at = lambda c: own.select(F.col("rank").alias(c), F.col("v").alias(f"v_{c}"))
+        tree = tree.join(at("n1"), "n1").join(at("n2"), "n2").select("key", "edge_id", F.col("v_n1").alias("n1"), F.col("v_n2").alias("n2"))
+        return keep(tree, "tree"), keep(members.join(at("rank"), "rank").select("key", "edge_id", F.col("v_rank").alias("v")), "members")

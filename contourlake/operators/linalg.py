@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import linalg
-from .common import cut, discard, small
+from .common import cut, discard, small, temporary
 
 
 def component_basis(points: DataFrame, components: int = 500, sample: int = 3000, key: str = "conf_id", vector: str = "v") -> dict:
@@ -61,6 +61,11 @@ def alignment(shapes: DataFrame, by: str, rounds: int = 2) -> DataFrame:
     Generalised: every round turns each shape onto its group's consensus (the first shape at the start) and averages the turned ones. Shapes of a group are spread over tasks; what is together is the consensus of each group, one shape
     for each, and the sums of a round by (group, coordinate). The driver holds one shape for each group, so groups must be bounded (labels), not their members.
     """
+    with temporary(shapes.sparkSession) as keep:
+        return keep(_aligned(shapes, by, rounds), "aligned")
+
+
+def _aligned(shapes: DataFrame, by: str, rounds: int) -> DataFrame:
     kind = dict(shapes.dtypes)[by]
     points = F.col("xyz")
     first = shapes.groupBy(F.col(by).alias("_k")).agg(F.min_by(F.size(points), "conf_id").alias("_m"))

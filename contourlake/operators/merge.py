@@ -20,21 +20,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels.topology import DisjointSets
-from .common import cut, discard, numbered
+from .common import cut, discard, numbered, temporary
 from .graph import connected_components
 
 #: Links that a slab is meant to hold.
 SLAB = 2_000_000
 
 
-def ranked_domains(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def ranked_domains(vertices: DataFrame, edges: DataFrame, keep=cut) -> tuple[DataFrame, DataFrame]:
     """vertices(key, v, f), edges(key, src, dst) -> (key, v, f, rank), (lo, hi in ranks), both written.
 
     Repeated vertices count once (with their least f), loops and edges to unknown vertices not at all; a null f is the largest, as not-a-number is.
     """
     f = F.coalesce(F.col("f").cast("double"), F.lit(float("nan"))) + F.lit(0.0)
     own = vertices.filter("v IS NOT NULL").groupBy("key", F.col("v").cast("long").alias("v")).agg(F.min(f).alias("f"))
-    own = cut(numbered(own, [F.col("key"), F.col("f"), F.col("v")], "rank", kind="long"), "ranked")
+    own = keep(numbered(own, [F.col("key"), F.col("f"), F.col("v")], "rank", kind="long"), "ranked")
     at = lambda c, name: own.select("key", F.col("v").alias(c), F.col("rank").alias(name))
     pairs = edges.select("key", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src <> dst")
     pairs = pairs.join(at("src", "a"), ["key", "src"]).join(at("dst", "b"), ["key", "dst"])
@@ -103,10 +103,10 @@ def swept(links: DataFrame, n: int, slabs: int | None = None) -> DataFrame:
 
 def merge_tables(vertices: DataFrame, edges: DataFrame, slabs: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(domain(key, v, f, rank), parents(rank, pj, ps), pairs(young, saddle, old, sweep)) in ranks; pj and ps null at roots. ``slabs``: of each tree, chosen by size if not given."""
-    own, links = ranked_domains(vertices, edges)
-    n = max(own.count(), 1)
-    found = cut(swept(links, n, slabs), "swept")
-    discard(links)
+    with temporary(vertices.sparkSession) as keep:
+        own, links = ranked_domains(vertices, edges, keep)
+        n = max(own.count(), 1)
+        found = keep(swept(links, n, slabs), "swept")
     split = F.col("a") >= n
     back = lambda c: F.when(split, F.lit(2 * n - 1) - F.col(c)).otherwise(F.col(c))
     hung = found.filter("c IS NULL").select(back("a").alias("rank"), back("b").alias("p"), split.alias("split"))

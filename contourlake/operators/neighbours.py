@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, discard, numbered, small
+from .common import cut, discard, numbered, small, temporary
 from .graph import connected_components
 
 #: Rows of a block; a task compares two blocks.
@@ -142,9 +142,14 @@ def nearest_counted(points: DataFrame, k: int, key: str = "conf_id", vector: str
     distance. By the triangle inequality two blocks meet only if the gap of their pivots, less how far their rows are from them, is within one's largest bound; and of blocks that meet, rows are compared only where
     bounds by sums and deviations of segments allow it. Pairs of blocks are tasks of bounded size. Vectors without structure leave all pairs.
     """
+    with temporary(points.sparkSession) as keep:
+        return _nearest(points, k, key, vector, block, keep)
+
+
+def _nearest(points: DataFrame, k: int, key: str, vector: str, block: int, keep) -> tuple[DataFrame, DataFrame]:
     wide = dict(points.dtypes)[vector] != "array<float>"
     rows = points.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>" if wide else "array<float>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
-    rows = cut(rows, "points")
+    rows = keep(rows, "points")
     n, unbound = rows.count(), F.lit(float("inf"))
     rank = F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))
     ranked = lambda found: found.filter("src IS NOT NULL").withColumn("rank", rank).filter(F.col("rank") <= k).select("src", "dst", "rank", "d2")
@@ -159,7 +164,7 @@ def nearest_counted(points: DataFrame, k: int, key: str = "conf_id", vector: str
     placed = numbered(placed, [F.col("cell"), F.col("r"), F.col("id")], "place", kind="long")
     placed = cut(placed.withColumn("block", F.col("cell") * (1 << 40) + F.floor(F.col("place") / block)).drop("place"), "placed")
     home = placed.withColumn("bound", unbound).groupBy("block").applyInArrow(lambda key, t: _block_neighbours(t, k, True), NEAR)
-    home = cut(home, "home")
+    home = keep(home, "home")
     kth = home.filter("src IS NOT NULL").groupBy(F.col("src").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.max("d2")).alias("bound"))
     placed = cut(placed.join(kth, "id", "left").fillna({"bound": float("inf")}), "bounded")
     blocks = placed.groupBy("block", "cell").agg(F.min("r").alias("low"), F.max("r").alias("far"), F.sqrt(F.max("bound")).alias("reach"))
@@ -177,9 +182,9 @@ def nearest_counted(points: DataFrame, k: int, key: str = "conf_id", vector: str
     pairs = cut(pairs.select(F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).distinct(), "pairs")
     sides = small(pairs.select("one", "two", F.explode(F.array("one", "two")).alias("block")))
     tasks = placed.select("id", "v", "block", "bound").join(sides, "block")
-    across = cut(tasks.groupBy("one", "two").applyInArrow(lambda key, t: _block_neighbours(t, k, False), NEAR), "across")
+    across = keep(tasks.groupBy("one", "two").applyInArrow(lambda key, t: _block_neighbours(t, k, False), NEAR), "across")
     found = home.unionByName(across)
-    discard(rows, blocks, pairs)
+    discard(rows)
     return ranked(found), told(found)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..kernels.topology import cheapest_path
-from .common import cut, discard
+from .common import cut, discard, temporary
 
 #: Edges of a graph that one task may hold.
 TASK_EDGES = 2_000_000
@@ -46,6 +46,11 @@ def path_by_tables(weighted: DataFrame, starts: list[int], ends: list[int]) -> D
     Rounds of relaxation from the vertices that became cheaper, until none does; each vertex keeps the round of its cost. A vertex's predecessor is the least (cost, vertex) of the neighbours whose cost and edge make up its own and that are cheaper,
     or as cheap and of an earlier round. The path is read back from the end by doubling: after i joins it has its last 2^i vertices.
     """
+    with temporary(weighted.sparkSession) as keep:
+        return keep(_path(weighted, starts, ends), "path")
+
+
+def _path(weighted: DataFrame, starts: list[int], ends: list[int]) -> DataFrame:
     both = weighted.unionByName(weighted.select("key", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     both = cut(both.groupBy("key", "src", "dst").agg(F.min("w").alias("w")), "both")
     given = lambda vs: F.explode(F.array(*(F.lit(v).cast("long") for v in vs))).alias("v")
@@ -80,6 +85,11 @@ def path_by_tables(weighted: DataFrame, starts: list[int], ends: list[int]) -> D
 
 def path_costs(weighted: DataFrame, start: int) -> DataFrame:
     """weighted(src, dst, w) -> v, cost from the start, by rounds of relaxation over tables: for graphs larger than a task. Stops when nothing improves."""
+    with temporary(weighted.sparkSession) as keep:
+        return keep(_costs(weighted, start), "costs")
+
+
+def _costs(weighted: DataFrame, start: int) -> DataFrame:
     both = cut(weighted.select("src", "dst", "w").unionByName(weighted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")), "weighted")
     costs = cut(weighted.sparkSession.createDataFrame([(start, 0.0)], "v long, cost double"), "costs")
     front = costs

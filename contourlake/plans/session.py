@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import full_match
 from ..operators import paths, statistics, topology
-from ..operators.common import numbered, small
+from ..operators.common import cut, numbered, small
 from ..sources import files, logs, structures
 
 
@@ -42,13 +42,21 @@ class Session:
         inside = topology.members(tree).join(points, F.col("v") == F.col("s_id")).select("edge_id", F.col("p").alias("v"))
         return statistics.spread(inside, "edge_id")
 
+    def areas(self, tau: float = 65.0) -> DataFrame:
+        """The answer on opening a tree, one row: areas (edge_id, n1, n2, area of every edge of the critical tree), has_labels, functions (names of the dataset's function files)."""
+        tree = cut(self.tree(tau), "tree")
+        edges = tree.join(self.edge_areas(tree), "edge_id").select(F.struct("edge_id", "n1", "n2", "area").alias("e"))
+        names = self.parts["functions"].agg(F.array_sort(F.collect_set("name")).alias("functions"))
+        return edges.agg(F.array_sort(F.collect_list("e")).alias("areas")).withColumn("has_labels", F.lit(self.parts["labels"] is not None)).crossJoin(names)  # one row each
+
     def structure_lines(self, s_id: int) -> DataFrame:
         own = self.sample.filter(F.col("s_id") == s_id).first()
         return structures.one_structure(self.spark, self.folder, own["conf_id"] if own else -1).select("line_no", "line").orderBy("line_no")
 
     def labels(self, s_id: int, n_residues: int) -> DataFrame:
-        rows = self._sampled(files.read_labels(self.spark, self.parts["labels"], n_residues)).withColumnRenamed("s_id", "conf_id")
-        return files.labels_of(rows, s_id, n_residues)
+        """res_idx, label of one structure, of which only the own bytes are read; 'X' where there is none."""
+        own = self.sample.filter(F.col("s_id") == s_id).first()
+        return files.labels_of(files.labels_at(self.spark, self.parts["labels"], n_residues, own["conf_id"] if own else -1, s_id), s_id, n_residues)
 
     def color_function(self, path: str) -> DataFrame:
         """s_id, f of a function file."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.common import numbered
-from .ranges import fixed_records, numbered_lines, read_head, write_records
+from .ranges import fixed_records, numbered_lines, read_at, write_records
 from .structures import conformations, exists
 
 POINTS, LABELS, FUNCTIONS, PROJECTS = "pcd_v3.dat", "secondary_structure_dssp.dat", "scalar_functions", "collab_projects"
@@ -26,7 +26,7 @@ def _matrix_rows(batches, d: int):
 
 def read_points(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
     """conf_id, v of a point-cloud file: big-endian count, dimension, then float32 rows. Tasks read byte ranges (``size`` bytes). The native form is a Parquet table of the same columns."""
-    n, d = struct.unpack(">ii", read_head(path, 8))
+    n, d = struct.unpack(">ii", read_at(path, 8))
     rows = fixed_records(spark, path, max(4 * d, 1), 8, size).filter(F.col("record_no") < n)
     return rows.mapInArrow(partial(_matrix_rows, d=d), "conf_id long, v array<float>")
 
@@ -62,6 +62,12 @@ def read_labels(spark: SparkSession, path: str, n_residues: int, size: int | Non
     return rows.select(F.col("record_no").alias("conf_id"), F.posexplode(own).alias("res_idx", "label"))
 
 
+def labels_at(spark: SparkSession, path: str | None, n_residues: int, place: int, conf_id: int) -> DataFrame:
+    """conf_id, res_idx, label of the structure at a place of the file, named ``conf_id``: one read of its bytes. No rows without a file or beyond its end."""
+    text = read_at(path, n_residues, place * n_residues).decode("latin-1") if path and place >= 0 else ""
+    return spark.createDataFrame([(conf_id, i, c) for i, c in enumerate(text)], "conf_id long, res_idx int, label string")
+
+
 def write_labels(labels: DataFrame, path: str) -> None:
     """One file of labels(conf_id, text), texts of one length, in the order of conf_id."""
     write_records(labels.select("conf_id", F.encode("text", "ISO-8859-1").alias("content")), [F.col("conf_id")], path)

@@ -73,10 +73,11 @@ class RecordFile(DataSource):
         return _Records(self.options)
 
 
-def read_head(path: str, size: int) -> bytes:
+def read_at(path: str, size: int, at: int = 0) -> bytes:
+    """Some bytes of a file; fewer, or none, at its end."""
     fs, inside = opened(path)
     with fs.open_input_file(inside) as f:
-        return f.read_at(size, 0)
+        return f.read_at(max(0, min(size, f.size() - at)), min(at, f.size()))
 
 
 def fixed_records(spark: SparkSession, path: str, record: int, header: int = 0, size: int | None = None) -> DataFrame:

@@ -58,8 +58,10 @@ def one_structure(spark: SparkSession, dataset: str, conf_id: int) -> DataFrame:
     file = row and (row["path"] if re.match(r"/|[a-z]+:", row["path"]) else f"{dataset}/{row['path']}")
     if not file or not exists(spark, file):
         return spark.createDataFrame([], "conf_id long, path string, line_no int, line string")
-    # A listed name is no pattern.
-    return numbered_lines(spark, re.sub(r"([\[\]{}*?\\])", r"\\\1", file)).select(*own, F.col("line_no").cast("int").alias("line_no"), "line")
+    # A listed name is no pattern; a structure is small, so its file is one row.
+    text = spark.read.text(re.sub(r"([\[\]{}*?\\])", r"\\\1", file), wholetext=True)
+    lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
+    return text.select(*own, F.posexplode(lines).alias("line_no", "line"))
 
 
 def is_atom(line: Column) -> Column:

@@ -255,3 +255,27 @@ def test_progress_of_a_stream(spark, tmp_path):
         seen += progress.running(spark)
         time.sleep(0.05)
     assert seen and all(0 <= share <= 1 and done <= tasks for *_, done, tasks, share in seen)
+
+
+def test_tables_left(spark):
+    """Of what an operator writes only what its result reads stays, and threads do not delete each other's tables."""
+    import os
+    import threading
+
+    from contourlake.operators import neighbours
+    from contourlake.operators.common import cut, shared_dir, temporary
+
+    folder = f"{shared_dir(spark)}/contourlake"
+    left = lambda: set(os.listdir(folder.removeprefix("file:"))) if os.path.isdir(folder.removeprefix("file:")) else set()
+    v, e = tables(spark, {"a": ([1, 2, 3, 4], [0.1, 0.2, 0.3, 0.4], [(1, 2), (2, 3), (1, 4)])})
+    points = spark.range(300).select(F.col("id").alias("conf_id"), F.array(F.sin("id"), F.cos("id")).alias("v"))
+    for f, most in ((lambda: contour.contour_arcs(v, e, 0.5), 2), (lambda: contour.critical_tree(v, e)[0], 2), (lambda: merge.merge_trees(v, e), 2), (lambda: neighbours.nearest(points, 3), 1), (lambda: neighbours.nearest_counted(points, 3, block=50)[0], 2)):
+        before = left()
+        assert f().count()
+        assert len(left() - before) <= most, sorted(left() - before)
+    held = []
+    with temporary(spark):
+        other = threading.Thread(target=lambda: held.append(cut(spark.range(3), "other")))
+        other.start()
+        other.join()
+    assert held[0].count() == 3

@@ -73,6 +73,8 @@ def test_dataset_and_session(spark, dataset):
         s.find("[")
     assert "".join(r["label"] for r in s.labels(1, 6).orderBy("res_idx").collect()) == "HEEXXC"
     assert "".join(r["label"] for r in s.labels(4, 6).orderBy("res_idx").collect()) == "XXXXXX"
+    told = s.areas(0.0).collect()
+    assert len(told) == 1 and len(told[0]["areas"]) == 4 and told[0]["has_labels"] and len(told[0]["functions"]) > 0
     assert collect(s.contacts([0])) == [(i, 0) for i in range(6)]
     path = s.shortest_path(0, 5).orderBy("step").collect()
     assert [r["v"] for r in path][0] == 0 and [r["v"] for r in path][-1] == 5
