@@ -168,9 +168,9 @@ def off_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str, order: tuple[str, ...] = ("part", "at")) -> None:
-    """One text file of lines(line) in an order; tasks write parts, which are joined."""
+    """A folder with one text file of lines(line) in an order; tasks write parts, which are joined."""
     rows = lines.select(*order, F.encode(F.concat("line", F.lit("\n")), "UTF-8").alias("content"))
-    write_records(rows, [F.col(c) for c in order], path)
+    write_records(rows, [F.col(c) for c in order], f"{path}/part-00000.txt")
 
 
 def open_dataset(spark: SparkSession, dataset: str) -> dict:

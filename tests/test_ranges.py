@@ -68,7 +68,7 @@ def test_line_numbers_across_splits(spark, tmp_path, end):
 def test_lines_in_parts(spark, tmp_path):
     df = spark.range(1000).select(F.lit(0).alias("part"), (-F.col("id")).alias("at"), F.concat(F.lit("é"), F.col("id").cast("string")).alias("line")).repartition(7)
     files.write_lines(df, str(tmp_path / "out.txt"))
-    assert (tmp_path / "out.txt").read_text() == "".join(f"é{i}\n" for i in reversed(range(1000)))
+    assert (tmp_path / "out.txt" / "part-00000.txt").read_text() == "".join(f"é{i}\n" for i in reversed(range(1000)))
     wide = " ".join(str(i) for i in range(30))
     (tmp_path / "w.obj").write_text(f"v {wide}\nf 1 2 3\n")
     assert len(files.read_obj(spark, str(tmp_path / "w.obj"))[0].first()["xyz"]) == 30
