@@ -413,7 +413,10 @@ def path_costs(spark, d):
     return paths.path_costs(_weighted(spark, d), 0).withColumn("cost", six(F.col("cost")))
 
 
-@query()
+HOP_PATH_SQL = PATH_SQL.replace("x.cost + near.c", "x.cost + 1.0").replace("a.cost + near.c = own.cost", "a.cost + 1.0 = own.cost")
+
+
+@query(f"SELECT step, v FROM ({PATH_SQL.format(starts='(0)', ends='0 + 1')}) WHERE v IN (SELECT v FROM ({HOP_PATH_SQL.format(starts='(0)', ends='0 + 1')}))")
 def path_intersection(spark, d):
     w = cut(_weighted(spark, d).withColumn("key", F.lit("all")), "weighted")
     return paths.common_steps(paths.shortest_path(w, [0], [1]), paths.shortest_path(w.withColumn("w", F.lit(1.0)), [0], [1]))
