@@ -279,3 +279,22 @@ def test_tables_left(spark):
         other.start()
         other.join()
     assert held[0].count() == 3
+
+
+def test_lanczos_over_tables(spark):
+    """The largest eigenvalues and vectors of a small symmetric matrix, with a basis that has to begin again."""
+    from contourlake.kernels import linalg as dense
+    from contourlake.operators import linalg
+
+    r = np.random.default_rng(2)
+    n = 9
+    m = np.where(r.random((n, n)) < 0.6, r.normal(size=(n, n)), 0)
+    m = m + m.T + np.diag(np.arange(n) * 1.0)
+    rows = [(i, j, float(m[i, j])) for i in range(n) for j in range(n) if m[i, j]]
+    values, vectors = linalg.largest_eigenpairs(spark.createDataFrame(rows, "src long, dst long, w double"), 1, basis=6, tolerance=1e-6)
+    want = np.linalg.eigvalsh(m)[::-1]
+    x = np.zeros(n)
+    for row in vectors.filter("j = 0").collect():
+        x[row["v"]] = row["x"]
+    assert abs(values[0] - want[0]) < 1e-6 and np.abs(m @ x - values[0] * x).max() < 1e-4
+    assert np.abs(dense.lanczos(*np.nonzero(m), m[np.nonzero(m)], n, 3) - want[:3]).max() < 1e-9
