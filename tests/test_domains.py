@@ -170,6 +170,36 @@ def test_pruned_neighbours(spark, structure):
     assert share < 0.2 if structure else share <= 2
 
 
+def test_few_distances_without_structure(spark):
+    """Vectors without groups: a product of matrices leaves a tenth of all distances at most, over several tasks a block."""
+    from contourlake.operators import neighbours
+
+    n = 3000
+    x = np.random.default_rng(4).normal(size=(n, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "conf_id long, v array<float>")
+    found, computed = neighbours.nearest_counted(df, 5, block=200)
+    want = brute_neighbours(x.astype(float), 5)
+    assert {(a, b, q): d for a, b, q, d in found.collect()}.keys() == want.keys()
+    assert computed.first()[0] < 0.1 * n**2
+
+
+@pytest.mark.parametrize("size,shift", [(1.0, 0.0), (1e-30, 0.0), (1e30, 0.0), (1e-3, 1e6), (0.0, 3.0)])
+def test_products_keep_what_is_within(size, shift):
+    """No neighbour is lost for large, small, far off, mixed and repeated vectors, with bounds that are met exactly."""
+    from contourlake.operators import neighbours
+
+    r = np.random.default_rng(6)
+    x = r.normal(size=(500, 20)) * size + shift
+    x[::7], x[5] = x[3], x[5] * 1e6
+    ids = r.permutation(500)
+    d2 = neighbours._squared(x, x)
+    d2[np.arange(500), np.arange(500)] = np.inf
+    want = {(int(ids[i]), int(ids[j]), d2[i, j]) for i in range(500) for j in np.lexsort((ids, d2[i]))[:6] if np.isfinite(d2[i, j])}
+    for bound in (np.full(500, np.inf), np.sort(d2, axis=1)[:, 5]):
+        src, dst, d, _ = neighbours._search(x, ids, bound, x, ids, 6)
+        assert {(int(a), int(b), c) for a, b, c in zip(src, dst, d)} == want
+
+
 def test_segment_bounds_hold():
     from contourlake.operators import neighbours
 
