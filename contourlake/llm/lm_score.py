@@ -33,11 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import token_chunks as chunked
 from .arrow import map_batches
 from .common import load, materialize
 from .elias_fano import EliasFano
 from .language_id import held_out
-from .token_chunks import Chunk, mix, planes, shards_for, token_chunks, unplanes
+from .token_chunks import Chunk, mix, planes, shards_for, unplanes
+
+token_chunks = partial(chunked.token_chunks, buckets=True)
 
 START, END = np.uint64(1), np.uint64(2)
 DISCOUNT = 0.75
@@ -173,10 +176,10 @@ class Corpus:
 class Pairs:
     """The distinct bigrams of a chunk, by shard: where each token's bigram is, and what to ask."""
 
-    def __init__(self, rows: list[dict], corpus: Corpus):
-        self.chunk = chunk = Chunk(next(r for r in rows if r["shard"] is None))
+    def __init__(self, row: dict, rows: list[dict], corpus: Corpus):
+        self.chunk = chunk = Chunk(row)
         order, cuts = _word_order(chunk, corpus.shards)
-        answers = {r["shard"]: r["counts"] for r in rows if r["shard"] is not None and r["counts"] is not None}
+        answers = {r["shard"]: r["counts"] for r in rows if r["counts"] is not None}
         count = np.zeros(len(chunk.vocab), np.int64)
         for s in range(corpus.shards):
             if cuts[s] < cuts[s + 1]:
@@ -218,8 +221,8 @@ ASK = "shard int, chunk long, contexts binary, runs binary, totals binary, print
 ASK_SCHEMA = pa.schema([("shard", pa.int32()), ("chunk", pa.int64())] + [(c, pa.binary()) for c in ("contexts", "runs", "totals", "prints", "trained")])
 
 
-def _ask_pairs(table: pa.Table, corpus: Corpus) -> pa.Table:
-    pairs = Pairs(table.to_pylist(), corpus)
+def _ask_pairs(counts: pa.Table, chunk: pa.Table, corpus: Corpus) -> pa.Table:
+    pairs = Pairs(chunk.to_pylist()[0], counts.to_pylist(), corpus)
     out = []
     for s in np.flatnonzero(np.diff(pairs.cuts)).tolist():
         own, contexts, runs = pairs.shard(s)
@@ -263,10 +266,10 @@ def _answer_pairs(table: pa.Table) -> pa.Table:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(table: pa.Table, corpus: Corpus, spread: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+def _score(table: pa.Table, own: pa.Table, corpus: Corpus, spread: tuple[np.ndarray, np.ndarray]) -> pa.Table:
     """spread: hashes of the contexts that are spread over shards, ascending, and their followers in all shards."""
     rows = table.to_pylist()
-    pairs = Pairs(rows, corpus)
+    pairs = Pairs(own.to_pylist()[0], rows, corpus)
     chunk, count = pairs.chunk, pairs.count
     codes, types = np.zeros(len(pairs.context), np.uint16), np.zeros(len(count), np.int64)
     for r in rows:
@@ -299,8 +302,9 @@ def score_texts(documents: DataFrame, flag: Column) -> DataFrame:
     stats = ("tokens_seen", "types_seen", "once", "twice", "texts")
     corpus = Corpus(counts.filter("chunk IS NULL").agg(*(F.sum(c).alias(c) for c in stats)).first(), shards, pair_shards)
     counts = counts.filter("chunk IS NOT NULL").select("chunk", "shard", "counts")
-    both = chunks.withColumn("shard", F.lit(None).cast("int")).unionByName(counts, allowMissingColumns=True)
-    pairs = both.groupBy("chunk").applyInArrow(lambda key, t: _ask_pairs(t, corpus), ASK)
+    # Chunks are in buckets, so only counts and answers are shuffled to them.
+    own = chunks.groupBy("chunk")
+    pairs = counts.groupBy("chunk").cogroup(own).applyInArrow(lambda key, t, chunk: _ask_pairs(t, chunk, corpus), ASK)
     answers = materialize(pairs.groupBy("shard").applyInArrow(lambda key, t: _answer_pairs(t), ANSWERS), "answers")
     # At most 4 * pair_shards + 1 contexts come to the driver.
     told = answers.filter("chunk IS NULL").select(F.explode("spread").alias("s")).groupBy("s.context").agg(F.sum("s.types").alias("types")).toArrow()
@@ -308,7 +312,8 @@ def score_texts(documents: DataFrame, flag: Column) -> DataFrame:
     order = np.argsort(hashes)
     spread = hashes[order], told.column("types").to_numpy()[order]
     answers = answers.filter("chunk IS NOT NULL").drop("spread")
-    return both.unionByName(answers, allowMissingColumns=True).groupBy("chunk").applyInArrow(lambda key, t: _score(t, corpus, spread), SCORES)
+    told = counts.unionByName(answers, allowMissingColumns=True).groupBy("chunk")
+    return told.cogroup(own).applyInArrow(lambda key, t, chunk: _score(t, chunk, corpus, spread), SCORES)
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:

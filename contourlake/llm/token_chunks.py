@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches, record_batch, slices
-from .common import materialize
+from .common import materialize, materialize_buckets
 
 CHUNK_WORDS = 1_000_000
 COLUMNS = "chunk long, words long, docs binary, nulls binary, flags binary, lengths binary, tokens binary, vocab binary"
@@ -78,11 +78,14 @@ def _chunks(batches, words_a_chunk: int):
         yield row()
 
 
-def token_chunks(documents: DataFrame, flag: Column | None = None, words_a_chunk: int = CHUNK_WORDS) -> DataFrame:
-    """documents(doc_id bigint, text) -> the table of chunks, written to the shared folder. A null text has no words."""
+def token_chunks(documents: DataFrame, flag: Column | None = None, words_a_chunk: int = CHUNK_WORDS, buckets: bool = False) -> DataFrame:
+    """documents(doc_id bigint, text) -> the table of chunks, written to the shared folder. A null text has no words. In ``buckets`` of chunk, as many as shuffle partitions, it is not shuffled to meet its answers."""
     # bytes.lower() and bytes.split() follow ASCII rules, which are those of the words.
     rows = documents.select(F.col("doc_id").cast("long"), (F.lit(False) if flag is None else flag).alias("flag"), F.col("text").cast("binary"))
-    return materialize(map_batches(rows, partial(_chunks, words_a_chunk=words_a_chunk), COLUMNS), "chunks")
+    made = map_batches(rows, partial(_chunks, words_a_chunk=words_a_chunk), COLUMNS)
+    if buckets:
+        return materialize_buckets(made, "chunks", "chunk", max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
+    return materialize(made, "chunks")
 
 
 class Chunk:

@@ -649,3 +649,11 @@ def test_digests(spark, documents):
     spans = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(a).alias("start"), F.lit(b).alias("end")) for k, a, b in secrets.find_secrets(text)))
     got = documents.limit(1).select(secrets.span_text(spans)).first()[0]
     assert got == "assign:0:14,hex:19:45" and len(hashlib.sha256(got.encode()).hexdigest()) == 64
+
+
+def test_chunks_are_not_shuffled_again(spark):
+    """Of the two tables that meet by chunk only the answers are shuffled; the texts' own rows lie in buckets."""
+    rows = spark.createDataFrame([(i, f"a b c{i} d") for i in range(50)], "doc_id long, text string")
+    out = lm_score.score_texts(rows, F.col("doc_id") % 5 == 0)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(chunk") == 1
+    assert out.count() == 50
