@@ -144,11 +144,12 @@ def _landscape_tables(vertices, edges, areas: DataFrame, tau, kernel, columns: s
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("edge_id")
         f = dict(zip(rows["n1"], rows["f1"], strict=True)) | dict(zip(rows["n2"], rows["f2"], strict=True))
-        top = min((v for v in f if f[v] == max(f.values())))
+        low, high = min(f.values()), max(f.values())
+        top = min(v for v in f if f[v] == high)
         partition = topology.binary_space_partition(list(zip(rows["n1"], rows["n2"], strict=True)), top)
         area = rows["area"].to_numpy()
         total = topology.subtree_sums(partition, area)
-        low, span = min(f.values()), (max(f.values()) - min(f.values())) or 1.0
+        span = (high - low) or 1.0
         out = pd.DataFrame(list(kernel(partition, total, lambda v: 0.7 * (f[v] - low) / span, rows["edge_id"].tolist())), columns=names)
         out.insert(0, "key", key[0])
         return out

@@ -328,3 +328,19 @@ def test_lanczos_over_tables(spark):
         x[row["v"]] = row["x"]
     assert abs(values[0] - want[0]) < 1e-6 and np.abs(m @ x - values[0] * x).max() < 1e-4
     assert np.abs(dense.lanczos(*np.nonzero(m), m[np.nonzero(m)], n, 3) - want[:3]).max() < 1e-9
+
+
+def test_layouts_of_large_trees(spark):
+    """The work of one task grows with the edges of a tree, not with their square."""
+    import time
+
+    from contourlake.operators import topology
+
+    n = 40_000
+    ids = spark.range(n)
+    tree = ids.filter("id > 0").selectExpr("'all' AS key", "CAST(id AS int) AS edge_id", "(id - 1) DIV 2 AS n1", "id AS n2")
+    vertices, areas = ids.selectExpr("'all' AS key", "id AS v", "CAST(id AS double) AS f"), tree.selectExpr("key", "edge_id", "1.0D AS area")
+    start = time.perf_counter()
+    rows = topology.space_partition(vertices, None, areas, None, tree).orderBy("sum_area").collect()
+    assert len(rows) == n - 1 and rows[0].sum_area == 1 and rows[-1].sum_area == n - 1 and rows[-1].outer_v == n - 1
+    assert time.perf_counter() - start < 60
