@@ -200,6 +200,28 @@ def test_products_keep_what_is_within(size, shift):
         assert {(int(a), int(b), c) for a, b, c in zip(src, dst, d)} == want
 
 
+@pytest.mark.parametrize("size,shift", [(1.0, 0.0), (1e-30, 0.0), (1e30, 0.0), (1e-3, 1e6), (0.0, 3.0)])
+@pytest.mark.parametrize("sides", [1, 2])
+def test_one_product_serves_both_rows(size, shift, sides):
+    """Blocks that meet once give the nearest of the rows of both, in two sides or among each other."""
+    from contourlake.operators import neighbours
+
+    r = np.random.default_rng(8)
+    x = r.normal(size=(700, 20)) * size + shift
+    x[::7], x[5] = x[3], x[5] * 1e6
+    ids, block = r.permutation(700), np.repeat([3, 4, 9, 12], [300, 6, 290, 104])
+    second = block >= (9 if sides == 2 else 99)
+    d2 = neighbours._squared(x, x)
+    d2[second[:, None] == second[None] if sides == 2 else block[:, None] == block[None]] = np.inf
+    want = {(int(ids[i]), int(ids[j]), d2[i, j]) for i in range(700) for j in np.lexsort((ids, d2[i]))[:6] if np.isfinite(d2[i, j])}
+    for bound in (np.full(700, np.inf), np.sort(d2, axis=1)[:, 5]):
+        src, dst, d, _ = neighbours._search_both(x, ids, bound, block, second, 6)
+        found, n = {}, 6 * 700 * (3 - sides)
+        for a, c, b in sorted(zip(src.tolist(), d.tolist(), dst.tolist())):
+            found.setdefault(a, []).append((a, b, c))
+        assert len(src) <= n and {p for own in found.values() for p in own[:6]} == want
+
+
 def test_segment_bounds_hold():
     from contourlake.operators import neighbours
 
