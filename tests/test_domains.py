@@ -152,6 +152,25 @@ def brute_neighbours(x, k):
     return want
 
 
+@pytest.mark.parametrize("task_rows", [None, 0, 900])
+def test_components_end_in_a_task(spark, monkeypatch, task_rows):
+    """Components by rounds to the end, by rounds until the rest fits a task, and at once in a task: the same, and few tables where it fits."""
+    from contourlake.operators import graph
+
+    r = np.random.default_rng(2)
+    a, b = r.permutation(1500), r.permutation(1500)
+    path = [(int(x), int(y)) for n in (a[:1200], a[1200:1201], a[1201:]) for x, y in zip(n, n[1:])] + [(int(x), int(y)) for x, y in zip(b[:50], b[50:100])]
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: written.append(name) or cut(df, name))
+    if task_rows is not None:
+        monkeypatch.setattr(graph, "TASK_ROWS", task_rows)
+    df = spark.createDataFrame(path, "a long, b long").repartition(7)
+    low = graph.least_reachable(np.array([p for p, _ in path]), np.array([q for _, q in path]), 1500)
+    nodes = {n for p in path for n in p}
+    assert sorted(map(tuple, graph.connected_components(df).collect())) == [(n, int(low[n])) for n in sorted(nodes)]
+    assert len(written) <= 2 or task_rows is not None
+
+
 @pytest.mark.parametrize("structure", [True, False])
 def test_pruned_neighbours(spark, structure):
     """Exact with repeated vectors and ties; where vectors stand in groups, less than a fifth of all distances are computed."""
